@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PIECES = 1023
 MIN_CHARS = 2
@@ -49,7 +50,7 @@ class _KeepTable(dict):
 _keep_table = _KeepTable()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise(texts: pd.Series) -> pd.Series:
     """Lower case, decompose, then keep letters, numbers and white space."""
     return texts.map(
