@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,27 +51,41 @@ class _KeepTable(dict):
 _keep_table = _KeepTable()
 
 
+def _clean(text: str) -> str:
+    return unicodedata.normalize("NFD", text.lower()).translate(_keep_table)
+
+
 @F.pandas_udf(T.StringType())
 def normalise(texts: pd.Series) -> pd.Series:
     """Lower case, decompose, then keep letters, numbers and white space."""
-    return texts.map(
-        lambda t: unicodedata.normalize("NFD", t.lower()).translate(_keep_table),
-        na_action="ignore",
-    )
+    return texts.map(_clean, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _packed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: "".join(_clean(t).split()), na_action="ignore")
+
 
+@F.pandas_udf(T.StringType())
+def _spaced(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: " ".join(_clean(t).split()), na_action="ignore")
 
-def char_tokens(text: Column) -> Column:
-    """One token per non-blank character."""
-    packed = F.regexp_replace(text, rf"(?U){_BLANK}+", "")
-    return F.when(packed == "", F.array().cast("array<string>")).otherwise(F.split(packed, ""))
 
+def _cut(text: Column, separator: str) -> Column:
+    """Split; blank text has no tokens."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, separator, -1))
 
-def word_tokens(text: Column) -> Column:
-    """Tokens between runs of white space."""
-    return F.filter(F.split(text, rf"(?U){_BLANK}+"), lambda w: w != "")
 
+def tokenise(lines: DataFrame, tokeniser: str | Callable[[Column], Column] = "char") -> DataFrame:
+    """Replace ``text`` by ``tokens`` of its normalised form.
 
-TOKENISERS = {"char": char_tokens, "word": word_tokens}
+    ``char``: one token per non-blank character; ``word``: pieces between white space;
+    or any function from the normalised text to an array of tokens.
+    """
+    keys = [c for c in lines.columns if c != "text"]
+    clean = {"char": _packed, "word": _spaced}.get(tokeniser, normalise)
+    cut = {"char": lambda t: _cut(t, ""), "word": lambda t: _cut(t, " ")}.get(tokeniser, tokeniser)
+    return lines.select(*keys, clean("text").alias("text")).select(*keys, cut(F.col("text")).alias("tokens"))
 
 
 # Fixed values of the mteval-13a scheme: clean-up rewrites, then punctuation rules.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.functions.keys import ratio
-from glossmark.functions.text import TOKENISERS, normalise
+from glossmark.functions.text import tokenise
 from glossmark.session import join_bounded, stage
 
 SPLITS = ["train", "dev", "test"]
@@ -19,13 +19,6 @@ PAIRS = list(combinations(SPLITS, 2))
 RARE_IDF = 1 + math.log(1.5)
 
 
-def tokens(lines: DataFrame, tokeniser: str = "char") -> DataFrame:
-    """Replace ``text`` by the token list of its normalised form."""
-    keys = [c for c in lines.columns if c != "text"]
-    norm = lines.select(*keys, normalise("text").alias("text"))
-    return norm.select(*keys, TOKENISERS[tokeniser](F.col("text")).alias("tokens"))
-
-
 def token_counts(tokenised: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, token, n)``; counts are combined before the shuffle."""
     return (
@@ -250,7 +243,7 @@ def corpus_features(
     lines: DataFrame, vectors: DataFrame, group: list[str], tokeniser: str = "char"
 ) -> DataFrame:
     """The 26 features of each group from numbered lines and sentence embeddings."""
-    tokenised = stage(tokens(lines, tokeniser), "tokens")
+    tokenised = stage(tokenise(lines, tokeniser), "tokens")
     sizes = stage(corpus_sizes(tokenised, group), "sizes")
     sides = stage(side_counts(token_counts(tokenised, [*group, "split"]), group), "sides")
     stats = stage(vocabulary_stats(sides, group), "vocabulary")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmark.functions import keys
-from glossmark.functions.text import normalise
+from glossmark.functions.text import normalise, tokenise
 from glossmark.operators import corpus, stats
 from glossmark.plans import fixtures as fx
 from glossmark.session import join_bounded, stage
@@ -91,7 +91,7 @@ md5(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}\s]', '', 'g')) AS n
 
 
 def _counts(spark: SparkSession, sf_dir: str, tokeniser: str) -> DataFrame:
-    tokenised = stats.tokens(fx.corpus_lines(spark, sf_dir), tokeniser)
+    tokenised = tokenise(fx.corpus_lines(spark, sf_dir), tokeniser)
     return stats.token_counts(tokenised, ["lang", "split"])
 
 
@@ -114,7 +114,7 @@ STOP_WORDS = ["the", "and", "of", "to", "in", "is", "that", "it", "for", "was"]
 def clean_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop words dropped; lemmas from a table of benchmark word forms without endings."""
     counts = _counts(spark, sf_dir, "word").filter("lang = 'en'")
-    forms = stats.tokens(fx.table(spark, sf_dir, "benchmark").select("text"), "word")
+    forms = tokenise(fx.table(spark, sf_dir, "benchmark").select("text"), "word")
     lemmas = forms.select(F.explode("tokens").alias("form")).distinct().select(
         "form", F.regexp_replace("form", "(.)(ing|ed|s)$", "$1").alias("lemma")
     )
@@ -138,7 +138,7 @@ def _sides(spark: SparkSession, sf_dir: str, tokeniser: str = "char") -> DataFra
 
 def corpus_vocab_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary, mean sentence length, overlap, TTR and TTR distances of words."""
-    tokenised = stats.tokens(fx.corpus_lines(spark, sf_dir), "word")
+    tokenised = tokenise(fx.corpus_lines(spark, sf_dir), "word")
     sized = tokenised.withColumn("n_tokens", F.size("tokens"))
     sizes = stats.corpus_sizes(sized, LANG)
     sides = stats.side_counts(stats.token_counts(tokenised, ["lang", "split"]), LANG)
@@ -234,7 +234,7 @@ SELECT lang, {_round_sql(_JSD_COLUMNS)} FROM jsd"""
 
 
 def corpus_tfidf_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenised = stage(stats.tokens(fx.numbered_corpus_lines(spark, sf_dir), "word"), "tokens")
+    tokenised = stage(tokenise(fx.numbered_corpus_lines(spark, sf_dir), "word"), "tokens")
     table = stats.tfidf_distance(tokenised, stage(stats.corpus_sizes(tokenised, LANG), "sizes"), LANG)
     return rounded(table, [f"{a}_{b}_tf_idf" for a, b in stats.PAIRS])
 
@@ -251,12 +251,17 @@ live AS (SELECT * FROM plan WHERE len1 > 0 AND len2 > 0),
 d1 AS (
   SELECT p.lang, p.pair, t.line_no // p.len2 AS chunk, t.token, count(*) AS c1
   FROM toks t JOIN live p ON t.lang = p.lang AND t.split = p.doc1 GROUP BY ALL),
-chunks AS (SELECT DISTINCT lang, pair, chunk FROM d1),
+chunks AS (
+  SELECT DISTINCT d1.lang, d1.pair, chunk, least(len2, len1 - chunk * len2) AS lines2
+  FROM d1 JOIN live p ON d1.lang = p.lang AND d1.pair = p.pair),
+heads AS (SELECT DISTINCT lang, pair, lines2 FROM chunks),
+head_counts AS (
+  SELECT h.lang, h.pair, h.lines2, t.token, count(*) AS c2
+  FROM heads h JOIN live p ON h.lang = p.lang AND h.pair = p.pair
+  JOIN toks t ON t.lang = p.lang AND t.split = p.doc2 AND t.line_no < h.lines2 GROUP BY ALL),
 d2 AS (
-  SELECT c.lang, c.pair, c.chunk, t.token, count(*) AS c2
-  FROM chunks c JOIN live p ON c.lang = p.lang AND c.pair = p.pair
-  JOIN toks t ON t.lang = p.lang AND t.split = p.doc2
-    AND t.line_no < least(p.len2, p.len1 - c.chunk * p.len2) GROUP BY ALL),
+  SELECT c.lang, c.pair, c.chunk, h.token, h.c2
+  FROM chunks c JOIN head_counts h ON c.lang = h.lang AND c.pair = h.pair AND c.lines2 = h.lines2),
 terms AS (
   SELECT coalesce(d1.lang, d2.lang) AS lang, coalesce(d1.pair, d2.pair) AS pair,
     coalesce(d1.chunk, d2.chunk) AS chunk, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2,

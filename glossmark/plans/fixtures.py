@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmark.operators.corpus import number_sentences, sentences
+from glossmark.session import spread
 
 EXPERIMENT_IDS = ["source_lang", "target_lang", "train_dataset", "test_dataset"]
 
@@ -22,9 +23,11 @@ def _lang(nation):
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the columns the experiment table is made of."""
-    items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    items = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+        )
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("cn"))
@@ -121,7 +124,8 @@ def document_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as train, dev and test corpora per language."""
     tenth = F.col("doc_id") % 10
     split = F.when(tenth < 8, "train").when(tenth == 8, "dev").otherwise("test")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", split.alias("split"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return docs.select("doc_id", "lang", split.alias("split"), "text")
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +180,7 @@ def hyp_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     def without(step: int, rest):
         return F.array_join(F.filter("_w", lambda w, i: i % step != rest), " ")
 
-    return docs.select("doc_id", "lang", words.alias("_w")).select(
+    return spread(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", words.alias("_w")).select(
         F.col("doc_id").alias("seg_id"),
         "lang",
         without(7, F.col("doc_id") % 7).alias("hyp"),

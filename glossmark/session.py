@@ -56,6 +56,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan has fewer partitions than there are cores.
+
+    Only small or single-row-group inputs are repartitioned; a large scan is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def join_bounded(
     big: DataFrame,
     small: DataFrame,
