@@ -49,19 +49,26 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _mean(column, unit: int):
+    """Mean of a two-decimal column from whole cents, so every engine gets the same bits."""
+    column = F.col(column) if isinstance(column, str) else column
+    cents = F.round(column * 100).cast("long")
+    return F.sum(cents) / F.nullif(F.count(column) * unit, F.lit(0).cast("long")).cast("double")
+
+
 def experiments_from(rows: DataFrame) -> DataFrame:
     price = F.col("l_extendedprice")
     odd = F.col("l_linenumber") % 2 == 1
     grouped = rows.groupBy(*EXPERIMENT_IDS, "sn", "cn").agg(
         (F.count(F.lit(1)) * 1000).alias("dataset_size"),
         F.avg("l_quantity").alias("avg_train_sentence_length"),
-        F.avg("l_discount").alias("ttr_train"),
-        F.avg("l_tax").alias("ttr_test"),
+        _mean("l_discount", 100).alias("ttr_train"),
+        _mean("l_tax", 100).alias("ttr_test"),
         F.avg("p_size").alias("train_word_vocab_size"),
-        (F.avg(price) / 1000).alias("m2m100_ft_spBLEU_mean"),
+        _mean(price, 100_000).alias("m2m100_ft_spBLEU_mean"),
         (F.stddev_pop(price) / 1000).alias("m2m100_ft_spBLEU_se"),
-        (F.avg(F.when(odd, price)) / 1000).alias("trfm_spBLEU_mean"),
-        (F.avg("o_totalprice") / 1000).alias("small100_ft_spBLEU_mean"),
+        _mean(F.when(odd, price), 100_000).alias("trfm_spBLEU_mean"),
+        _mean("o_totalprice", 100_000).alias("small100_ft_spBLEU_mean"),
     )
     sn, cn = F.col("sn"), F.col("cn")
     return grouped.select(
@@ -99,6 +106,10 @@ sales AS (
   JOIN part ON l_partkey = p_partkey)"""
 
 
+def _mean_sql(column: str, unit: int) -> str:
+    return f"(sum(CAST(round(({column}) * 100) AS BIGINT))::DOUBLE / nullif(count({column}) * {unit}, 0)::DOUBLE)"
+
+
 def experiments_sql(name: str = "exp_all", where: str = "TRUE") -> str:
     return f"""
 {name} AS (
@@ -107,11 +118,11 @@ def experiments_sql(name: str = "exp_all", where: str = "TRUE") -> str:
     abs(sn - cn) / 25.0 AS genetic, ((7 * sn + 3 * cn) % 100) / 100.0 AS geographic,
     ((5 * sn + cn) % 50) / 50.0 AS syntactic, 1.0::DOUBLE AS test_size,
     avg(p_size) AS train_word_vocab_size, avg(l_quantity) AS avg_train_sentence_length,
-    avg(l_discount) AS ttr_train, avg(l_tax) AS ttr_test,
+    {_mean_sql("l_discount", 100)} AS ttr_train, {_mean_sql("l_tax", 100)} AS ttr_test,
     CASE WHEN target_lang = 'eng' THEN 1 ELSE 0 END AS eng_target,
-    avg(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice END) / 1000 AS trfm_spBLEU_mean,
-    avg(o_totalprice) / 1000 AS small100_ft_spBLEU_mean,
-    avg(l_extendedprice) / 1000 AS m2m100_ft_spBLEU_mean,
+    {_mean_sql("CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice END", 100000)} AS trfm_spBLEU_mean,
+    {_mean_sql("o_totalprice", 100000)} AS small100_ft_spBLEU_mean,
+    {_mean_sql("l_extendedprice", 100000)} AS m2m100_ft_spBLEU_mean,
     stddev_pop(l_extendedprice) / 1000 AS m2m100_ft_spBLEU_se,
     source_lang || '|' || target_lang || '|' || train_dataset || '|' || test_dataset AS k
   FROM sales WHERE {where} GROUP BY source_lang, target_lang, train_dataset, test_dataset, sn, cn)"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossmark.plans import corpus_queries
+from glossmark.plans import corpus_queries, metric_queries
 
-MODULES = [corpus_queries]
+MODULES = [corpus_queries, metric_queries]
 
 
 def registered() -> dict:
