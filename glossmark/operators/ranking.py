@@ -9,26 +9,33 @@ from glossmark.functions.keys import seeded
 
 
 def seeded_rank(
-    df: DataFrame, strata: list[str], key: Column, seed: int, out: str, digits: int = 3
+    df: DataFrame,
+    strata: list[str],
+    key: Column,
+    seed: int | Column,
+    out: str,
+    digits: int = 3,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based rank by ``md5(seed|key)`` inside each stratum.
+    """1-based rank by ``md5(seed|key)`` inside each stratum; ``key`` is unique there.
 
     The leading hex digits of the hash cut every stratum into ``16 ** digits`` even
     buckets in rank order: bucket counts give the offset, and only rows of one bucket
     are sorted together. A stratum holding a third of the rows is spread like any other.
+    ``carry`` has one row per stratum; its other columns are added to the rows on the way.
     """
-    hashed = df.withColumn("_h", seeded(seed, key))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
-    counts = hashed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*strata).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = counts.select(
-        *strata, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
-    )
-    inside = Window.partitionBy(*strata, "_b").orderBy("_h")
+    hashed = df.withColumn("_h", seeded(seed, key)).withColumn("_b", F.substring("_h", 1, digits))
+    bucket = [*strata, "_b"]
+    counts = hashed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*bucket).orderBy("_h")
+    if strata:
+        before = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if carry is not None:
+        offsets = offsets.join(carry, strata) if strata else offsets.crossJoin(carry)
     ranked = hashed.withColumn("_r", F.row_number().over(inside))
-    joined = ranked.join(offsets, [*strata, "_b"])
+    joined = ranked.join(offsets, bucket)
     return joined.withColumn(out, F.col("_off") + F.col("_r")).drop("_h", "_b", "_off", "_r")
 
 

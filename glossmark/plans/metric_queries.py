@@ -418,16 +418,16 @@ def proxy_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("m2m100").alias("model"), F.lit(False).alias("tuned"), F.lit("spBLEU").alias("metric"), "mean", F.lit(0.0).alias("se"),
     )
     wide = hv.proxy_wide(long.unionByName(untuned), keys, ["source_lang", "target_lang", "test_dataset"], PROXY_COLUMNS)
-    return rounded(wide, [c for c in wide.columns if c not in keys])
+    return rounded(wide, ["m2m100_ft_spBLEU_se"])
 
 
 PROXY_SQL = f"""{fx.EXPERIMENTS_SQL},
 u AS (SELECT source_lang, target_lang, test_dataset, max(ttr_test) AS m FROM exp_all GROUP BY ALL)
 SELECT e.source_lang, e.target_lang, train_dataset, e.test_dataset,
-  round(m2m100_ft_spBLEU_mean, 6) AS "m2m100_ft_spBLEU_mean", round(m2m100_ft_spBLEU_se, 6) AS "m2m100_ft_spBLEU_se",
-  round(trfm_spBLEU_mean, 6) AS "trfm_spBLEU_mean", 0.0::DOUBLE AS "trfm_spBLEU_se",
-  round(small100_ft_spBLEU_mean, 6) AS "small100_ft_spBLEU_mean", 0.0::DOUBLE AS "small100_ft_spBLEU_se",
-  round(m, 6) AS "m2m100_noft_spBLEU_mean", 0.0::DOUBLE AS "m2m100_noft_spBLEU_se"
+  m2m100_ft_spBLEU_mean, round(m2m100_ft_spBLEU_se, 6) AS "m2m100_ft_spBLEU_se",
+  trfm_spBLEU_mean, 0.0::DOUBLE AS "trfm_spBLEU_se",
+  small100_ft_spBLEU_mean, 0.0::DOUBLE AS "small100_ft_spBLEU_se",
+  m AS "m2m100_noft_spBLEU_mean", 0.0::DOUBLE AS "m2m100_noft_spBLEU_se"
 FROM exp_all e JOIN u ON e.source_lang = u.source_lang AND e.target_lang = u.target_lang AND e.test_dataset = u.test_dataset"""
 
 

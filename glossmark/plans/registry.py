@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossmark.plans import corpus_queries, metric_queries
+from glossmark.plans import corpus_queries, metric_queries, table_queries
 
-MODULES = [corpus_queries, metric_queries]
+MODULES = [corpus_queries, metric_queries, table_queries]
 
 
 def registered() -> dict:
