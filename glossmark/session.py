@@ -71,13 +71,15 @@ def join_bounded(
     on: list[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
+    staged: bool = False,
 ) -> DataFrame:
     """Join a side expected to be small: broadcast it if its counted size allows.
 
-    ``small`` is staged, so the count and the join read the same written table.
+    ``small`` is staged unless it is already, so the count and the join read one table.
     Above ``max_rows`` the join is a shuffle join and AQE splits skewed partitions.
     """
-    small = stage(small, "side")
+    if not staged:
+        small = stage(small, "side")
     if small.count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
