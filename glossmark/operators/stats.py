@@ -150,64 +150,64 @@ def pair_plan(sizes: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def tfidf_distance(tokenised: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
-    """Mean TF-IDF cosine distance between chunks of one corpus and another corpus.
-
-    ``tokenised`` has ``(group, split, line_no, tokens)`` with dense numbers. Chunks of
-    doc1 have the length of doc2; a short last chunk meets the same number of doc2 lines.
-    With two documents the smooth idf is 1 for shared and ``RARE_IDF`` for other terms, so
-    each chunk needs only its own counts and the doc2 counts of the terms they share.
-    A chunk without tokens on either side has no distance and is left out of the mean.
+def tfidf_pairs(tokenised: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Mean TF-IDF cosine distance between chunks of ``corpus1`` and ``corpus2``.
+
+    ``tokenised`` has ``(corpus, line_no, tokens)`` with dense numbers, ``pairs`` has
+    ``(corpus1, corpus2, len1, len2)``. Chunks of corpus1 have the length of corpus2; a
+    short last chunk meets the same number of corpus2 lines. With two documents the
+    smooth idf is 1 for shared and ``RARE_IDF`` for other terms, so each chunk needs only
+    its own counts and the corpus2 counts of the terms they share. A chunk without tokens
+    on either side has no distance and is left out of the mean; so is an empty corpus2.
     """
-    plan = pair_plan(sizes, group).filter("len1 > 0 and len2 > 0")
-    role1 = plan.select(*group, F.col("doc1").alias("split"), "pair", "len1", "len2")
-    role2 = plan.select(*group, F.col("doc2").alias("split"), "pair", "len1", "len2")
-    last = F.floor(F.col("len1") / F.col("len2"))
-    tail = F.col("len1") % F.col("len2")
-
-    walked = join_bounded(tokenised, role1, [*group, "split"]).select(
-        *group, "pair", F.floor(F.col("line_no") / F.col("len2")).alias("chunk"),
-        last.alias("last"), F.explode("tokens").alias("token"),
-    )
-    doc1 = walked.groupBy(*group, "pair", "chunk", "last", "token").agg(F.count(F.lit(1)).alias("c1"))
-
-    compared = join_bounded(tokenised, role2, [*group, "split"]).select(
-        *group, "pair", (F.col("line_no") < tail).cast("int").alias("in_tail"),
-        F.explode("tokens").alias("token"),
+    both = ["corpus1", "corpus2"]
+    live = stage(pairs.filter("len1 > 0 AND len2 > 0"), "pairs")
+    walked = join_bounded(tokenised, live.withColumn("corpus", F.col("corpus1")), ["corpus"])
+    doc1 = (
+        walked.selectExpr(*both, "line_no div len2 AS chunk", "len1 div len2 AS last", "explode(tokens) AS token")
+        .groupBy(*both, "chunk", "last", "token")
+        .agg(F.count(F.lit(1)).cast("double").alias("c1"))
     )
+    compared = join_bounded(tokenised, live.withColumn("corpus", F.col("corpus2")), ["corpus"])
     doc2 = stage(
-        compared.groupBy(*group, "pair", "token").agg(
-            F.count(F.lit(1)).alias("full"), F.sum("in_tail").alias("part")
-        ),
+        compared.selectExpr(*both, "line_no < len1 % len2 AS in_tail", "explode(tokens) AS token")
+        .groupBy(*both, "token")
+        .agg(F.count(F.lit(1)).cast("double").alias("full"), F.sum(F.col("in_tail").cast("double")).alias("part")),
         "doc2-counts",
     )
-    norms2 = doc2.groupBy(*group, "pair").agg(
-        F.sum(F.col("full") * F.col("full")).alias("full_sq"),
-        F.sum(F.col("part") * F.col("part")).alias("part_sq"),
-    )
-
+    norms = doc2.groupBy(*both).agg(F.expr("sum(full * full)").alias("full_sq"), F.expr("sum(part * part)").alias("part_sq"))
     k2 = RARE_IDF**2
-    c1 = F.col("c1").cast("double")
-    c2 = F.coalesce(F.when(F.col("chunk") == F.col("last"), F.col("part")).otherwise(F.col("full")), F.lit(0))
     chunks = (
-        doc1.join(doc2, [*group, "pair", "token"], "left")
-        .withColumn("c2", c2.cast("double"))
-        .groupBy(*group, "pair", "chunk", "last")
+        doc1.join(doc2, [*both, "token"], "left")
+        .withColumn("c2", F.expr("coalesce(if(chunk = last, part, full), 0)"))
+        .groupBy(*both, "chunk", "last")
         .agg(
-            F.sum(c1 * F.col("c2")).alias("dot"),
-            F.sum(c1 * c1 * F.when(F.col("c2") > 0, 1.0).otherwise(k2)).alias("sq1"),
-            F.sum(F.when(F.col("c2") > 0, F.col("c2") * F.col("c2")).otherwise(0.0)).alias("shared_sq"),
+            F.expr("sum(c1 * c2)").alias("dot"),
+            F.expr(f"sum(c1 * c1 * if(c2 > 0, 1, {k2}D))").alias("sq1"),
+            F.expr("sum(c2 * c2)").alias("shared_sq"),
         )
     )
-    whole_sq = F.when(F.col("chunk") == F.col("last"), F.col("part_sq")).otherwise(F.col("full_sq"))
-    scored = join_bounded(chunks, norms2, [*group, "pair"]).withColumn(
-        "sq2", whole_sq * k2 - F.col("shared_sq") * (k2 - 1)
+    scored = join_bounded(chunks, norms, both).withColumn(
+        "sq2", F.expr(f"if(chunk = last, part_sq, full_sq) * {k2}D - shared_sq * {k2 - 1}D")
+    )
+    distance = 1 - ratio(F.col("dot"), F.sqrt("sq1") * F.sqrt("sq2"))
+    return scored.groupBy(*both).agg(F.avg(distance).alias("distance"))
+
+
+def tfidf_distance(tokenised: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
+    """``tfidf_pairs`` over the three splits of each group, one column per pair."""
+
+    def corpus(split: str) -> Column:
+        return F.concat_ws("|", *group, split)
+
+    plan = pair_plan(sizes, group).withColumns({"corpus1": corpus("doc1"), "corpus2": corpus("doc2")})
+    plan = stage(plan, "plan")
+    named = tokenised.select(corpus("split").alias("corpus"), "line_no", "tokens")
+    scored = tfidf_pairs(named, plan.select("corpus1", "corpus2", "len1", "len2"))
+    found = plan.join(scored, ["corpus1", "corpus2"], "left")
+    return found.groupBy(*group).agg(
+        *[F.max(F.when(F.col("pair") == f"{a}_{b}", F.col("distance"))).alias(f"{a}_{b}_tf_idf") for a, b in PAIRS]
     )
-    distance = 1 - ratio(F.col("dot"), F.sqrt(F.col("sq1")) * F.sqrt(F.col("sq2")))
-    means = [
-        F.avg(F.when(F.col("pair") == f"{a}_{b}", distance)).alias(f"{a}_{b}_tf_idf") for a, b in PAIRS
-    ]
-    return scored.groupBy(*group).agg(*means)
 
 
 def embedding_distance(vectors: DataFrame, group: list[str], embedding: str = "embedding") -> DataFrame:
@@ -255,3 +255,108 @@ def corpus_features(
     ):
         table = table.join(part, group, "left")
     return table.select(*group, "train_size", *FEATURES)
+
+
+def corpus_profiles(tokenised: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(corpus, size, tokens, vocab)`` of each corpus."""
+    sizes = tokenised.groupBy("corpus").agg(F.count(F.lit(1)).alias("size"))
+    words = counts.groupBy("corpus").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("vocab"))
+    return sizes.join(words, "corpus", "left").fillna(0, ["tokens", "vocab"])
+
+
+def vocabulary_pairs(counts: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(corpus1, corpus2, shared, jsd)`` from token counts of single corpora.
+
+    Only counted vocabularies are repeated per pair, never text.
+    """
+    both = ["corpus1", "corpus2"]
+    pairs = stage(pairs.select(*both).distinct(), "pairs")
+
+    def side(own: str, a: str, b: str) -> DataFrame:
+        named = join_bounded(counts, pairs.withColumn("corpus", F.col(own)), ["corpus"])
+        return named.selectExpr(*both, "token", f"{a} AS a", f"{b} AS b")
+
+    merged = (
+        side("corpus1", "n", "0").unionByName(side("corpus2", "0", "n"))
+        .groupBy(*both, "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    )
+    totals = pairs.join(profiles.selectExpr("corpus AS corpus1", "tokens AS total1"), "corpus1").join(
+        profiles.selectExpr("corpus AS corpus2", "tokens AS total2"), "corpus2"
+    )
+    shared = join_bounded(merged, totals, both)
+    p, q = ratio(F.col("a"), F.col("total1")), ratio(F.col("b"), F.col("total2"))
+    sums = shared.groupBy(*both).agg(
+        F.count(F.when((F.col("a") > 0) & (F.col("b") > 0), 1)).alias("shared"),
+        F.sum(_divergence(p, q)).alias("_d"),
+        F.min(F.least("total1", "total2")).alias("_least"),
+    )
+    return sums.selectExpr(*both, "shared", "if(_least > 0, sqrt(greatest(_d, 0) / 2), NULL) AS jsd")
+
+
+def embedding_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(corpus1, corpus2, similarity)``: cosine distance of mean embeddings."""
+    means = vectors.select("corpus", F.posexplode("embedding").alias("pos", "x")).groupBy("corpus", "pos").agg(
+        F.avg(F.col("x").cast("double")).alias("m")
+    )
+    means = stage(means, "means")
+    left, right = (means.selectExpr(f"corpus AS corpus{i}", "pos", f"m AS m{i}") for i in (1, 2))
+    joined = pairs.select("corpus1", "corpus2").distinct().join(left, "corpus1").join(right, ["corpus2", "pos"])
+    sums = joined.groupBy("corpus1", "corpus2").agg(
+        F.expr("sum(m1 * m2)").alias("dot"), F.expr("sqrt(sum(m1 * m1)) * sqrt(sum(m2 * m2))").alias("norm")
+    )
+    return sums.select("corpus1", "corpus2", (1 - ratio(F.col("dot"), F.col("norm"))).alias("similarity"))
+
+
+def experiment_features(experiments: DataFrame, tokenised: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Attach the features to experiment rows naming a train, dev and test corpus.
+
+    ``experiments`` has ``train_corpus, dev_corpus, test_corpus``; ``tokenised`` has
+    ``(corpus, line_no, tokens)`` and ``vectors`` ``(corpus, embedding)``. Every corpus and
+    every pair of corpora is worked out once, however many rows use it.
+    """
+    tokenised = stage(tokenised, "tokens")
+    counts = stage(token_counts(tokenised, ["corpus"]), "counts")
+    profiles = stage(corpus_profiles(tokenised, counts), "profiles")
+    names = [f"{s}_corpus" for s in SPLITS]
+    triples = stage(experiments.select(*names).distinct(), "triples")
+    table = triples
+    for s in SPLITS:
+        own = profiles.selectExpr(
+            f"corpus AS {s}_corpus", f"size AS {s}_size", f"tokens AS {s}_tokens", f"vocab AS {s}_word_vocab_size"
+        )
+        table = table.join(own, f"{s}_corpus", "left")
+    table = stage(table, "triples")
+    pairs = [
+        table.selectExpr(f"{a}_corpus AS corpus1", f"{b}_corpus AS corpus2", f"{a}_size AS len1", f"{b}_size AS len2")
+        for a, b in PAIRS
+    ]
+    # Dev against test is walked from the longer of the two.
+    walk = [pairs[0], pairs[1], pairs[2].selectExpr(
+        "if(len1 > len2, corpus1, corpus2) AS corpus1", "if(len1 > len2, corpus2, corpus1) AS corpus2",
+        "greatest(len1, len2) AS len1", "least(len1, len2) AS len2",
+    )]
+    every = stage(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), "pairs")
+    walked = walk[0].unionByName(walk[1]).unionByName(walk[2]).distinct()
+    found = [
+        (vocabulary_pairs(counts, profiles, every), {"shared": "shared", "jsd": "jsd"}),
+    ]
+    if vectors is not None:
+        found.append((embedding_pairs(vectors, every), {"similarity": "st_similarity"}))
+    for part, columns in found:
+        part = stage(part, "pair-features")
+        for a, b in PAIRS:
+            own = [f"{c} AS {a}_{b}_{name}" for c, name in columns.items()]
+            table = table.join(
+                part.selectExpr(f"corpus1 AS {a}_corpus", f"corpus2 AS {b}_corpus", *own), [f"{a}_corpus", f"{b}_corpus"], "left"
+            )
+    distances = stage(tfidf_pairs(tokenised, walked), "tfidf")
+    for a, b in PAIRS:
+        swap = (a, b) == ("dev", "test")
+        first = "if(dev_size > test_size, dev_corpus, test_corpus)" if swap else f"{a}_corpus"
+        second = "if(dev_size > test_size, test_corpus, dev_corpus)" if swap else f"{b}_corpus"
+        keyed = table.withColumns({"_first": F.expr(first), "_second": F.expr(second)})
+        own = distances.selectExpr("corpus1 AS _first", "corpus2 AS _second", f"distance AS {a}_{b}_tf_idf")
+        table = keyed.join(own, ["_first", "_second"], "left").drop("_first", "_second")
+    table = derived_stats(table)
+    kept = [c for c in FEATURES if c in table.columns]
+    return join_bounded(experiments, table.select(*names, "train_size", *kept), names, "left")

@@ -375,6 +375,91 @@ SELECT l_orderkey, l_linenumber, CASE WHEN target_lang <> 'eng' THEN target_lang
   CASE WHEN tr = test_dataset THEN 1 ELSE 0 END AS same_domain FROM r"""
 
 
+def experiment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as experiments: training and test language differ, so corpora are shared widely."""
+    langs = "array('de', 'en', 'es', 'fr')"
+    rows = fx.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        f"concat({langs}[cast(o_custkey % 4 AS int)], '|train') AS train_corpus",
+        f"concat({langs}[cast(o_custkey % 4 AS int)], '|dev') AS dev_corpus",
+        f"concat({langs}[cast(o_orderkey % 4 AS int)], '|test') AS test_corpus",
+    )
+    lines = fx.numbered_corpus_lines(spark, sf_dir).selectExpr("concat(lang, '|', split) AS corpus", "line_no", "text")
+    table = stats.experiment_features(rows, tokenise(lines, "word"))
+    return rounded(table, [c for c in stats.FEATURES if c in table.columns and dict(table.dtypes)[c] == "double"])
+
+
+def _pair_sql() -> str:
+    """Statistics of corpora named ``lang|split`` and of pairs of them."""
+    share = "(a / nullif(t1, 0)::DOUBLE)", "(b / nullif(t2, 0)::DOUBLE)"
+    term = "CASE WHEN {0} > 0 THEN {0} * ln({0} / (({0} + {1}) / 2)) ELSE 0 END"
+    return f"""
+ct AS (SELECT lang || '|' || split AS corpus, line_no, token FROM toks),
+cc AS (SELECT corpus, token, count(*) AS n FROM ct GROUP BY ALL),
+cs AS (SELECT lang || '|' || split AS corpus, count(*) AS size FROM lines GROUP BY 1),
+cp AS (SELECT cs.corpus, size, coalesce(sum(n), 0)::BIGINT AS tokens, count(n) AS vocab FROM cs LEFT JOIN cc USING (corpus) GROUP BY ALL),
+rows AS (
+  SELECT o_orderkey, ['de', 'en', 'es', 'fr'][o_custkey % 4 + 1] || '|train' AS train_corpus,
+    ['de', 'en', 'es', 'fr'][o_custkey % 4 + 1] || '|dev' AS dev_corpus,
+    ['de', 'en', 'es', 'fr'][o_orderkey % 4 + 1] || '|test' AS test_corpus FROM orders),
+ps AS (
+  SELECT DISTINCT train_corpus AS corpus1, dev_corpus AS corpus2 FROM rows
+  UNION SELECT DISTINCT train_corpus, test_corpus FROM rows UNION SELECT DISTINCT dev_corpus, test_corpus FROM rows),
+sizes2 AS (
+  SELECT corpus1, corpus2, a.size AS s1, b.size AS s2, a.tokens AS t1, b.tokens AS t2
+  FROM ps JOIN cp a ON a.corpus = corpus1 JOIN cp b ON b.corpus = corpus2),
+voc AS (
+  SELECT p.corpus1, p.corpus2, p.t1, p.t2, coalesce(x.token, y.token) AS token, coalesce(x.n, 0) AS a, coalesce(y.n, 0) AS b
+  FROM (SELECT s.*, c.token, c.n FROM sizes2 s JOIN cc c ON c.corpus = s.corpus1) x
+  FULL JOIN (SELECT s.*, c.token, c.n FROM sizes2 s JOIN cc c ON c.corpus = s.corpus2) y
+    ON x.corpus1 = y.corpus1 AND x.corpus2 = y.corpus2 AND x.token = y.token
+  JOIN sizes2 p ON p.corpus1 = coalesce(x.corpus1, y.corpus1) AND p.corpus2 = coalesce(x.corpus2, y.corpus2)),
+vp AS (
+  SELECT corpus1, corpus2, count(*) FILTER (WHERE a > 0 AND b > 0) AS shared,
+    sqrt(greatest(sum({term.format(*share)} + {term.format(*reversed(share))}), 0) / 2) AS jsd FROM voc GROUP BY corpus1, corpus2),
+wp AS (
+  SELECT corpus1, corpus2, CASE WHEN corpus1 LIKE '%dev' AND s1 <= s2 THEN corpus2 ELSE corpus1 END AS w1,
+    CASE WHEN corpus1 LIKE '%dev' AND s1 <= s2 THEN corpus1 ELSE corpus2 END AS w2,
+    CASE WHEN corpus1 LIKE '%dev' THEN greatest(s1, s2) ELSE s1 END AS l1, CASE WHEN corpus1 LIKE '%dev' THEN least(s1, s2) ELSE s2 END AS l2
+  FROM sizes2),
+e1 AS (SELECT corpus1, corpus2, line_no // l2 AS chunk, least(l2, l1 - line_no // l2 * l2) AS head, token, count(*) AS c1
+  FROM wp JOIN ct ON ct.corpus = w1 GROUP BY ALL),
+hd AS (SELECT DISTINCT corpus1, corpus2, head FROM e1),
+e2 AS (SELECT corpus1, corpus2, head, token, count(*) AS c2
+  FROM hd JOIN wp USING (corpus1, corpus2) JOIN ct ON ct.corpus = w2 AND ct.line_no < head GROUP BY ALL),
+ch AS (SELECT DISTINCT corpus1, corpus2, chunk, head FROM e1),
+e3 AS (SELECT ch.corpus1, ch.corpus2, chunk, token, c2 FROM ch JOIN e2 USING (corpus1, corpus2, head)),
+tm AS (
+  SELECT coalesce(e1.corpus1, e3.corpus1) AS corpus1, coalesce(e1.corpus2, e3.corpus2) AS corpus2,
+    coalesce(e1.chunk, e3.chunk) AS chunk, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2,
+    CASE WHEN c1 IS NOT NULL AND c2 IS NOT NULL THEN 1 ELSE ln(1.5) + 1 END AS idf
+  FROM e1 FULL JOIN e3 ON e1.corpus1 = e3.corpus1 AND e1.corpus2 = e3.corpus2 AND e1.chunk = e3.chunk AND e1.token = e3.token),
+td AS (
+  SELECT corpus1, corpus2, chunk,
+    1 - sum(c1 * idf * c2 * idf) / nullif(sqrt(sum(pow(c1 * idf, 2))) * sqrt(sum(pow(c2 * idf, 2))), 0) AS d FROM tm GROUP BY ALL),
+tp AS (SELECT corpus1, corpus2, avg(d) AS tf_idf FROM td GROUP BY ALL)"""
+
+
+def _experiment_sql() -> str:
+    columns, joins = [], []
+    for s in stats.SPLITS:
+        joins.append(f"LEFT JOIN cp p_{s} ON p_{s}.corpus = {s}_corpus")
+        columns += [f"p_{s}.size AS {s}_size", f"p_{s}.vocab AS {s}_word_vocab_size"]
+        columns.append(f"round(p_{s}.tokens / nullif(p_{s}.size, 0)::DOUBLE, 6) AS avg_{s}_sentence_length")
+        columns.append(f"round(p_{s}.vocab / nullif(p_{s}.tokens, 0)::DOUBLE, 6) AS ttr_{s}")
+    for a, b in stats.PAIRS:
+        joins.append(f"LEFT JOIN vp v_{a}_{b} ON v_{a}_{b}.corpus1 = {a}_corpus AND v_{a}_{b}.corpus2 = {b}_corpus")
+        joins.append(f"LEFT JOIN tp t_{a}_{b} ON t_{a}_{b}.corpus1 = {a}_corpus AND t_{a}_{b}.corpus2 = {b}_corpus")
+        ratio = f"(p_{a}.vocab / nullif(p_{a}.tokens, 0)::DOUBLE) / nullif(p_{b}.vocab / nullif(p_{b}.tokens, 0)::DOUBLE, 0)"
+        columns += [
+            f"round(v_{a}_{b}.shared / nullif(p_{a}.vocab + p_{b}.vocab, 0)::DOUBLE, 6) AS {a}_{b}_word_overlap",
+            f"round(pow(1 - {ratio}, 2), 6) AS {a}_{b}_ttr_distance",
+            f"round(v_{a}_{b}.jsd, 6) AS {a}_{b}_jsd", f"round(t_{a}_{b}.tf_idf, 6) AS {a}_{b}_tf_idf",
+        ]
+    return f"""WITH {fx.LINES_SQL}, {fx.WORD_TOKENS_SQL}, {_pair_sql()}
+SELECT o_orderkey, train_corpus, dev_corpus, test_corpus, {", ".join(columns)} FROM rows {" ".join(joins)}"""
+
+
 QUERIES = {
     "pair_length_filter": (pair_length_filter, PAIR_LENGTH_SQL),
     "numbered_lines": (numbered_lines, NUMBERED_SQL),
@@ -389,6 +474,7 @@ QUERIES = {
     "corpus_tfidf_distance": (corpus_tfidf_distance, TFIDF_SQL),
     "embedding_distance": (embedding_distance, EMBED_SQL),
     "corpus_features_26": (corpus_features, FEATURES_SQL),
+    "experiment_features": (experiment_features, _experiment_sql()),
     "attach_features": (attach_features, ATTACH_SQL),
     "key_rules": (key_rules, KEY_RULES_SQL),
 }
