@@ -10,6 +10,7 @@ from glossmark.operators import harvest as hv
 from glossmark.operators import metrics as mt
 from glossmark.operators.corpus import filter_pairs
 from glossmark.plans import fixtures as fx
+from glossmark.plans import jobs
 from glossmark.plans.corpus_queries import PAIRS_SQL, rounded
 from glossmark.session import stage
 from glossmark.sources import reports, tables
@@ -431,6 +432,12 @@ SELECT e.source_lang, e.target_lang, train_dataset, e.test_dataset,
 FROM exp_all e JOIN u ON e.source_lang = u.source_lang AND e.target_lang = u.target_lang AND e.test_dataset = u.test_dataset"""
 
 
+def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics with confidence, per language, as the scoring job writes them."""
+    segments = fx.hyp_ref(spark, sf_dir).selectExpr("seg_id", "lang", "hyp", "ref0 AS ref")
+    return rounded(jobs.metric_report(segments, ["lang"], resamples=40), ["mean", "se"])
+
+
 QUERIES = {
     "mteval_tokens": (mteval_tokens, MTEVAL_SQL),
     "bleu_corpus": (bleu_corpus, BLEU_SQL),
@@ -439,6 +446,7 @@ QUERIES = {
     "chrf_words_corpus": (chrf_words_corpus, _chrf_sql(2)),
     "edit_rate": (edit_rate, EDIT_SQL),
     "bleu_bootstrap": (bleu_bootstrap, _bootstrap_sql()),
+    "metric_report": (metric_report, None),
     "task_scores": (task_scores, TASK_SCORES_SQL),
     "generator_log": (generator_log, GENERATOR_SQL),
     "translation_records": (translation_records, TRANSLATION_SQL),
