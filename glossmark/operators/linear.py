@@ -26,23 +26,26 @@ _MAX_OPEN_CELLS = 512
 
 
 def centred(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Columns as one array ``v`` = (1, features, label), shifted and scaled to unit size.
+    """Columns as one array ``v`` = (1, features, label), shifted and brought to unit size.
 
-    The shift keeps the sums of products well conditioned; fits do not depend on it
-    except through the label, which is only scaled back at the end.
+    This keeps the sums of products well conditioned. Errors do not depend on a shift;
+    the label and the columns that models take unscaled keep their size.
     """
     names = [*columns, label]
     stats = df.selectExpr(
         *[f"avg(`{c}`) AS m{i}" for i, c in enumerate(names)],
         *[f"stddev_pop(`{c}`) AS s{i}" for i, c in enumerate(names)],
     )
-    unit = ", ".join(
-        f"(cast(`{c}` AS double) - m{i}) / if(s{i} <= abs(m{i}) * 1e-12, 1.0D, s{i})" if i < len(columns)
-        else f"cast(`{c}` AS double) - m{i}"
-        for i, c in enumerate(names)
-    )
+
+    def unit(i: int, c: str) -> str:
+        shifted = f"cast(`{c}` AS double) - m{i}"
+        if c == label or c in PASS_THROUGH:
+            return shifted
+        return f"({shifted}) / if(s{i} <= abs(m{i}) * 1e-12, 1.0D, s{i})"
+
+    values = ", ".join(unit(i, c) for i, c in enumerate(names))
     others = [f"`{c}`" for c in df.columns if c not in names]
-    return df.crossJoin(F.broadcast(stats)).selectExpr(*others, f"array(1.0D, {unit}) AS v")
+    return df.crossJoin(F.broadcast(stats)).selectExpr(*others, f"array(1.0D, {values}) AS v")
 
 
 def moments(df: DataFrame, cells: str = "cells", vector: str = "v") -> DataFrame:
