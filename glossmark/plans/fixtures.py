@@ -184,30 +184,30 @@ def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hyp_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hypotheses and two references made from the first line of each document."""
-    docs = table(spark, sf_dir, "documents")
-    words = F.split(F.split("text", "\n")[0], " ")
-
-    def without(step: int, rest):
-        return F.array_join(F.filter("_w", lambda w, i: i % step != rest), " ")
-
-    return spread(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", words.alias("_w")).select(
-        F.col("doc_id").alias("seg_id"),
-        "lang",
-        without(7, F.col("doc_id") % 7).alias("hyp"),
-        F.array_join("_w", " ").alias("ref0"),
-        without(11, F.lit(0)).alias("ref1"),
+    """Every non-blank line of every document as a segment: hypothesis and two references
+    with some words left out."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    lines = docs.selectExpr("doc_id", "lang", "posexplode(split(text, '\\n')) AS (pos, line)").filter("trim(line) <> ''")
+    words = lines.selectExpr("doc_id", "concat_ws('-', doc_id, pos + 1) AS seg_id", "lang", "split(line, ' ') AS w")
+    return words.selectExpr(
+        "seg_id", "lang",
+        "array_join(filter(w, (x, i) -> i % 7 <> doc_id % 7), ' ') AS hyp",
+        "array_join(w, ' ') AS ref0",
+        "array_join(filter(w, (x, i) -> i % 11 <> 0), ' ') AS ref1",
     )
 
 
 HYP_REF_SQL = """
+doc_lines AS (
+  SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 base AS (
-  SELECT doc_id AS seg_id, lang, string_split(string_split(text, chr(10))[1], ' ') AS w FROM documents),
+  SELECT doc_id, doc_id || '-' || pos AS seg_id, lang, string_split(line, ' ') AS w FROM doc_lines WHERE trim(line) <> ''),
 spread AS (
-  SELECT seg_id, lang, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM base),
+  SELECT doc_id, seg_id, lang, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM base),
 hr AS (
   SELECT seg_id, lang,
-    coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE p % 7 <> seg_id % 7), '') AS hyp,
+    coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE p % 7 <> doc_id % 7), '') AS hyp,
     string_agg(word, ' ' ORDER BY p) AS ref0,
     coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE p % 11 <> 0), '') AS ref1
   FROM spread GROUP BY seg_id, lang)"""

@@ -98,18 +98,19 @@ def metric_report(
     seg = F.col("seg_id").cast("string")
 
     def row(name: str, table: DataFrame, columns: list[str], score: Column) -> DataFrame:
-        scores = mt.bootstrap_scores(stage(table, "segment-stats"), group, seg, columns, score, resamples)
+        scores = mt.bootstrap_scores(table, group, seg, columns, score, resamples)
         found = mt.confidence(scores, group, resamples)
         return found.selectExpr(*group, f"'{name}' AS metric", "confidence_mean AS mean", "confidence_var AS se")
 
     rows = []
     for name, cut in (("spBLEU", subword), ("BLEU", plain_tokens)):
-        table = mt.bleu_stats(segments, key, ["ref"], cut)
+        table = stage(mt.bleu_stats(segments, key, ["ref"], cut), "segment-stats")
         rows.append(row(name, table, mt.BLEU_COLUMNS, mt.bleu_score(smooth=True)))
+    # The counts with words hold those without.
+    grams = stage(mt.chrf_stats(segments, key, "ref", 2), "segment-stats")
     for name, order in (("chrF2++", 2), ("chrF2", 0)):
-        table = mt.chrf_stats(segments, key, "ref", order)
-        rows.append(row(name, table, mt.chrf_columns(order), mt.chrf_score(order)))
-    edits = mt.edit_stats(segments, key, "ref")
+        rows.append(row(name, grams, mt.chrf_columns(order), mt.chrf_score(order)))
+    edits = stage(mt.edit_stats(segments, key, "ref"), "segment-stats")
     rows.append(row("TER", edits, ["edits", "ref_words"], mt.edit_rate()))
     out = rows[0]
     for more in rows[1:]:

@@ -250,7 +250,7 @@ def generator_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hypotheses cut out of a log made of documents: source, hypothesis and detail lines."""
     docs = fx.table(spark, sf_dir, "documents")
     number = F.col("doc_id").cast("string")
-    body = F.regexp_replace(F.split("text", "\n")[0], " ", "\t")
+    body = F.regexp_replace("text", "[ \n]", "\t")
     log = docs.select(
         F.explode(
             F.array(
@@ -263,7 +263,7 @@ def generator_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_source.hypotheses(log).select("seg_id", F.md5("hyp").alias("hyp_md5"))
 
 
-GENERATOR_SQL = """SELECT doc_id AS seg_id, md5(replace(string_split(text, chr(10))[1], ' ', chr(9))) AS hyp_md5 FROM documents"""
+GENERATOR_SQL = """SELECT doc_id AS seg_id, md5(replace(replace(text, chr(10), chr(9)), ' ', chr(9))) AS hyp_md5 FROM documents"""
 
 
 def translation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
