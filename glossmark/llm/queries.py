@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import byte_bpe, sharding, token_counts, url_rules, wu_manber
+from glossmark.llm import byte_bpe, sharding, substrings, token_counts, url_rules, wu_manber
 from glossmark.llm.common import crc32_sql, table
 from glossmark.session import staging_dir
 
@@ -82,6 +82,33 @@ FROM placed
 """
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select(
+        "doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.col("dedup.kept"), 256).alias("kept_sha256")
+    )
+
+
+OP2_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS k
+    FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM docs WHERE len(w) >= 50) AS x),
+least AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+    FROM windows JOIN least USING (k) WHERE least < doc_id),
+gaps AS (SELECT doc_id, list(p) AS p FROM gone GROUP BY doc_id),
+words AS (
+    SELECT docs.doc_id, p + 1 AS place, w[p + 1] AS word
+    FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM docs) AS docs
+    WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = docs.doc_id AND gone.p = docs.p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM words GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN gaps USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cache = f"{staging_dir(spark)}/token-cache-{uuid.uuid4().hex}"
@@ -166,6 +193,7 @@ def _op10_sql() -> str:
 
 QUERIES: dict = {
     "op1_sharding": (op1_sharding, OP1_SQL),
+    "op2_substrings": (op2_substrings, OP2_SQL),
     "op5_token_counts": (op5_token_counts, None),
     "op6_byte_bpe": (op6_byte_bpe, None),
     "op8_decontamination": (op8_decontamination, OP8_SQL),
