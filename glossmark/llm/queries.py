@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import byte_bpe, sharding, substrings, token_counts, url_rules, wu_manber
+from glossmark.llm import byte_bpe, prob_minhash, sharding, substrings, token_counts, url_rules, wu_manber
 from glossmark.llm.common import crc32_sql, table
 from glossmark.session import staging_dir
 
@@ -128,6 +128,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = wu_manber.find_items(docs, table(spark, sf_dir, "benchmark"))
@@ -196,6 +200,7 @@ QUERIES: dict = {
     "op2_substrings": (op2_substrings, OP2_SQL),
     "op5_token_counts": (op5_token_counts, None),
     "op6_byte_bpe": (op6_byte_bpe, None),
+    "op7_near_duplicates": (op7_near_duplicates, None),
     "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op10_url_rules": (op10_url_rules, _op10_sql()),
 }
