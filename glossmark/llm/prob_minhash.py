@@ -126,17 +126,18 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return total
 
 
-def dealt(rows: DataFrame, group: list[str], node: str, block: int) -> DataFrame:
+def dealt(rows: DataFrame, group: list[str], node: str, block: int, keep_own: bool = False) -> DataFrame:
     """``rows`` with ``i`` and ``j``: groups beyond ``block`` rows as pairs of blocks, each row in as many as there are blocks.
 
-    Blocks are drawn by hash, from the group's counted size. A pair of blocks holds two blocks' rows.
+    Blocks are drawn by hash, from the group's counted size. A pair of blocks holds two blocks' rows;
+    ``keep_own`` adds the number of a row's own block as ``own``.
     """
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     k = F.ceil(F.col("n") / F.lit(block)).cast("int")
     placed = rows.join(sizes, group).withColumn("k", k).withColumn("own", F.pmod(F.xxhash64(node), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     return placed.withColumn("other", other).select(
-        *rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        *rows.columns, *(["own"] if keep_own else []), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import byte_bpe, prob_minhash, sharding, substrings, token_counts, url_rules, wu_manber
+from glossmark.llm import byte_bpe, prob_minhash, sharding, substrings, token_counts, url_rules, vectors, wu_manber
 from glossmark.llm.common import crc32_sql, table
 from glossmark.session import staging_dir
 
@@ -109,6 +109,26 @@ FROM docs LEFT JOIN gaps USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound AS a JOIN sound AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links,
+    least(vec_id, (SELECT min(b) FROM reach WHERE a = vec_id)) AS component_id,
+    vec_id = least(vec_id, (SELECT min(b) FROM reach WHERE a = vec_id)) AS kept
+FROM embeddings
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cache = f"{staging_dir(spark)}/token-cache-{uuid.uuid4().hex}"
@@ -198,6 +218,7 @@ def _op10_sql() -> str:
 QUERIES: dict = {
     "op1_sharding": (op1_sharding, OP1_SQL),
     "op2_substrings": (op2_substrings, OP2_SQL),
+    "op3_near_vectors": (op3_near_vectors, OP3_SQL),
     "op5_token_counts": (op5_token_counts, None),
     "op6_byte_bpe": (op6_byte_bpe, None),
     "op7_near_duplicates": (op7_near_duplicates, None),
