@@ -148,20 +148,24 @@ def by_group(keys: list[str], work: Callable) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
         state: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            both = pa.concat_tables([*held, pa.Table.from_batches([batch])])
-            cols = [both.column(k).to_numpy() for k in keys]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
             change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-            ends = [0, *change.tolist()]
-            for a, b in zip(ends, ends[1:]):
-                yield from work(both.slice(a, b - a), state)
-            held = [both.slice(ends[-1])]
-        for table in held:
-            yield from work(table, state)
+            starts = [0, *change.tolist()]
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                now = tuple(c[a] for c in cols)
+                if held and now != last:
+                    yield from work(pa.Table.from_batches(held), state)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+        if held:
+            yield from work(pa.Table.from_batches(held), state)
 
     return run
 

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import byte_bpe, prob_minhash, sharding, substrings, token_counts, url_rules, vectors, wu_manber
-from glossmark.llm.common import crc32_sql, table
+from glossmark.llm import byte_bpe, kneser_ney, prob_minhash, sharding, substrings, token_counts, url_rules, vectors, wu_manber
+from glossmark.llm.common import crc32_sql, held_out, table
 from glossmark.session import staging_dir
 
 SHARDS = 40
@@ -129,6 +129,16 @@ FROM embeddings
 """
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 7).alias("held_out"))
+    model = kneser_ney.train(docs.where(~F.col("held_out")))
+    scored = docs.withColumn("s", kneser_ney.score_column(model)(F.col("text")))
+    return scored.select(
+        "doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("s.base").alias("base_score"), "s.score",
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cache = f"{staging_dir(spark)}/token-cache-{uuid.uuid4().hex}"
@@ -219,6 +229,7 @@ QUERIES: dict = {
     "op1_sharding": (op1_sharding, OP1_SQL),
     "op2_substrings": (op2_substrings, OP2_SQL),
     "op3_near_vectors": (op3_near_vectors, OP3_SQL),
+    "op4_kneser_ney": (op4_kneser_ney, None),
     "op5_token_counts": (op5_token_counts, None),
     "op6_byte_bpe": (op6_byte_bpe, None),
     "op7_near_duplicates": (op7_near_duplicates, None),
