@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import byte_bpe, kneser_ney, prob_minhash, sharding, substrings, token_counts, url_rules, vectors, wu_manber
+from glossmark.llm import byte_bpe, crf, kneser_ney, prob_minhash, sharding, substrings, token_counts, url_rules, vectors, wu_manber
 from glossmark.llm.common import crc32_sql, held_out, table
 from glossmark.session import staging_dir
 
@@ -197,6 +197,13 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id"), 4).alias("held_out"))
+    field = crf.train(docs.where(~F.col("held_out")))
+    found = docs.select("doc_id", "held_out", crf.language(spark, field, F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages, "url", HOST_RULES, PATTERN_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -234,5 +241,6 @@ QUERIES: dict = {
     "op6_byte_bpe": (op6_byte_bpe, None),
     "op7_near_duplicates": (op7_near_duplicates, None),
     "op8_decontamination": (op8_decontamination, OP8_SQL),
+    "op9_language": (op9_language, None),
     "op10_url_rules": (op10_url_rules, _op10_sql()),
 }
