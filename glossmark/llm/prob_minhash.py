@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import row_digest
 from glossmark.llm.components import components
 from glossmark.llm.substrings import BASES, LAST_ID, _Hashes, rolling, words_of
 from glossmark.session import stage
@@ -245,7 +246,8 @@ def _verify(least: int, threshold: float, shingle: int) -> Callable:
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK,
 ) -> DataFrame:
-    """One row per different text: f1, f2 (two hashes of it), doc (its smallest id), its class's key and smallest id.
+    """One row per different text: f1, f2 (two hashes of it), doc (its smallest id), its class's key and smallest id,
+    and ``head``: true for one text of the class, with that smallest id.
 
     Two texts are linked if the probability Jaccard similarity of their word shingles (weights: counts) is at
     least ``threshold``; classes are what links connect. Words are those between ASCII white space. Null texts
@@ -265,7 +267,7 @@ def near_duplicates(
     dealt_out = dealt(met, ["bucket"], "node", block).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     ties = dealt_out.mapInArrow(by_group(["bucket", "i", "j"], _tie(least)), "a long, b long")
     families = components(ties, "a", "b")
-    alone = heads.select("f1", "f2", "doc", F.col("node").alias("class_key"), F.col("doc").alias("class_doc"))
+    alone = heads.select("f1", "f2", "doc", F.col("node").alias("class_key"), F.col("doc").alias("class_doc"), F.lit(True).alias("head"))
     if families is None:
         return alone
 
@@ -280,30 +282,44 @@ def near_duplicates(
         return alone
     classes = stage(classes.join(heads.select("node", "doc"), "node"), "near-classes")
     named = classes.join(classes.groupBy("root").agg(F.min("doc").alias("class_doc")), "root").select("node", "root", "class_doc")
-    return heads.join(named, "node", "left").select(
+    every = heads.join(named, "node", "left").select(
         "f1", "f2", "doc", F.coalesce("root", "node").alias("class_key"), F.coalesce("class_doc", "doc").alias("class_doc")
     )
+    # only texts with the smallest id compete, so the window never sees a large class
+    first = F.row_number().over(Window.partitionBy("class_key").orderBy("f1", "f2")) == 1
+    own = F.col("doc") == F.col("class_doc")
+    return every.where(own).withColumn("head", first).unionByName(every.where(~own).withColumn("head", F.lit(False)))
+
+
+def _classified(df: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
+    """Rows of ``df`` (as struct ``row``) with the class of their text and whether they are kept."""
+    classes = near_duplicates(df, doc_id, text, **options).select("f1", "f2", "class_doc", "head")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(body).alias("f1"),
+        F.xxhash64(F.lit("second"), body).alias("f2"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID)).alias("id"),
+        (F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")) > 0).alias("worded"), row_digest(df).alias("tie"),
+    )
+    joined = rows.join(classes, ["f1", "f2"])
+    # repeated rows of one document lie together already; nothing else competes
+    first = F.row_number().over(Window.partitionBy("f1", "f2").orderBy("tie")) == 1
+    best = F.col("worded") & F.col("head") & (F.col("id") == F.col("class_doc"))
+    return joined.where(best).withColumn("kept", first).unionByName(joined.where(~best).withColumn("kept", ~F.col("worded")))
 
 
 def label(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``class_id`` (smallest id of its class), ``kept``.
 
-    Exactly one row of a class is kept: that of the smallest id. Rows equal in id and text are told apart
-    by a running number, and so only one of them is kept; different texts of one id in one class likewise.
-    Rows without words are classes of their own and are all kept. Ids that are null give a null class only
-    if all ids of the class are null.
+    Exactly one row of a class is kept: that of the smallest id. Rows equal in id and text, or different
+    texts of one id in one class, are told apart by hashes, and so only one of them is kept. Rows without
+    words are classes of their own and are all kept. A class whose ids are all null has a null id.
     """
-    classes = near_duplicates(df, doc_id, text, **options)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = df.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("f1"), F.xxhash64(F.lit("second"), body).alias("f2"),
-        (F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")) > 0).alias("worded"),
-    ).withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    joined = rows.join(classes.select("f1", "f2", "class_key", "class_doc"), ["f1", "f2"])
-    # only rows with the smallest id compete, so the window never sees a large class
-    heads = joined.where("worded AND id = class_doc").withColumn(
-        "kept", F.row_number().over(Window.partitionBy("class_key").orderBy("f1", "f2")) == 1
-    )
-    others = joined.where("NOT (worded AND id = class_doc)").withColumn("kept", ~F.col("worded"))
-    class_id = F.when(F.col("worded"), F.nullif(F.col("class_doc"), F.lit(LAST_ID))).otherwise(F.col("doc_id"))
-    return heads.unionByName(others).select("doc_id", class_id.alias("class_id"), "kept")
+    rows = _classified(df.select(doc_id, text), doc_id, text, **options)
+    own = F.col(f"row.`{doc_id}`").cast("long")
+    class_id = F.when(F.col("worded"), F.nullif(F.col("class_doc"), F.lit(LAST_ID))).otherwise(own)
+    return rows.select(own.alias("doc_id"), class_id.alias("class_id"), "kept")
+
+
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that ``label`` keeps, with all their columns."""
+    return _classified(df, doc_id, text, **options).where("kept").select("row.*")

@@ -14,6 +14,7 @@ from glossmark.session import staging_dir
 SHARDS = 40
 SHARD_SEED = 42
 TOKEN_LIMIT = 2048
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 HOST_RULES = [
     ("com", "/", "allow"),
@@ -38,13 +39,13 @@ PATTERN_RULES = [
 ]
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
+def tokenizer_pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
@@ -142,13 +143,13 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cache = f"{staging_dir(spark)}/token-cache-{uuid.uuid4().hex}"
-    counts = token_counts.count_tokens(docs, ["doc_id"], cache, _tokenizer("word_bpe_49k.json"))
+    counts = token_counts.count_tokens(docs, ["doc_id"], cache, tokenizer_path("word_bpe_49k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranks, pattern = _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern()
+    ranks, pattern = tokenizer_path(BPE_RANKS), tokenizer_pattern()
     encoded = byte_bpe.encode(docs, ranks, pattern).select("doc_id", "ids", byte_bpe.decode(F.col("ids"), ranks, pattern).alias("raw"))
     return encoded.select(
         "doc_id",
