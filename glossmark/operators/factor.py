@@ -25,6 +25,8 @@ from glossmark.session import join_bounded, stage
 
 RANK = 20
 ALS_ROUNDS = 10
+# Default of the setup's least_side_columns.
+LEAST_SIDE = 10
 
 
 def _key_table(rows: DataFrame, key: str, penalty: float, bias: str, number: str) -> DataFrame:
@@ -113,15 +115,18 @@ class FactorModel:
         return {}
 
 
-def side_columns(chosen: list[str]) -> list[str]:
-    """Side-information columns; few columns leave the size to the key alone."""
+def side_columns(chosen: list[str], least: int = LEAST_SIDE) -> list[str]:
+    """Side-information columns; with fewer than ``least`` the size is left to the row key alone."""
     side = [c for c in chosen if c not in ("source_lang", "target_lang")]
-    return [c for c in side if c != "dataset_size"] if len(side) < 10 else side
+    return [c for c in side if c != "dataset_size"] if len(side) < least else side
 
 
 def fit_matrix(train: DataFrame, chosen: list[str], label: str, config: dict, seed: int, key: Column) -> FactorModel:
-    """Search over the grid with shuffled folds, then fit on a stratified 80 %."""
-    columns = side_columns(chosen)
+    """Search over the grid with shuffled folds, then fit on a stratified 80 %.
+
+    ``config["least_side_columns"]`` says from how many columns on the size is side information too.
+    """
+    columns = side_columns(chosen, config.get("least_side_columns", LEAST_SIDE))
     raw = train.selectExpr(*[f"cast(`{c}` AS double) AS `_f{i}`" for i, c in enumerate(columns)])
     stats = stage(scaler(raw, [f"_f{i}" for i, c in enumerate(columns) if c in scalable(columns)]), "scaler")
     folded = kfold(train.withColumn("_key", key), [], F.col("_key"), seed, config["cv"])

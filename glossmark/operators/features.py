@@ -181,8 +181,8 @@ def add_language_features(df: DataFrame, distances: DataFrame) -> DataFrame:
 
 
 def lookup_or_fail(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join that raises when a row has no partner."""
-    missing = df.join(table, on, "left_anti").limit(1).count()
-    if missing:
-        raise KeyError(f"rows without an entry for {on}")
-    return df.join(table, on)
+    """Join with a table that must have an entry for every row; running it raises if one has none."""
+    found = table.withColumn("_found", F.lit(True))
+    message = F.concat(F.lit("no entry for "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on]))
+    checked = F.when(F.col("_found").isNull(), F.raise_error(message)).otherwise(F.lit(True))
+    return df.join(found, on, "left").withColumn("_found", checked).where("_found").drop("_found")

@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmark.functions.keys import ratio, seeded
+from glossmark.functions.keys import ratio
 from glossmark.functions.text import edge_split_words, mteval_tokens, plain_tokens
+from glossmark.operators.segments import char_counts, resample_sums, word_counts, word_symbols
+from glossmark.session import spread
 
 BLEU_ORDER = 4
 CHRF_CHARS = 6
@@ -22,62 +24,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def with_ngrams(df: DataFrame, tokens: str, orders: int, separator: str = " ") -> DataFrame:
-    """Add ``<tokens>_1 .. <tokens>_<orders>``: arrays of runs of n tokens, joined.
-
-    Each order extends the one before by one token, so the work is linear in the length.
-    """
-    df = df.selectExpr("*", f"{tokens} AS {tokens}_1")
-    for n in range(2, orders + 1):
-        left = f"greatest(size({tokens}) - {n - 1}, 0)"
-        df = df.selectExpr(
-            "*",
-            f"zip_with(slice({tokens}_{n - 1}, 1, {left}), slice({tokens}, {n}, {left}), "
-            f"(run, token) -> concat(run, '{separator}', token)) AS {tokens}_{n}",
-        )
-    return df
-
-
-def by_segment(segments: DataFrame, key: str) -> DataFrame:
-    """Hash-partition on the segment key once.
-
-    Every later grouping contains the key, so the n-grams themselves are never shuffled.
-    The number is explicit because the text grows many times over when it is exploded:
-    adaptive coalescing by the size of the text would leave too few tasks.
-    """
-    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segments.repartition(parts, key)
-
-
-def gram_stats(segments: DataFrame, keys: list[str], hyp: list[str], refs: list[list[str]]) -> DataFrame:
-    """Per segment and order: n-grams in the hypothesis, in the reference, and matched.
-
-    ``hyp[k]`` and ``refs[r][k]`` name n-gram arrays. Matches are clipped by the largest
-    count over the references. ``segments`` comes from ``by_segment`` on one of ``keys``.
-    """
-    sides = [hyp, *refs]
-    orders = len(hyp)
-    arrays = ", ".join(name for side in sides for name in side)
-    rows = segments.selectExpr(*keys, f"posexplode(array({arrays})) AS (spot, grams)").selectExpr(
-        *keys, f"spot % {orders} AS k", f"spot div {orders} AS side", "explode_outer(grams) AS gram"
-    )
-    counts = [
-        F.expr(f"count(if(side = {s} AND gram IS NOT NULL, 1, NULL))").alias(f"c{s}") for s in range(len(sides))
-    ]
-    best = ", ".join(f"c{s}" for s in range(1, len(sides)))
-    counted = rows.groupBy(*keys, "k", "gram").agg(*counts).selectExpr(
-        "*", f"least(c0, greatest({best}, 0)) AS matched"
-    )
-    names = {"hyp": "c0", "ref": "c1", "match": "matched"}
-    return counted.groupBy(*keys).agg(
-        *[
-            F.expr(f"sum(if(k = {k}, {value}, 0))").alias(f"{name}_{k + 1}")
-            for k in range(orders)
-            for name, value in names.items()
-        ]
-    )
-
-
 def bleu_stats(
     segments: DataFrame,
     keys: list[str],
@@ -87,25 +33,21 @@ def bleu_stats(
 ) -> DataFrame:
     """Per segment: ``hyp_len``, closest ``ref_len`` (tie: shorter) and n-gram counts.
 
-    The first key must identify a segment.
+    Segments stay where they are: nothing is shuffled before the sums of a group.
     """
     prepare = ascii_lower if lowercase else (lambda c: c)
     names = ["hyp", *refs]
-    tokenised = by_segment(segments, keys[0]).select(
+    tokenised = spread(segments).select(
         *keys, *[tokenise(prepare(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in names]
     )
     hyp_len = F.size("hyp")
     closest = F.array_min(
         F.array(*[F.struct(F.abs(F.size(r) - hyp_len).alias("gap"), F.size(r).alias("len")) for r in refs])
     )
-    tokenised = tokenised.withColumn("hyp_len", hyp_len).withColumn("ref_len", closest["len"])
-    for name in names:
-        tokenised = with_ngrams(tokenised, name, BLEU_ORDER)
-
-    def grams(name: str) -> list[str]:
-        return [f"{name}_{n}" for n in range(1, BLEU_ORDER + 1)]
-
-    return gram_stats(tokenised, [*keys, "hyp_len", "ref_len"], grams("hyp"), [grams(r) for r in refs])
+    counts = word_counts([F.col(c) for c in names], BLEU_ORDER)
+    return tokenised.select(
+        *keys, hyp_len.alias("hyp_len"), closest["len"].alias("ref_len"), counts.alias("_counts")
+    ).select(*keys, "hyp_len", "ref_len", "_counts.*")
 
 
 BLEU_COLUMNS = ["hyp_len", "ref_len"] + [
@@ -158,28 +100,14 @@ def corpus_bleu(stats: DataFrame, group: list[str], smooth: bool = False) -> Dat
 def chrf_stats(segments: DataFrame, keys: list[str], ref: str, word_order: int = 0) -> DataFrame:
     """Character 1-6-gram and word n-gram counts per segment, one reference."""
 
-    def chars(text: Column) -> Column:
-        packed = F.regexp_replace(text, r"(?U)\s+", "")
-        return F.when(packed == "", F.array().cast("array<string>")).otherwise(F.split(packed, ""))
-
-    sides = {"hyp": F.coalesce("hyp", F.lit("")), "ref": F.coalesce(ref, F.lit(""))}
-    # The first key must identify a segment.
-    tokenised = by_segment(segments, keys[0]).select(
-        *keys,
-        *[chars(t).alias(f"_{s}_chars") for s, t in sides.items()],
-        *[edge_split_words(t).alias(f"_{s}_words") for s, t in sides.items()],
-    )
-
-    for side in sides:
-        tokenised = with_ngrams(tokenised, f"_{side}_chars", CHRF_CHARS, "")
-        tokenised = with_ngrams(tokenised, f"_{side}_words", word_order)
-
-    def grams(side: str) -> list[str]:
-        return [f"_{side}_chars_{n}" for n in range(1, CHRF_CHARS + 1)] + [
-            f"_{side}_words_{n}" for n in range(1, word_order + 1)
-        ]
-
-    stats = gram_stats(tokenised, keys, grams("hyp"), [grams("ref")])
+    sides = [F.coalesce(F.col(c), F.lit("")) for c in ("hyp", ref)]
+    chars = char_counts([F.regexp_replace(t, r"(?U)\s+", "") for t in sides], CHRF_CHARS)
+    counted = spread(segments).select(*keys, *[edge_split_words(t).alias(f"_{i}") for i, t in enumerate(sides)], chars.alias("_chars"))
+    found = [F.col("_chars.*")]
+    if word_order:
+        counted = counted.withColumn("_words", word_counts([F.col("_0"), F.col("_1")], word_order, CHRF_CHARS + 1))
+        found.append(F.col("_words.*"))
+    stats = counted.select(*keys, *found)
     # A segment whose reference has no n-gram of an order adds no hypothesis count there.
     orders = range(1, CHRF_CHARS + word_order + 1)
     return stats.withColumns(
@@ -215,33 +143,16 @@ def corpus_chrf(stats: DataFrame, group: list[str], word_order: int = 0) -> Data
     return sums.select(*group, chrf_score(word_order).alias("chrf"))
 
 
-# Code points that stand for the distinct words of one segment, surrogates left out.
-_FIRST_CODE, _SURROGATES, _AFTER = 0x4E00, 0xD800, 0xE000
-
-
-def _as_symbols(words: Column, vocabulary: Column) -> Column:
-    """One character per word, the same for the same word."""
-
-    def symbol(word: Column) -> Column:
-        code = F.array_position(vocabulary, word) + (_FIRST_CODE - 1)
-        code = F.when(code < _SURROGATES, code).otherwise(code + (_AFTER - _SURROGATES))
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-
-    return F.array_join(F.transform(words, symbol), "")
-
-
 def edit_stats(segments: DataFrame, keys: list[str], ref: str) -> DataFrame:
     """Word edits (insert, delete, replace; no block shifts) and reference words.
 
     Words become single characters, so the built-in edit distance counts words.
     """
-    tokenised = segments.select(
+    tokenised = spread(segments).select(
         *keys, *[plain_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("hyp", ref)]
     )
-    vocabulary = F.array_distinct(F.concat("hyp", ref))
-    coded = tokenised.withColumn("_v", vocabulary)
-    edits = F.levenshtein(_as_symbols(F.col("hyp"), F.col("_v")), _as_symbols(F.col(ref), F.col("_v")))
-    return coded.select(*keys, edits.cast("long").alias("edits"), F.size(ref).cast("long").alias("ref_words"))
+    coded = tokenised.select(*keys, F.size(ref).cast("long").alias("ref_words"), word_symbols(F.col("hyp"), F.col(ref)).alias("_s"))
+    return coded.select(*keys, F.levenshtein("_s.left", "_s.right").cast("long").alias("edits"), "ref_words")
 
 
 def edit_rate() -> Column:
@@ -253,10 +164,22 @@ def corpus_edit_rate(stats: DataFrame, group: list[str]) -> DataFrame:
     return sums.select(*group, "edits", "ref_words", edit_rate().alias("edit_rate"))
 
 
-# Poisson(1) distribution function on a 32-bit scale: weight k has u >= bound[k-1].
-POISSON_BOUNDS = [
-    int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(9)
-]
+def _poisson_bounds() -> list[int]:
+    """Poisson(1) distribution function on a 32-bit scale: weight k has u >= bound[k-1].
+
+    It goes on until a further weight would have less than one draw's chance.
+    """
+    bounds, below, k = [], 0.0, 0
+    while True:
+        below += math.exp(-1) / math.factorial(k)
+        bound = int(below * 2**32)
+        if bound >= 2**32 - 1:
+            return bounds
+        bounds.append(bound)
+        k += 1
+
+
+POISSON_BOUNDS = _poisson_bounds()
 _DRAWS_PER_HASH = 4
 
 
@@ -274,24 +197,9 @@ def bootstrap_scores(
     Poisson weights need no draw over the whole corpus, so segments are weighted where
     they are and only ``resamples`` partial sums per task are shuffled.
     """
-    blocks = -(-resamples // _DRAWS_PER_HASH)
-    block = stats.select(
-        *group, *columns, key.alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")
-    )
-    digest = seeded(F.concat_ws("|", F.lit(str(seed)), F.col("_b").cast("string")), F.col("_k"))
-    draws = F.array(
-        *[
-            F.struct(
-                (F.col("_b") * _DRAWS_PER_HASH + j).alias("resample"),
-                F.conv(F.substring("_d", 1 + 8 * j, 8), 16, 10).cast("long").alias("u"),
-            )
-            for j in range(_DRAWS_PER_HASH)
-        ]
-    )
-    drawn = block.withColumn("_d", digest).select(*group, *columns, F.inline(draws))
-    weight = sum([F.when(F.col("u") >= bound, 1).otherwise(0) for bound in POISSON_BOUNDS], F.lit(0))
-    weighted = drawn.filter(f"resample < {resamples}").withColumn("_w", weight).filter("_w > 0")
-    sums = weighted.groupBy(*group, "resample").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in columns])
+    rows = stats.select(*group, *[F.col(c).cast("long").alias(c) for c in columns], key.alias("_k"))
+    drawn = resample_sums(rows, group, "_k", columns, resamples, seed, POISSON_BOUNDS, _DRAWS_PER_HASH)
+    sums = drawn.groupBy(*group, "resample").agg(*[F.sum(c).alias(c) for c in columns])
     return sums.select(*group, "resample", score.alias("score"))
 
 

@@ -15,14 +15,21 @@ from glossmark.operators.splits import kfold
 from glossmark.operators.transforms import scalable, scale, scaler
 from glossmark.session import stage
 
-MAX_BINS = 256
+DEFAULT_BINS = 256
+
+
+def _step(params: dict, name: str, default: float) -> float:
+    step = params.get(name, default)
+    if not 0 < step <= 1:
+        raise ValueError(f"{name} must be above 0 and at most 1, not {step}")
+    return step
 
 
 def depthwise(params: dict, seed: int) -> GBTRegressor:
     """Profile of the depth-wise booster. Its L1/L2 leaf penalties have no counterpart."""
     return GBTRegressor(
         featuresCol="features", labelCol="label", seed=seed,
-        stepSize=min(params.get("eta", 0.3), 1.0),
+        stepSize=_step(params, "eta", 0.3),
         maxIter=int(params.get("n_estimators", 100)),
         maxDepth=int(params.get("max_depth", 6)),
         minInstancesPerNode=max(1, math.ceil(params.get("min_child_weight", 1))),
@@ -38,14 +45,14 @@ def leafwise(params: dict, seed: int) -> GBTRegressor:
     limit = params.get("max_depth", -1)
     return GBTRegressor(
         featuresCol="features", labelCol="label", seed=seed,
-        stepSize=min(params.get("learning_rate", 0.1), 1.0),
+        stepSize=_step(params, "learning_rate", 0.1),
         maxIter=int(params.get("n_estimators", 100)),
         maxDepth=depth if limit <= 0 else min(depth, limit),
         minInstancesPerNode=int(params.get("min_child_samples", 20)),
         minInfoGain=float(params.get("min_split_gain", 0.0)),
         subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy=_share(params.get("colsample_bytree", 1.0)),
-        maxBins=min(int(params.get("max_bin", MAX_BINS)), MAX_BINS),
+        maxBins=int(params.get("max_bin", DEFAULT_BINS)),
     )
 
 

@@ -29,8 +29,9 @@ def prepare_corpus(
     source_lang: str = "",
     size: int = 0,
 ) -> DataFrame:
-    """Align, filter and cut one corpus; the raw files stay untouched.
+    """Align, filter and cut one corpus; the raw files stay untouched. Returns what was written.
 
+    A corpus that ``out`` already holds is left as it is; any number of corpora share one output.
     Two paths are aligned text files, whose line ends count in the length filter; one path
     holds translation records. ``corpus`` gives the partition values. ``size`` limits
     training pairs (0: no limit).
@@ -41,10 +42,7 @@ def prepare_corpus(
         pairs = filter_pairs(text.read_translations(spark, source_path, source_lang))
     pairs = pairs.withColumns({k: F.lit(corpus[k]) for k in CORPUS_PARTITIONS})
     pairs = first_pairs(pairs, CORPUS_PARTITIONS, size)
-    text.write_pairs(pairs, out, CORPUS_PARTITIONS)
-    return spark.read.parquet(out).where(
-        (F.col("lang") == corpus["lang"]) & (F.col("split") == corpus["split"]) & (F.col("corpus") == corpus["corpus"])
-    )
+    return text.write_pairs(pairs, out, {k: corpus[k] for k in CORPUS_PARTITIONS})
 
 
 def corpus_name(lang: Column, split: str, corpus: Column, side: Column, size: Column | None = None) -> Column:
@@ -88,11 +86,13 @@ def metric_report(
     group: list[str],
     subword: Callable[[Column], Column] = mteval_tokens,
     resamples: int = RESAMPLES,
+    smooth: bool = False,
 ) -> DataFrame:
     """Long metric rows ``(group, metric, mean, se)`` of hypotheses against one reference.
 
     ``segments`` has ``(seg_id, group, hyp, ref)``. ``subword`` is the tokeniser behind
-    spBLEU; the means and half-widths come from resampling.
+    spBLEU; the means and half-widths come from resampling. Without ``smooth`` a resample in which
+    some order of n-grams has no match scores 0.
     """
     key = ["seg_id", *group]
     seg = F.col("seg_id").cast("string")
@@ -105,7 +105,7 @@ def metric_report(
     rows = []
     for name, cut in (("spBLEU", subword), ("BLEU", plain_tokens)):
         table = stage(mt.bleu_stats(segments, key, ["ref"], cut), "segment-stats")
-        rows.append(row(name, table, mt.BLEU_COLUMNS, mt.bleu_score(smooth=True)))
+        rows.append(row(name, table, mt.BLEU_COLUMNS, mt.bleu_score(smooth)))
     # The counts with words hold those without.
     grams = stage(mt.chrf_stats(segments, key, "ref", 2), "segment-stats")
     for name, order in (("chrF2++", 2), ("chrF2", 0)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from glossmark.operators.corpus import filter_pairs
 from glossmark.plans import fixtures as fx
 from glossmark.plans import jobs
 from glossmark.plans.corpus_queries import PAIRS_SQL, rounded
-from glossmark.session import stage
+from glossmark.session import spread, stage
 from glossmark.sources import reports, tables
 from glossmark.sources import text as text_source
 
@@ -176,56 +178,117 @@ pr AS (
 SELECT lang, round(coalesce(100 * 5 * p * q / nullif(4 * p + q, 0), 0), 6) AS chrf FROM pr"""
 
 
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as references; hypotheses with words replaced, inserted or left out, by document."""
+    docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    words = docs.select("doc_id", "lang", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
+    changed = "transform(w, (x, i) -> if(i % 7 = doc_id % 7, '■', x))"
+    inserted = f"flatten(transform({changed}, (x, i) -> if(i % 13 = 5, array(x, '□'), array(x))))"
+    shorter = "filter(w, (x, i) -> i % 5 <> doc_id % 5)"
+    return words.selectExpr(
+        "doc_id AS seg_id", "lang", "array_join(w, ' ') AS ref0",
+        f"array_join(CASE doc_id % 4 WHEN 0 THEN {changed} WHEN 1 THEN {inserted} WHEN 2 THEN {shorter} ELSE array() END, ' ') AS hyp",
+    )
+
+
 def edit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = mt.edit_stats(fx.hyp_ref(spark, sf_dir), SEG, "ref0")
+    stats = mt.edit_stats(_edited(spark, sf_dir), SEG, "ref0")
     return rounded(mt.corpus_edit_rate(stats, ["lang"]), ["edit_rate"])
 
 
-# The hypothesis is the reference with words left out, so the edits are the words left out.
-EDIT_SQL = rf"""WITH {fx.HYP_REF_SQL},
-n AS (
-  SELECT lang, len(list_filter(string_split(regexp_replace(hyp, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS h,
-    len(list_filter(string_split(regexp_replace(ref0, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS r FROM hr)
-SELECT lang, sum(r - h)::BIGINT AS edits, sum(r)::BIGINT AS ref_words, round(100 * sum(r - h) / sum(r)::DOUBLE, 6) AS edit_rate
-FROM n GROUP BY lang"""
-
-RESAMPLES = 200
+# Signs put in occur in no reference, so a replaced word costs one edit wherever it is and so does
+# an inserted one; a hypothesis that only lacks words costs one for each, an empty one all.
+EDIT_SQL = r"""WITH d AS (
+  SELECT doc_id, lang, len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS n FROM documents),
+hits AS (
+  SELECT d.*, (SELECT count(*) FROM range(n) AS t(i) WHERE i % 7 = doc_id % 7) AS replaced,
+    (SELECT count(*) FROM range(n) AS t(i) WHERE i % 13 = 5) AS inserted,
+    (SELECT count(*) FROM range(n) AS t(i) WHERE i % 5 = doc_id % 5) AS dropped FROM d),
+e AS (
+  SELECT lang, n, CASE doc_id % 4 WHEN 0 THEN replaced WHEN 1 THEN replaced + inserted WHEN 2 THEN dropped ELSE n END AS edits FROM hits)
+SELECT lang, sum(edits)::BIGINT AS edits, sum(n)::BIGINT AS ref_words, round(100 * sum(edits) / sum(n)::DOUBLE, 6) AS edit_rate
+FROM e GROUP BY lang"""
 
 
 def bleu_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = mt.bleu_stats(fx.hyp_ref(spark, sf_dir), SEG, ["ref0"], text.plain_tokens)
-    scores = mt.bootstrap_scores(
-        stats, ["lang"], F.col("seg_id").cast("string"), mt.BLEU_COLUMNS, mt.bleu_score(), RESAMPLES
-    )
-    return rounded(mt.confidence(scores, ["lang"], RESAMPLES), ["confidence_mean", "confidence_var"])
+    scores = mt.bootstrap_scores(stats, ["lang"], F.col("seg_id").cast("string"), mt.BLEU_COLUMNS, mt.bleu_score(), jobs.RESAMPLES)
+    return rounded(mt.confidence(scores, ["lang"], jobs.RESAMPLES), ["confidence_mean", "confidence_var"])
 
 
-def _bootstrap_sql() -> str:
-    plain = lambda c: rf"regexp_replace({c}, '\s+', ' ', 'g')"
-    head = _bleu_sql(plain, ["ref0"], False).split("len_sums AS")[0].rstrip().rstrip(",")
-    per_seg = ", ".join(f"coalesce(sum(h) FILTER (WHERE n = {k}), 0) AS h{k}, coalesce(sum(m) FILTER (WHERE n = {k}), 0) AS m{k}" for k in range(1, 5))
-    weight = " + ".join(f"(CASE WHEN u >= {b} THEN 1 ELSE 0 END)" for b in mt.POISSON_BOUNDS)
-    logs = " + ".join(f"CASE WHEN h{k} > 0 AND m{k} > 0 THEN ln(m{k} / h{k}::DOUBLE) ELSE -9999999999 END" for k in range(1, 5))
-    names = ["hyp_len", "ref_len"] + [f"{x}{k}" for k in range(1, 5) for x in "hm"]
-    cut = RESAMPLES // 40
-    return f"""{head},
-seg AS (SELECT l.seg_id, l.lang, hyp_len, ref_len, {per_seg}
-  FROM lens l LEFT JOIN seg_sums s ON l.seg_id = s.seg_id GROUP BY l.seg_id, l.lang, hyp_len, ref_len),
-draw AS (
-  SELECT seg.*, r AS resample,
-    ('0x' || substr(md5('12345|' || (r // 4) || '|' || seg_id), 1 + 8 * (r % 4), 8))::BIGINT AS u
-  FROM seg, unnest(range({RESAMPLES})) AS t(r)),
-w AS (SELECT *, {weight} AS wt FROM draw),
+def _plain(column: str) -> str:
+    return rf"regexp_replace({column}, '\s+', ' ', 'g')"
+
+
+# Poisson(1) weights of 32-bit draws: weight k from the k-th bound on.
+def _poisson_weight(u: str) -> str:
+    bounds, below = [], 0.0
+    for k in range(16):
+        below += math.exp(-1) / math.factorial(k)
+        if int(below * 2**32) >= 2**32 - 1:
+            break
+        bounds.append(int(below * 2**32))
+    return " + ".join(f"(CASE WHEN {u} >= {b} THEN 1 ELSE 0 END)" for b in bounds)
+
+
+def _resampled(seg: str, names: list[str], score: str) -> str:
+    """Mean and half-width per language from ``seg`` (``... seg AS (SELECT seg_id, lang, names)``)."""
+    n, cut = jobs.RESAMPLES, jobs.RESAMPLES // 40
+    return f"""{seg},
+drawn AS (SELECT seg_id, b, md5('12345|' || b || '|' || seg_id) AS d FROM (SELECT DISTINCT seg_id FROM seg), unnest(range({-(-n // 4)})) AS t(b)),
+weights AS (
+  SELECT seg_id, b * 4 + j AS resample, ('0x' || substr(d, 1 + 8 * j, 8))::BIGINT AS u FROM drawn, unnest(range(4)) AS t(j) WHERE b * 4 + j < {n}),
+w AS (SELECT seg.*, resample, {_poisson_weight("u")} AS wt FROM seg JOIN weights USING (seg_id)),
 sums AS (SELECT lang, resample, {", ".join(f"sum({c} * wt) AS {c}" for c in names)} FROM w WHERE wt > 0 GROUP BY lang, resample),
-scores AS (
-  SELECT lang, CASE WHEN hyp_len = 0 OR ref_len = 0 THEN 0 ELSE
-    100 * CASE WHEN hyp_len < ref_len THEN exp(1 - ref_len / hyp_len::DOUBLE) ELSE 1 END * exp(({logs}) / 4) END AS score FROM sums),
+scores AS (SELECT lang, {score} AS score FROM sums),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score) AS r FROM scores)
-SELECT lang, round(avg(score), 6) AS confidence_mean,
-  round((max(score) FILTER (WHERE r = {RESAMPLES - cut}) - max(score) FILTER (WHERE r = {cut + 1})) / 2, 6) AS confidence_var
+SELECT lang, round(avg(score), 6) AS mean,
+  round((max(score) FILTER (WHERE r = {n - cut}) - max(score) FILTER (WHERE r = {cut + 1})) / 2, 6) AS se
 FROM ranked GROUP BY lang"""
 
 
+def _bleu_resampled(token_sql) -> str:
+    head = _bleu_sql(token_sql, ["ref0"], False).split("len_sums AS")[0].rstrip().rstrip(",")
+    per_seg = ", ".join(f"coalesce(sum(h) FILTER (WHERE n = {k}), 0) AS h{k}, coalesce(sum(m) FILTER (WHERE n = {k}), 0) AS m{k}" for k in range(1, 5))
+    logs = " + ".join(f"CASE WHEN h{k} > 0 AND m{k} > 0 THEN ln(m{k} / h{k}::DOUBLE) ELSE -9999999999 END" for k in range(1, 5))
+    seg = f"""{head},
+seg AS (SELECT l.seg_id, l.lang, hyp_len, ref_len, {per_seg}
+  FROM lens l LEFT JOIN seg_sums s ON l.seg_id = s.seg_id GROUP BY l.seg_id, l.lang, hyp_len, ref_len)"""
+    score = f"""CASE WHEN hyp_len = 0 OR ref_len = 0 THEN 0 ELSE
+    100 * CASE WHEN hyp_len < ref_len THEN exp(1 - ref_len / hyp_len::DOUBLE) ELSE 1 END * exp(({logs}) / 4) END"""
+    return _resampled(seg, ["hyp_len", "ref_len"] + [f"{x}{k}" for k in range(1, 5) for x in "hm"], score)
+
+
+def _chrf_resampled(word_order: int) -> str:
+    head = _chrf_sql(word_order).split("per_order AS")[0].rstrip().rstrip(",")
+    orders = 6 + word_order
+    union = "SELECT seg_id, lang, n AS k, h, r, m FROM c_seg_sums" + (
+        " UNION ALL SELECT seg_id, lang, n + 6, h, r, m FROM w_seg_sums" if word_order else ""
+    )
+    names = [f"{x}{k}" for k in range(1, orders + 1) for x in "hrm"]
+    value = {"h": "CASE WHEN r > 0 THEN h ELSE 0 END", "r": "r", "m": "m"}
+    sums = ", ".join(f"coalesce(sum({value[c[0]]}) FILTER (WHERE k = {c[1:]}), 0) AS {c}" for c in names)
+    seg = f"{head},\nseg AS (SELECT seg_id, lang, {sums} FROM ({union}) u GROUP BY seg_id, lang)"
+    have = [f"h{k} > 0 AND r{k} > 0" for k in range(1, orders + 1)]
+    count = " + ".join(f"(CASE WHEN {c} THEN 1 ELSE 0 END)" for c in have)
+    share = {
+        x: "(" + " + ".join(f"(CASE WHEN {c} THEN m{k} / {x}{k}::DOUBLE ELSE 0 END)" for k, c in enumerate(have, 1)) + f") / nullif({count}, 0)"
+        for x in "hr"
+    }
+    score = f"coalesce(100 * 5 * ({share['h']}) * ({share['r']}) / nullif(4 * ({share['h']}) + ({share['r']}), 0), 0)"
+    return _resampled(seg, names, score)
+
+
+def _edits_resampled() -> str:
+    words = "len(list_filter(string_split({}, ' '), lambda x: x <> ''))"
+    hyp, ref = words.format(_plain("hyp")), words.format(_plain("ref0"))
+    seg = f"WITH {fx.HYP_REF_SQL},\nseg AS (SELECT seg_id, lang, {ref} - {hyp} AS e, {ref} AS n FROM hr)"
+    return _resampled(seg, ["e", "n"], "100 * e / nullif(n, 0)::DOUBLE")
+
+
+BOOTSTRAP_SQL = f"SELECT lang, mean AS confidence_mean, se AS confidence_var FROM ({_bleu_resampled(_plain)}) q"
+
+
 def task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy and F1 of a length rule against the document labels, per language."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
@@ -435,7 +498,26 @@ FROM exp_all e JOIN u ON e.source_lang = u.source_lang AND e.target_lang = u.tar
 def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics with confidence, per language, as the scoring job writes them."""
     segments = fx.hyp_ref(spark, sf_dir).selectExpr("seg_id", "lang", "hyp", "ref0 AS ref")
-    return rounded(jobs.metric_report(segments, ["lang"], resamples=40), ["mean", "se"])
+    return rounded(jobs.metric_report(segments, ["lang"]), ["mean", "se"])
+
+
+REPORT_PARTS = {
+    "spBLEU": _bleu_resampled(_mteval_sql), "BLEU": _bleu_resampled(_plain), "chrF2++": _chrf_resampled(2), "chrF2": _chrf_resampled(0),
+    "TER": _edits_resampled(),
+}
+METRIC_REPORT_SQL = "\nUNION ALL\n".join(f"SELECT lang, '{name}' AS metric, mean, se FROM ({sql}) q" for name, sql in REPORT_PARTS.items())
+
+
+def metric_report_without_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU rows of a corpus in which no two neighbouring words agree: without smoothing they are 0."""
+    docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "lang"))
+    segments = docs.selectExpr("doc_id AS seg_id", "lang", "'a b c d e f' AS hyp", "'a x c y e z' AS ref")
+    found = jobs.metric_report(segments, ["lang"]).where("metric IN ('BLEU', 'spBLEU')")
+    return rounded(found, ["mean", "se"])
+
+
+WITHOUT_MATCH_SQL = """SELECT lang, metric, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS se
+FROM (SELECT DISTINCT lang FROM documents), (SELECT unnest(['BLEU', 'spBLEU']) AS metric)"""
 
 
 QUERIES = {
@@ -445,8 +527,9 @@ QUERIES = {
     "chrf_corpus": (chrf_corpus, _chrf_sql(0)),
     "chrf_words_corpus": (chrf_words_corpus, _chrf_sql(2)),
     "edit_rate": (edit_rate, EDIT_SQL),
-    "bleu_bootstrap": (bleu_bootstrap, _bootstrap_sql()),
-    "metric_report": (metric_report, None),
+    "bleu_bootstrap": (bleu_bootstrap, BOOTSTRAP_SQL),
+    "metric_report": (metric_report, METRIC_REPORT_SQL),
+    "metric_report_without_match": (metric_report_without_match, WITHOUT_MATCH_SQL),
     "task_scores": (task_scores, TASK_SCORES_SQL),
     "generator_log": (generator_log, GENERATOR_SQL),
     "translation_records": (translation_records, TRANSLATION_SQL),

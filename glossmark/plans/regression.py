@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmark.functions.keys import same_domain
@@ -72,13 +72,20 @@ class Setup:
     def linear(self) -> bool:
         return self.regressor == "poly" and self.config.get("pipeline_type", "basic") == "basic"
 
-    def columns(self, table: DataFrame, combo) -> list[str]:
-        """Predictors of a combination; the factorisation gets the ids in front."""
+    def columns(self, table: DataFrame, combo, dropped: tuple = ()) -> list[str]:
+        """Predictors of a combination; the factorisation gets the ids in front.
+
+        Columns the combination asks for must be in the table, but for those that ``prepare``
+        dropped because they were constant.
+        """
         given = [c for c in table.columns if not c.startswith("_")]
         chosen = ft.select_features(
             given, self.model, self.score, combo,
             with_ids=self.regressor == "mf", disable_eng_target=self.mode == "cross_dataset",
         )
+        missing = [c for c in chosen if c not in given and c not in dropped]
+        if missing:
+            raise KeyError(f"the table lacks the predictors {missing}")
         return [c for c in chosen if c in given]
 
 
@@ -92,14 +99,19 @@ def load_setup(options: dict) -> Setup:
     )
 
 
-def prepare(table: DataFrame, setup: Setup) -> DataFrame:
-    """Complete rows with a unique key and the stratum, staged.
+def prepare(table: DataFrame, setup: Setup) -> tuple[DataFrame, tuple]:
+    """Complete rows with a unique key and the stratum, staged; and the constant columns dropped.
 
-    Constant columns go, except for mt560 and for the cross-dataset protocol.
+    The key is made of the ids and the size; of rows that share it, all but the first (by their
+    other columns) get their number appended. Constant columns go, except for mt560 and for the
+    cross-dataset protocol.
     """
     rows = ft.complete_rows(table, setup.score if setup.dataset == "mt560" else "")
     ids = [c for c in [*ft.ID_COLUMNS, "dataset_size"] if c in rows.columns]
-    rows = rows.withColumn(KEY, F.concat_ws("|", *[F.col(c).cast("string") for c in ids]))
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
+    same = Window.partitionBy(*ids).orderBy(*[c for c in rows.columns if c not in ids])
+    rows = rows.withColumn("_same", F.row_number().over(same))
+    rows = rows.withColumn(KEY, F.when(F.col("_same") == 1, key).otherwise(F.concat_ws("#", key, "_same"))).drop("_same")
     if setup.dataset == "mt560":
         stratum = same_domain(F.col("train_dataset"), F.col("test_dataset")).cast("string")
     else:
@@ -107,8 +119,9 @@ def prepare(table: DataFrame, setup: Setup) -> DataFrame:
     rows = stage(rows.withColumn("_stratum", stratum), "experiments")
     if setup.dataset != "mt560" and setup.mode != "cross_dataset":
         keep = ("source_lang", "target_lang", KEY, "_stratum", setup.label)
-        rows = rows.drop(*[c for c in ft.constant_columns(rows) if c not in keep])
-    return rows
+        dropped = tuple(c for c in ft.constant_columns(rows) if c not in keep)
+        return rows.drop(*dropped), dropped
+    return rows, ()
 
 
 def _test_languages(rows: DataFrame, setup: Setup) -> list[tuple[bool, list[str]]]:
@@ -204,10 +217,10 @@ def _linear_plan(rows: DataFrame, setup: Setup, other: DataFrame | None) -> tupl
     return sm.append(members), sm.append(uses)
 
 
-def _linear_results(rows: DataFrame, setup: Setup, other: DataFrame | None) -> DataFrame:
+def _linear_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
     """``(run, combo, part, n, cv_rmse, rmse)`` of an elastic net on power features."""
     degree = setup.config.get("degree", 1)
-    combos = [setup.columns(rows, c) for c in setup.combos]
+    combos = [setup.columns(rows, c, dropped) for c in setup.combos]
     base = list(dict.fromkeys(c for combo in combos for c in combo))
     members, uses = _linear_plan(rows, setup, other)
     wide = [KEY, *base, setup.label]
@@ -262,13 +275,13 @@ def _protocol_runs(rows: DataFrame, setup: Setup, other: DataFrame | None):
                 yield f"{seed}|{seen}", seed, train, tests.withColumn("part", _name("role", "lang")).drop("role", "lang")
 
 
-def _fitted_results(rows: DataFrame, setup: Setup, other: DataFrame | None) -> DataFrame:
+def _fitted_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
     """The same columns as the linear results, with parameters and importances as maps."""
     results = []
     for run, seed, train, test in _protocol_runs(rows, setup, other):
         n = train.count()
         for number, combo in enumerate(setup.combos):
-            columns = setup.columns(rows, combo)
+            columns = setup.columns(rows, combo, dropped)
             fitted = _fit(train, columns, setup, seed)
             errors = fitted.predict(test).groupBy("part").agg(sm.rmse(F.col(setup.label), F.col("prediction")).alias("rmse"))
             numbers = {**{p: float(v) for p, v in fitted.params.items()}, **fitted.importances()}
@@ -294,13 +307,13 @@ def _toggle_table(results: DataFrame, setup: Setup) -> DataFrame:
 
 def run_results(table: DataFrame, setup: Setup, other: DataFrame | None = None) -> DataFrame:
     """One row per run, combination and test part."""
-    rows = prepare(table, setup)
+    rows, dropped = prepare(table, setup)
     if setup.mode == "cross_dataset":
-        prepared = prepare(other, setup)
+        prepared, _ = prepare(other, setup)
         other = prepared.withColumn(KEY, F.concat(F.lit("other|"), KEY))
         for combo in setup.combos:
-            sp.cross_tables(rows, other, setup.columns(rows, combo))
-    results = (_linear_results if setup.linear else _fitted_results)(rows, setup, other)
+            sp.cross_tables(rows, other, setup.columns(rows, combo, dropped))
+    results = (_linear_results if setup.linear else _fitted_results)(rows, setup, other, dropped)
     parts = F.split("run", r"\|")
     results = results.withColumn("seed", parts[0].cast("int"))
     if setup.mode == "lolo":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +78,29 @@ def hypotheses(log_lines: DataFrame, keys: list[str] | None = None) -> DataFrame
     )
 
 
-def write_pairs(pairs: DataFrame, path: str, partitions: list[str]) -> None:
-    """Write filtered pairs; an existing output is left as it is."""
-    pairs.write.mode("ignore").partitionBy(*partitions).parquet(path)
+def partition_folder(path: str, values: dict[str, str]) -> str:
+    """The folder of one partition; signs that mean something in paths are escaped as Spark does."""
+
+    def escaped(text: str) -> str:
+        return "".join(c if c.isalnum() or c in "-_. " else f"%{ord(c):02X}" for c in text)
+
+    return "/".join([path, *[f"{k}={escaped(v)}" for k, v in values.items()]])
+
+
+def write_pairs(pairs: DataFrame, path: str, values: dict[str, str]) -> DataFrame:
+    """Write one corpus below ``path`` unless that corpus is there already, and read it back.
+
+    ``values`` name its partition. Other corpora below ``path`` are left as they are; a folder
+    without data, as a broken run leaves it, is written anew.
+    """
+    spark = pairs.sparkSession
+    folder = partition_folder(path, values)
+    try:
+        found = spark.read.parquet(folder)
+    except AnalysisException:  # not there yet
+        pairs.drop(*values).write.mode("overwrite").parquet(folder)
+        found = spark.read.parquet(folder)
+    return found.withColumns({k: F.lit(v) for k, v in values.items()})
 
 
 def write_side(pairs: DataFrame, text: Column, path: str) -> None:

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from glossmark.operators import factor, features, linear, polynomial, search, splits, summary, transforms
-from glossmark.plans.regression import Setup, run_experiment, run_results
+from glossmark.operators import factor, features, linear, polynomial, search, splits, summary, transforms, trees
+from glossmark.plans.regression import Setup, prepare, run_experiment, run_results
 
 FT = ["source_lang", "target_lang", "train_dataset", "test_dataset"]
 
@@ -99,8 +99,9 @@ def test_scaling_of_constants(spark):
 
 def test_lookup_raises_on_missing(spark):
     left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
-    with pytest.raises(KeyError):
-        features.lookup_or_fail(left, right, ["k"])
+    with pytest.raises(Exception, match="no entry for 2"):
+        features.lookup_or_fail(left, right, ["k"]).collect()
+    assert [tuple(r) for r in features.lookup_or_fail(left.where("k = 1"), right, ["k"]).collect()] == [(1, "x")]
 
 
 def test_summaries(spark):
@@ -219,6 +220,36 @@ def test_trees_and_factors(table):
     assert row.lang == "ccc" and 0 < row.test_source_rmse < 2 * spread
 
 
+def test_repeated_keys_keep_their_rows(spark, table):
+    """Every experiment twice, with another score: split sizes and fold sizes count all rows."""
+    doubled = table.unionByName(table.withColumn("m2m100_ft_spBLEU_mean", F.col("m2m100_ft_spBLEU_mean") + 1))
+    setup = Setup("mt560", "random", "poly", "m2m100", {"cv": 5, "degree": 1}, combos=[COMBO], seeds=[42])
+    rows, _ = prepare(doubled, setup)
+    assert rows.select("_key").distinct().count() == doubled.count() == 160
+    once, _ = prepare(table, setup)
+    assert {r["_key"] for r in once.collect()} == {r["_key"] for r in rows.collect() if "#" not in r["_key"]}
+    (row,) = run_results(doubled, setup).collect()
+    assert row.n == 160 - splits.test_rows(160)
+
+
+def test_missing_predictors_raise(table):
+    wanted = features.Toggles(with_small100_ft=False, with_small100_noft=True, with_model_noft=False)
+    setup = Setup("mt560", "random", "poly", "m2m100", {"cv": 5, "degree": 1}, combos=[wanted], seeds=[42])
+    with pytest.raises(KeyError, match="small100_noft"):
+        run_results(table, setup)
+    constant = table.withColumn("trfm_spBLEU_mean", F.lit(1.0))  # dropped as constant, which is no fault
+    setup = Setup("nusa", "random", "poly", "m2m100", {"cv": 5, "degree": 1}, combos=[COMBO], seeds=[42])
+    assert run_results(constant, setup).count() == 1
+
+
+def test_parameters_are_passed_or_refused():
+    with pytest.raises(ValueError, match="learning_rate"):
+        trees.leafwise({"learning_rate": 1.5}, 1)
+    assert trees.leafwise({"max_bin": 200_000}, 1).getMaxBins() == 200_000
+    chosen = ["source_lang", "target_lang", "dataset_size", "a", "b"]
+    assert factor.side_columns(chosen) == ["a", "b"] and factor.side_columns(chosen, 0) == ["dataset_size", "a", "b"]
+
+
 def test_setup_checks():
     good = dict(dataset="nusa", mode="random", regressor="mf", model="nllb", config={})
     assert Setup(**good).score == "spBLEU" and Setup(**{**good, "mode": "seen_unseen"}).mode == "seen_unseen"

@@ -112,6 +112,11 @@ def test_prepare_corpus(spark, tmp_path):
     rows = jobs.prepare_corpus(spark, *args, size=2).orderBy("line_no").collect()
     assert [(r.source_text, r.target_text) for r in rows] == [("aa", "1"), ("bb", "3")]
     assert jobs.prepare_corpus(spark, *args, size=1).count() == 2  # an existing output is kept
+    other = {"lang": "ind", "split": "train", "corpus": "news/2020"}
+    assert jobs.prepare_corpus(spark, args[0], other, *args[2:]).count() == 3  # a second corpus of the same output
+    assert jobs.prepare_corpus(spark, *args).count() == 2
+    whole = spark.read.parquet(args[0])
+    assert {(r.corpus, r["count"]) for r in whole.groupBy("corpus").count().collect()} == {("bible", 2), ("news/2020", 3)}
     record = {"translation": {"ind": "satu", "eng": "one"}}
     write(tmp_path / "r.json", "\n".join([json.dumps(record), json.dumps({"translation": {"ind": "x", "eng": "long"}})]) + "\n")
     test = jobs.prepare_corpus(spark, str(tmp_path / "out2"), {**corpus, "split": "test"}, str(tmp_path / "r.json"), source_lang="ind")

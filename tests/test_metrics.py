@@ -2,12 +2,16 @@
 
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glossmark.functions.text import plain_tokens
 from glossmark.operators import metrics as mt
+from glossmark.operators import segments as sg
+from glossmark.plans import jobs
 
 
 def segments(spark, rows):
@@ -103,3 +107,54 @@ def test_accuracy_and_f1(spark):
     df = spark.createDataFrame(rows, "label string, predicted string")
     assert mt.accuracy(df, []).first().accuracy == pytest.approx(40)
     assert mt.micro_f1(df, []).first().f1 == pytest.approx(200 * 1 / (3 + 3))
+
+
+def direct_counts(sides, orders):
+    """Hypothesis, first reference and clipped matches per order."""
+    out = []
+    for n in range(1, orders + 1):
+        grams = [Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in sides]
+        best = {g: min(c, max(r[g] for r in grams[1:])) for g, c in grams[0].items()}
+        out += [sum(grams[0].values()), sum(grams[1].values()), sum(best.values())]
+    return out
+
+
+@pytest.mark.parametrize("slice_tokens", [1_000_000, 40])
+def test_batch_counts_by_brute_force(slice_tokens, monkeypatch):
+    monkeypatch.setattr(sg, "SLICE_TOKENS", slice_tokens)
+    rng = random.Random(2)
+    rows = [[[rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(3)] for _ in range(50)]
+    got = []
+    sizes = np.array([sum(map(len, r)) for r in rows])
+    for a, b in sg._slices(sizes):
+        sides = []
+        for k in range(3):
+            tokens = np.array([ord(t) - 97 for r in rows[a:b] for t in r[k]], np.int64)
+            sides.append((tokens, np.repeat(np.arange(b - a), [len(r[k]) for r in rows[a:b]])))
+        got += sg._count(sides, b - a, 4).tolist()
+    assert got == [direct_counts(r, 4) for r in rows]
+
+
+def test_counts_need_no_shuffle(spark):
+    rows = spark.range(0, 100, 1, 16).selectExpr("id AS seg_id", "'a b' AS hyp", "'a c' AS ref0")
+    for stats in (mt.bleu_stats(rows, ["seg_id"], ["ref0"]), mt.chrf_stats(rows, ["seg_id"], "ref0", 2), mt.edit_stats(rows, ["seg_id"], "ref0")):
+        assert "Exchange" not in stats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resamples_weigh_every_segment_alike(spark):
+    """Sums of a resample do not depend on how segments are spread over tasks and batches."""
+    stats = spark.range(300).selectExpr("id", "id % 3 AS g", "id * 7 AS x")
+
+    def sums(df):
+        scores = mt.bootstrap_scores(df, ["g"], F.col("id").cast("string"), ["x"], F.col("x"), 30, 5)
+        return sorted((r.g, r.resample, r.score) for r in scores.collect())
+
+    assert sums(stats.repartition(1)) == sums(stats.repartition(7))
+
+
+def test_metric_report_does_not_smooth(spark):
+    rows = spark.createDataFrame([(i, "a b c d e f", "a x c y e z") for i in range(20)], "seg_id long, hyp string, ref string")
+    found = {r.metric: r.mean for r in jobs.metric_report(rows, [], resamples=40).collect()}
+    assert found["BLEU"] == found["spBLEU"] == 0
+    smooth = {r.metric: r.mean for r in jobs.metric_report(rows, [], resamples=40, smooth=True).collect()}
+    assert smooth["BLEU"] > 0
