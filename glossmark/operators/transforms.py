@@ -13,13 +13,16 @@ PASS_THROUGH = ["eng_target", "direction_indicator"]
 def scaler(train: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean and population deviation of each column; a constant gets deviation 1.
 
-    A spread that is only rounding noise of the mean counts as constant.
+    A spread that is only rounding noise of the mean counts as constant. ``_rows`` is the number of
+    rows, so that a table with nothing to scale still has a column.
     """
-    stats = train.select(*columns).selectExpr(
+    stats = train.selectExpr(
+        "count(*) AS _rows",
         *[f"avg(`{c}`) AS `{c}_mean`" for c in columns],
         *[f"stddev_pop(`{c}`) AS `{c}_std`" for c in columns],
     )
     return stats.selectExpr(
+        "_rows",
         *[f"`{c}_mean`" for c in columns],
         *[f"if(`{c}_std` <= abs(`{c}_mean`) * 1e-12, 1.0D, `{c}_std`) AS `{c}_std`" for c in columns],
     )
