@@ -2,7 +2,7 @@
 
 ``score = mean + side . weights + source bias + target bias + W_source . H_target``: the side
 weights are a ridge regression, the biases shrunken means of what it leaves, and the factors
-alternating least squares on the rest. All penalties count once per training row. A key
+alternating least squares on the rest, unless the setup's ``factors`` is false. All penalties count once per training row. A key
 without training rows gets no bias and no factor term.
 """
 
@@ -44,14 +44,16 @@ class Factors:
     side: object
     sources: DataFrame
     targets: DataFrame
-    factors: object
+    factors: object | None
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add ``prediction``."""
         sided = self.side.transform(rows)
         for table, key in ((self.sources, "src_key"), (self.targets, "tgt")):
             sided = join_bounded(sided, table, [key], "left", staged=True)
-        factored = self.factors.transform(sided.fillna(-1, ["src_id", "tgt_id"]))
+        factored = sided.withColumn("factor_prediction", F.lit(0.0))
+        if self.factors is not None:
+            factored = self.factors.transform(sided.fillna(-1, ["src_id", "tgt_id"]))
         total = (
             "{mean} + side_prediction + coalesce(b_s, 0) + coalesce(b_t, 0) "
             "+ coalesce(nanvl(cast(factor_prediction AS double), 0), 0)"
@@ -74,6 +76,8 @@ def fit_factors(rows: DataFrame, params: dict, seed: int, zero_is_missing: bool
     targets = _key_table(left, "tgt", params.get("beta_t", 0.01), "b_t", "tgt_id")
     left = join_bounded(left, targets, ["tgt"], staged=True).withColumn("_left", F.col("_left") - F.col("b_t"))
     sources = _key_table(left, "src_key", params.get("beta_s", 0.01), "b_s", "src_id")
+    if not params.get("factors", True):
+        return Factors(mean, side, sources, targets, None)
     left = join_bounded(left, sources, ["src_key"], staged=True)
     rest = stage(left.selectExpr("src_id", "tgt_id", "cast(_left - b_s AS float) AS rest"), "residuals")
     blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

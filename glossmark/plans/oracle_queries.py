@@ -219,7 +219,52 @@ fit AS (
   FROM tr, parts WHERE tr.fold <> part GROUP BY tr.seed, part),
 {_scored("CASE WHEN x = 1 THEN m1 ELSE m0 END")}"""
 
+BIASES = {
+    "cv": 10, "fixed_param": {"factors": False},
+    "param_space": {"beta_z": [0.01], "beta_s": [0.02], "beta_t": [0.05]},
+}
+
+
+def factor_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score-matrix model with one side column and biases, without the factor term."""
+    return _without_toggles(run(spark, sf_dir, "random", "mf", BIASES, [PROXY], dataset="nusa").drop("extra"))
+
+
+MATRIX_SQL = _x(LABELLED_SQL).replace(" AS x, k ||", " AS x, source_lang || '_' || dataset_size AS src, k ||")
+BIASES_SQL = f"""{MATRIX_SQL}, {split_sql("source_lang")},
+side AS (SELECT * FROM split WHERE NOT is_test),
+folded AS ({_ranked("side", "seed")}),
+strata2 AS (SELECT seed, source_lang, count(*) AS n FROM side GROUP BY ALL),
+{allocation_sql("alloc2", "strata2", "seed", "source_lang", "0.2")},
+cells AS (
+  SELECT f.*, (x - avg(x) OVER (PARTITION BY f.seed)) / stddev_pop(x) OVER (PARTITION BY f.seed) AS z,
+    row_number() OVER (PARTITION BY f.seed, f.source_lang ORDER BY md5(f.seed || '|' || k)) > n_test AS inner_part
+  FROM folded f JOIN alloc2 a ON f.seed = a.seed AND f.source_lang = a.source_lang),
+spread AS (SELECT seed, avg(x) AS mx, stddev_pop(x) AS sx FROM folded GROUP BY seed),
+held AS (SELECT seed, target_lang, src, (x - mx) / sx AS z, y FROM split JOIN spread USING (seed) WHERE is_test),
+parts AS (SELECT unnest([-1, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS part),
+tr AS (SELECT c.*, part FROM cells c, parts WHERE CASE WHEN part < 0 THEN inner_part ELSE fold <> part END),
+m AS (SELECT seed, part, avg(y) AS mu FROM tr GROUP BY seed, part),
+ridge AS (
+  SELECT seed, part, avg(z * (y - mu)) / (avg(z * z) + 0.01 * sqrt(count(*) / (count(*) - 1)::DOUBLE)) AS w
+  FROM tr JOIN m USING (seed, part) GROUP BY seed, part),
+l1 AS (SELECT tr.seed, tr.part, target_lang, src, y - mu - w * z AS l FROM tr JOIN m USING (seed, part) JOIN ridge USING (seed, part)),
+bt AS (SELECT seed, part, target_lang, avg(l) / 1.05 AS b FROM l1 GROUP BY ALL),
+bs AS (SELECT seed, part, src, avg(l - b) / 1.02 AS b FROM l1 JOIN bt USING (seed, part, target_lang) GROUP BY ALL),
+asked AS (
+  SELECT seed, fold AS part, target_lang, src, z, y FROM cells UNION ALL SELECT seed, -1, target_lang, src, z, y FROM held),
+wrong AS (
+  SELECT a.seed, a.part, pow(a.y - mu - w * z - coalesce(bt.b, 0) - coalesce(bs.b, 0), 2) AS e2
+  FROM asked a JOIN m USING (seed, part) JOIN ridge USING (seed, part)
+  LEFT JOIN bt ON bt.seed = a.seed AND bt.part = a.part AND bt.target_lang = a.target_lang
+  LEFT JOIN bs ON bs.seed = a.seed AND bs.part = a.part AND bs.src = a.src),
+mse AS (SELECT seed, part, avg(e2) AS e FROM wrong GROUP BY seed, part),
+cv AS (SELECT seed, sqrt(avg(e)) AS cv_rmse FROM mse WHERE part >= 0 GROUP BY seed),
+err AS (SELECT seed, sqrt(e) AS e FROM mse WHERE part = -1)
+SELECT {REPEATS} FROM err JOIN cv USING (seed)"""
+
 QUERIES = {
+    "factor_biases": (factor_biases, BIASES_SQL),
     "proxy_only_unseen": (proxy_only_unseen, UNSEEN_SQL),
     "proxy_only_cross": (proxy_only_cross, CROSS_SQL),
     "proxy_only_incremental": (proxy_only_incremental, INCREMENTAL_SQL),
