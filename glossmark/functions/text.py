@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +90,50 @@ def tokenise(lines: DataFrame, tokeniser: str | Callable[[Column], Column] = "ch
     return lines.select(*keys, clean("text").alias("text")).select(*keys, cut(F.col("text")).alias("tokens"))
 
 
+_BAG = "array<struct<token:string,n:int>>"
+_BAG_ARROW = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())]))
+
+
+def _bagged(rows) -> pa.Array:
+    """Token counts per row; null stays null."""
+    return pa.array([None if r is None else [{"token": t, "n": n} for t, n in Counter(r).items()] for r in rows], _BAG_ARROW)
+
+
+def bags(lines: DataFrame, tokeniser: str | Callable[[Column], Column] = "char") -> DataFrame:
+    """Replace ``text`` by ``bag``: each token of the line once, with its count.
+
+    The tokenisers of this module clean, cut and count a line in one pass, so a line's tokens
+    never exist as rows or arrays outside the batch.
+    """
+    keys = [c for c in lines.columns if c != "text"]
+
+    @F.arrow_udf(_BAG)
+    def chars(texts: pa.Array) -> pa.Array:
+        return _bagged(None if t is None else "".join(_clean(t).split()) for t in texts.to_pylist())
+
+    @F.arrow_udf(_BAG)
+    def words(texts: pa.Array) -> pa.Array:
+        return _bagged(None if t is None else _clean(t).split() for t in texts.to_pylist())
+
+    own = {"char": chars, "word": words}
+    if tokeniser in own:
+        return lines.select(*keys, own[tokeniser]("text").alias("bag"))
+    return bagged(tokenise(lines, tokeniser))
+
+
+def bagged(tokenised: DataFrame) -> DataFrame:
+    """Replace ``tokens`` by ``bag``; a table that has bags is left alone."""
+    if "bag" in tokenised.columns:
+        return tokenised
+
+    @F.arrow_udf(_BAG)
+    def counted(tokens: pa.Array) -> pa.Array:
+        return _bagged(tokens.to_pylist())
+
+    keys = [c for c in tokenised.columns if c != "tokens"]
+    return tokenised.select(*keys, counted("tokens").alias("bag"))
+
+
 # Fixed values of the mteval-13a scheme: clean-up rewrites, then punctuation rules.
 MTEVAL_CLEANUP = [
     (r"<skipped>", ""),

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.functions.keys import ratio
-from glossmark.functions.text import tokenise
+from glossmark.functions.text import bagged, bags
 from glossmark.session import join_bounded, stage
 
 SPLITS = ["train", "dev", "test"]
@@ -20,12 +22,9 @@ RARE_IDF = 1 + math.log(1.5)
 
 
 def token_counts(tokenised: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, token, n)``; counts are combined before the shuffle."""
-    return (
-        tokenised.select(*keys, F.explode("tokens").alias("token"))
-        .groupBy(*keys, "token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """``(keys, token, n)`` from lines with ``tokens`` or ``bag``; lines are counted before anything is a row."""
+    rows = bagged(tokenised).select(*keys, F.inline("bag"))
+    return rows.groupBy(*keys, "token").agg(F.sum("n").alias("n"))
 
 
 def clean_counts(
@@ -153,7 +152,7 @@ def pair_plan(sizes: DataFrame, group: list[str]) -> DataFrame:
 def tfidf_pairs(tokenised: DataFrame, pairs: DataFrame) -> DataFrame:
     """Mean TF-IDF cosine distance between chunks of ``corpus1`` and ``corpus2``.
 
-    ``tokenised`` has ``(corpus, line_no, tokens)`` with dense numbers, ``pairs`` has
+    ``tokenised`` has ``(corpus, line_no, bag)`` (or ``tokens``) with dense numbers, ``pairs`` has
     ``(corpus1, corpus2, len1, len2)``. Chunks of corpus1 have the length of corpus2; a
     short last chunk meets the same number of corpus2 lines. With two documents the
     smooth idf is 1 for shared and ``RARE_IDF`` for other terms, so each chunk needs only
@@ -161,18 +160,22 @@ def tfidf_pairs(tokenised: DataFrame, pairs: DataFrame) -> DataFrame:
     on either side has no distance and is left out of the mean; so is an empty corpus2.
     """
     both = ["corpus1", "corpus2"]
+    tokenised = bagged(tokenised)
     live = stage(pairs.filter("len1 > 0 AND len2 > 0"), "pairs")
-    walked = join_bounded(tokenised, live.withColumn("corpus", F.col("corpus1")), ["corpus"])
-    doc1 = (
-        walked.selectExpr(*both, "line_no div len2 AS chunk", "len1 div len2 AS last", "explode(tokens) AS token")
-        .groupBy(*both, "chunk", "last", "token")
-        .agg(F.count(F.lit(1)).cast("double").alias("c1"))
+    # Chunk counts depend on the walked corpus and the chunk length only, so pairs share them.
+    walks = live.selectExpr("corpus1 AS corpus", "len1", "len2").distinct()
+    chunked = (
+        join_bounded(tokenised, walks, ["corpus"])
+        .selectExpr("corpus AS corpus1", "len1", "len2", "line_no div len2 AS chunk", "len1 div len2 AS last", "inline(bag) AS (token, n)")
+        .groupBy("corpus1", "len1", "len2", "chunk", "last", "token")
+        .agg(F.sum("n").cast("double").alias("c1"))
     )
+    doc1 = join_bounded(chunked, live, ["corpus1", "len1", "len2"], staged=True).drop("len1", "len2")
     compared = join_bounded(tokenised, live.withColumn("corpus", F.col("corpus2")), ["corpus"])
     doc2 = stage(
-        compared.selectExpr(*both, "line_no < len1 % len2 AS in_tail", "explode(tokens) AS token")
+        compared.selectExpr(*both, "if(line_no < len1 % len2, 1, 0) AS in_tail", "inline(bag) AS (token, n)")
         .groupBy(*both, "token")
-        .agg(F.count(F.lit(1)).cast("double").alias("full"), F.sum(F.col("in_tail").cast("double")).alias("part")),
+        .agg(F.sum("n").cast("double").alias("full"), F.sum(F.col("n") * F.col("in_tail")).cast("double").alias("part")),
         "doc2-counts",
     )
     norms = doc2.groupBy(*both).agg(F.expr("sum(full * full)").alias("full_sq"), F.expr("sum(part * part)").alias("part_sq"))
@@ -202,7 +205,7 @@ def tfidf_distance(tokenised: DataFrame, sizes: DataFrame, group: list[str]) ->
 
     plan = pair_plan(sizes, group).withColumns({"corpus1": corpus("doc1"), "corpus2": corpus("doc2")})
     plan = stage(plan, "plan")
-    named = tokenised.select(corpus("split").alias("corpus"), "line_no", "tokens")
+    named = bagged(tokenised).select(corpus("split").alias("corpus"), "line_no", "bag")
     scored = tfidf_pairs(named, plan.select("corpus1", "corpus2", "len1", "len2"))
     found = plan.join(scored, ["corpus1", "corpus2"], "left")
     return found.groupBy(*group).agg(
@@ -210,19 +213,27 @@ def tfidf_distance(tokenised: DataFrame, sizes: DataFrame, group: list[str]) ->
     )
 
 
-def embedding_distance(vectors: DataFrame, group: list[str], embedding: str = "embedding") -> DataFrame:
-    """Cosine distance between the mean embeddings of each pair of corpora."""
-    means = (
-        vectors.select(*group, "split", F.posexplode(embedding).alias("pos", "x"))
-        .groupBy(*group, "pos")
-        .agg(*[F.avg(F.when(F.col("split") == s, F.col("x").cast("double"))).alias(s) for s in SPLITS])
-    )
+def mean_vectors(vectors: DataFrame, keys: list[str], embedding: str = "embedding") -> DataFrame:
+    """``(keys, mean)``: mean embedding as an array, summed vector by vector."""
+    vectors = vectors.where(F.col(embedding).isNotNull())
+    rows = vectors.select(*keys, array_to_vector(F.col(embedding).cast("array<double>")).alias("_v"))
+    return rows.groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(*keys, vector_to_array("_m").alias("mean"))
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    """One minus the cosine of two arrays; null if either is null or zero."""
 
-    def cosine(a: str, b: str) -> Column:
-        dot = F.sum(F.col(a) * F.col(b))
-        return 1 - ratio(dot, F.sqrt(F.sum(F.col(a) * F.col(a))) * F.sqrt(F.sum(F.col(b) * F.col(b))))
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda total, i: total + i)
 
-    return means.groupBy(*group).agg(*[cosine(a, b).alias(f"{a}_{b}_st_similarity") for a, b in PAIRS])
+    return 1 - ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def embedding_distance(vectors: DataFrame, group: list[str], embedding: str = "embedding") -> DataFrame:
+    """Cosine distance between the mean embeddings of each pair of corpora."""
+    means = mean_vectors(vectors, [*group, "split"], embedding)
+    wide = means.groupBy(*group).agg(*[F.first(F.when(F.col("split") == s, F.col("mean")), True).alias(s) for s in SPLITS])
+    return wide.select(*group, *[cosine_distance(F.col(a), F.col(b)).alias(f"{a}_{b}_st_similarity") for a, b in PAIRS])
 
 
 # Output columns of the feature job, in their fixed order.
@@ -243,7 +254,7 @@ def corpus_features(
     lines: DataFrame, vectors: DataFrame, group: list[str], tokeniser: str = "char"
 ) -> DataFrame:
     """The 26 features of each group from numbered lines and sentence embeddings."""
-    tokenised = stage(tokenise(lines, tokeniser), "tokens")
+    tokenised = stage(bags(lines, tokeniser), "bags")
     sizes = stage(corpus_sizes(tokenised, group), "sizes")
     sides = stage(side_counts(token_counts(tokenised, [*group, "split"]), group), "sides")
     stats = stage(vocabulary_stats(sides, group), "vocabulary")
@@ -295,26 +306,20 @@ def vocabulary_pairs(counts: DataFrame, profiles: DataFrame, pairs: DataFrame) -
 
 def embedding_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(corpus1, corpus2, similarity)``: cosine distance of mean embeddings."""
-    means = vectors.select("corpus", F.posexplode("embedding").alias("pos", "x")).groupBy("corpus", "pos").agg(
-        F.avg(F.col("x").cast("double")).alias("m")
-    )
-    means = stage(means, "means")
-    left, right = (means.selectExpr(f"corpus AS corpus{i}", "pos", f"m AS m{i}") for i in (1, 2))
-    joined = pairs.select("corpus1", "corpus2").distinct().join(left, "corpus1").join(right, ["corpus2", "pos"])
-    sums = joined.groupBy("corpus1", "corpus2").agg(
-        F.expr("sum(m1 * m2)").alias("dot"), F.expr("sqrt(sum(m1 * m1)) * sqrt(sum(m2 * m2))").alias("norm")
-    )
-    return sums.select("corpus1", "corpus2", (1 - ratio(F.col("dot"), F.col("norm"))).alias("similarity"))
+    means = stage(mean_vectors(vectors, ["corpus"]), "means")
+    left, right = (means.selectExpr(f"corpus AS corpus{i}", f"mean AS m{i}") for i in (1, 2))
+    joined = pairs.select("corpus1", "corpus2").distinct().join(left, "corpus1").join(right, "corpus2")
+    return joined.select("corpus1", "corpus2", cosine_distance(F.col("m1"), F.col("m2")).alias("similarity"))
 
 
 def experiment_features(experiments: DataFrame, tokenised: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Attach the features to experiment rows naming a train, dev and test corpus.
 
     ``experiments`` has ``train_corpus, dev_corpus, test_corpus``; ``tokenised`` has
-    ``(corpus, line_no, tokens)`` and ``vectors`` ``(corpus, embedding)``. Every corpus and
+    ``(corpus, line_no, bag)`` (or ``tokens``) and ``vectors`` ``(corpus, embedding)``. Every corpus and
     every pair of corpora is worked out once, however many rows use it.
     """
-    tokenised = stage(tokenised, "tokens")
+    tokenised = stage(bagged(tokenised), "bags")
     counts = stage(token_counts(tokenised, ["corpus"]), "counts")
     profiles = stage(corpus_profiles(tokenised, counts), "profiles")
     names = [f"{s}_corpus" for s in SPLITS]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmark.functions import keys
-from glossmark.functions.text import normalise, tokenise
+from glossmark.functions.text import bags, normalise, tokenise
 from glossmark.operators import corpus, stats
 from glossmark.plans import fixtures as fx
 from glossmark.session import join_bounded, stage
@@ -91,8 +91,7 @@ md5(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}\s]', '', 'g')) AS n
 
 
 def _counts(spark: SparkSession, sf_dir: str, tokeniser: str) -> DataFrame:
-    tokenised = tokenise(fx.corpus_lines(spark, sf_dir), tokeniser)
-    return stats.token_counts(tokenised, ["lang", "split"])
+    return stats.token_counts(bags(fx.corpus_lines(spark, sf_dir), tokeniser), ["lang", "split"])
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +137,9 @@ def _sides(spark: SparkSession, sf_dir: str, tokeniser: str = "char") -> DataFra
 
 def corpus_vocab_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary, mean sentence length, overlap, TTR and TTR distances of words."""
-    tokenised = tokenise(fx.corpus_lines(spark, sf_dir), "word")
-    sized = tokenised.withColumn("n_tokens", F.size("tokens"))
-    sizes = stats.corpus_sizes(sized, LANG)
-    sides = stats.side_counts(stats.token_counts(tokenised, ["lang", "split"]), LANG)
+    lines = fx.corpus_lines(spark, sf_dir)
+    sizes = stats.corpus_sizes(lines, LANG)
+    sides = stats.side_counts(stats.token_counts(bags(lines, "word"), ["lang", "split"]), LANG)
     vocabulary = stats.vocabulary_stats(sides, LANG)
     table = stats.derived_stats(sizes.join(vocabulary, LANG, "left"))
     floats = [c for c, t in table.dtypes if t == "double"]
@@ -234,7 +232,7 @@ SELECT lang, {_round_sql(_JSD_COLUMNS)} FROM jsd"""
 
 
 def corpus_tfidf_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenised = stage(tokenise(fx.numbered_corpus_lines(spark, sf_dir), "word"), "tokens")
+    tokenised = stage(bags(fx.numbered_corpus_lines(spark, sf_dir), "word"), "bags")
     table = stats.tfidf_distance(tokenised, stage(stats.corpus_sizes(tokenised, LANG), "sizes"), LANG)
     return rounded(table, [f"{a}_{b}_tf_idf" for a, b in stats.PAIRS])
 
@@ -385,7 +383,7 @@ def experiment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"concat({langs}[cast(o_orderkey % 4 AS int)], '|test') AS test_corpus",
     )
     lines = fx.numbered_corpus_lines(spark, sf_dir).selectExpr("concat(lang, '|', split) AS corpus", "line_no", "text")
-    table = stats.experiment_features(rows, tokenise(lines, "word"))
+    table = stats.experiment_features(rows, bags(lines, "word"))
     return rounded(table, [c for c in stats.FEATURES if c in table.columns and dict(table.dtypes)[c] == "double"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmark.functions import keys
-from glossmark.functions.text import mteval_tokens, plain_tokens, strip, tokenise
+from glossmark.functions.text import bags, mteval_tokens, plain_tokens, strip
 from glossmark.operators import harvest as hv
 from glossmark.operators import metrics as mt
 from glossmark.operators import stats
@@ -77,7 +77,7 @@ def featurise(
     )
     used = named.selectExpr("explode(array(train_corpus, dev_corpus, test_corpus)) AS corpus").distinct()
     wanted = corpora.join(used, "corpus", "left_semi")
-    table = stats.experiment_features(named, tokenise(wanted, tokeniser), vectors)
+    table = stats.experiment_features(named, bags(wanted, tokeniser), vectors)
     return table.drop("train_corpus", "dev_corpus", "test_corpus", "train_size")
 
 

@@ -6,26 +6,24 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossmark.session import join_bounded
+
 TRANSLATION_SCHEMA = "translation map<string,string>"
 
 
 def number_lines(raw: DataFrame) -> DataFrame:
     """``(path, block, seq, text)`` rows to ``(path, line_no, text)`` with dense numbers.
 
-    A block is read by one task in file order, so ``seq`` orders its lines; block
-    counts give each block's first number. No task holds more than one block.
+    A block is read by one task in file order, so ``seq`` goes up by one from line to line of a
+    block: a line's place is its distance from the block's first. Block counts give each block's
+    first number; that table is as small as the number of blocks, and the text is neither sorted
+    nor, up to the broadcast limit, shuffled.
     """
-    counts = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    first = counts.select(
-        "path", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")
-    )
-    inside = Window.partitionBy("path", "block").orderBy("seq")
-    numbered = raw.withColumn("_i", F.row_number().over(inside) - 1)
-    return numbered.join(first, ["path", "block"]).select(
-        "path", (F.col("_first") + F.col("_i")).alias("line_no"), "text"
+    counts = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_start"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("path", "block", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    return join_bounded(raw, first, ["path", "block"]).select(
+        "path", (F.col("_first") + F.col("seq") - F.col("_start")).alias("line_no"), "text"
     )
 
 
