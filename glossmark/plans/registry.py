@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossmark.plans import corpus_queries, metric_queries, model_queries, oracle_queries, table_queries
+from glossmark.plans import corpus_queries, edge_queries, metric_queries, model_queries, oracle_queries, table_queries
 
-MODULES = [corpus_queries, metric_queries, table_queries, model_queries, oracle_queries]
+MODULES = [corpus_queries, metric_queries, table_queries, model_queries, oracle_queries, edge_queries]
 
 
 def registered() -> dict:
