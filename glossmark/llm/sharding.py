@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from glossmark.llm.common import key_text, row_digest
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_096
 
 
 def interleave(
