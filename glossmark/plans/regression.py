@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ TASK_MODELS = ["aya", "llama3"]
 TASK_MODES = ["random", "lolo"]
 DEFAULT_SCORE = {"mt560": "spBLEU", "nusa": "spBLEU", "intent": "accuracy", "slot": "f1"}
 KEY = "_key"
+# Runs of a protocol fitted at once; each has its own parallel folds.
+PARALLEL_RUNS = 4
 
 
 @dataclass
@@ -277,9 +280,10 @@ def _protocol_runs(rows: DataFrame, setup: Setup, other: DataFrame | None):
 
 def _fitted_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
     """The same columns as the linear results, with parameters and importances as maps."""
-    results = []
-    for run, seed, train, test in _protocol_runs(rows, setup, other):
+
+    def one(run: str, seed: int, train: DataFrame, test: DataFrame) -> list[DataFrame]:
         n = train.count()
+        results = []
         for number, combo in enumerate(setup.combos):
             columns = setup.columns(rows, combo, dropped)
             fitted = _fit(train, columns, setup, seed)
@@ -292,6 +296,11 @@ def _fitted_results(rows: DataFrame, setup: Setup, other: DataFrame | None, drop
                     F.lit(float(fitted.cv_rmse)).alias("cv_rmse"), "rmse", extra.cast("map<string,double>").alias("extra"),
                 )
             )
+        return results
+
+    # Runs do not depend on each other: a bounded number is under way at once, and their jobs share the cluster.
+    with ThreadPool(PARALLEL_RUNS) as pool:
+        results = [r for found in pool.starmap(one, _protocol_runs(rows, setup, other)) for r in found]
     return stage(sm.append(results), "results")
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 100_000
+# And if those rows, as text, are at most this large.
+BROADCAST_BYTES = 64 << 20
 
-_local_staging: dict[str, str] = {}
+_staging: dict[str, str] = {}
 
 
 def build_session(app: str = "glossmark", cpus: int | str = "*", **conf) -> SparkSession:
@@ -36,16 +41,28 @@ def build_session(app: str = "glossmark", cpus: int | str = "*", **conf) -> Spar
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a scratch folder in local mode only."""
+    """This application's folder below the shared folder the cluster names.
+
+    Only local mode falls back to a scratch folder. The folder goes when the driver ends normally.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
-    if app not in _local_staging:
-        _local_staging[app] = tempfile.mkdtemp(prefix="glossmark-")
-    return _local_staging[app]
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    key = f"{configured}|{app}"
+    if key not in _staging:
+        _staging[key] = f"{configured}/glossmark-{app}" if configured else tempfile.mkdtemp(prefix="glossmark-")
+        atexit.register(remove_folder, _staging[key])
+    return _staging[key]
+
+
+def remove_folder(path: str) -> None:
+    """Delete a staging folder; one that is gone or out of the driver's reach is left alone."""
+    try:
+        store, inner = files.FileSystem.from_uri(path)
+        store.delete_dir(inner)
+    except (OSError, pa.ArrowException):
+        pass
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -76,10 +93,16 @@ def join_bounded(
     """Join a side expected to be small: broadcast it if its counted size allows.
 
     ``small`` is staged unless it is already, so the count and the join read one table.
-    Above ``max_rows`` the join is a shuffle join and AQE splits skewed partitions.
+    Above ``max_rows`` rows or ``BROADCAST_BYTES`` the join is a shuffle join and AQE splits skewed
+    partitions.
     """
     if not staged:
         small = stage(small, "side")
-    if small.count() <= max_rows:
+    if small.count() <= max_rows and _text_size(small) <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def _text_size(df: DataFrame) -> int:
+    """Bytes of all rows written as JSON, a bound that needs no knowledge of the columns' types."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 0
