@@ -29,7 +29,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
         moved = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u != v").distinct()
+    return moved.where("u != v")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame | None:
@@ -46,7 +46,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame | None:
         if state == before:
             break
         before = state
-        now = stage(_stars(_stars(now, True), False), "links")
+        now = stage(_stars(_stars(now, True), False).distinct(), "links")
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("root"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import row_digest
+from glossmark.llm.common import row_digest, tidy
 from glossmark.llm.components import components
 from glossmark.llm.substrings import BASES, LAST_ID, _Hashes, rolling, words_of
 from glossmark.session import stage
@@ -30,7 +30,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-BLOCK = 1024
+BLOCK = 4096
 # Registers that must agree for a pair to be verified: 4 standard deviations below the threshold.
 SLACK = 4.0
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +81,7 @@ _SIGNED = "struct<bands:array<bigint>,sketch:binary>"
 
 def _signer(shingle: int):
     @F.arrow_udf(_SIGNED)
+    @tidy
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = _Hashes(0)
         for batch in batches:
@@ -127,18 +128,23 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return total
 
 
-def dealt(rows: DataFrame, group: list[str], node: str, block: int, keep_own: bool = False) -> DataFrame:
-    """``rows`` with ``i`` and ``j``: groups beyond ``block`` rows as pairs of blocks, each row in as many as there are blocks.
+def sized(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` of groups with more than one row, with the group's size ``n``."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(sizes, group)
 
-    Blocks are drawn by hash, from the group's counted size. A pair of blocks holds two blocks' rows;
-    ``keep_own`` adds the number of a row's own block as ``own``.
+
+def dealt(rows: DataFrame, node: str, block: int) -> DataFrame:
+    """``rows`` with ``i``, ``j``, ``k`` and ``own`` instead of ``n``: groups beyond ``block`` rows as pairs of blocks.
+
+    ``n`` is the size of a row's group and ``k`` the number of its blocks; blocks are drawn by hash. A pair
+    (i, j) holds both blocks' rows, and a row is in as many pairs as there are blocks; ``own`` is its own.
     """
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     k = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    placed = rows.join(sizes, group).withColumn("k", k).withColumn("own", F.pmod(F.xxhash64(node), F.col("k")).cast("int"))
+    placed = rows.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64(node), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     return placed.withColumn("other", other).select(
-        *rows.columns, *(["own"] if keep_own else []), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        *[c for c in rows.columns if c != "n"], "k", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
 
@@ -168,7 +174,7 @@ def by_group(keys: list[str], work: Callable) -> Callable:
         if held:
             yield from work(pa.Table.from_batches(held), state)
 
-    return run
+    return tidy(run)
 
 
 class Forest:
@@ -189,38 +195,40 @@ class Forest:
         return x != y
 
 
-def _pairs(nodes: list[int], out: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    if out:
-        a, b = zip(*out)
-        yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in a], pa.int64()), pa.array([nodes[x] for x in b], pa.int64())], ["a", "b"])
-
-
 def _sketches(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
 def _tie(least: int) -> Callable:
-    """Ties that span what looks similar in a bucket: each node is compared with those not yet reached."""
+    """Ties that span what looks similar in a bucket, as stars around the smallest node.
+
+    Each node reached is compared with those not yet reached.
+    """
 
     def work(table: pa.Table, state: dict) -> Iterator[pa.RecordBatch]:
-        nodes, look = table.column("node").to_pylist(), _sketches(table)
-        rest, out = np.arange(len(nodes)), []
+        nodes, look = table.column("node").to_numpy(), _sketches(table)
+        rest, out_a, out_b, first = np.arange(len(nodes)), [], [], 0
         queue: list[int] = []
         while len(rest):
             if not queue:
-                queue, rest = [int(rest[0])], rest[1:]
-            x = queue.pop()
-            near = (look[rest] == look[x]).sum(1) >= least
-            out += [(x, int(y)) for y in rest[near]]
-            queue += rest[near].tolist()
+                first, rest = int(rest[0]), rest[1:]
+                queue = [first]
+            near = (look[rest] == look[queue.pop()]).sum(1) >= least
+            out_a += [first] * int(near.sum())
+            out_b += (found := rest[near].tolist())
+            queue += found
             rest = rest[~near]
-        yield from _pairs(nodes, out)
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[out_a]), pa.array(nodes[out_b])], ["a", "b"])
 
     return work
 
 
 def _verify(least: int, threshold: float, shingle: int) -> Callable:
-    """Links that span what is similar in a block of a family, by exact comparison."""
+    """Links that span what is similar in a block of a family, by exact comparison, as stars around the smallest node.
+
+    ``more`` tells that the family has further blocks, so that the stars are not yet its classes.
+    """
 
     def work(table: pa.Table, state: dict) -> Iterator[pa.RecordBatch]:
         hashes = state.setdefault("hashes", _Hashes(0))
@@ -229,7 +237,7 @@ def _verify(least: int, threshold: float, shingle: int) -> Callable:
             nodes = table.column("node").to_pylist()
         look = _sketches(table)
         sets = [shingles(hashes.of(words_of(t)), shingle) for t in table.column("text").to_pylist()]
-        forest, out = Forest(len(nodes)), []
+        forest = Forest(len(nodes))
         for x in range(len(nodes)):
             same = (look[x + 1 :] == look[x]).sum(1)
             near = np.flatnonzero(same >= least)
@@ -237,8 +245,11 @@ def _verify(least: int, threshold: float, shingle: int) -> Callable:
                 y += x + 1
                 if forest.find(x) != forest.find(y) and probability_jaccard(sets[x], sets[y]) >= threshold:
                     forest.join(x, y)
-                    out.append((x, y))
-        yield from _pairs(nodes, out)
+        links = [(y, nodes[x]) for i, y in enumerate(nodes) if (x := forest.find(i)) != i]
+        if links:
+            more = table.column("k")[0].as_py() > 1
+            arrays = [pa.array(c, pa.int64()) for c in zip(*links)] + [pa.array([more] * len(links))]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "root", "more"])
 
     return work
 
@@ -247,7 +258,7 @@ def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK,
 ) -> DataFrame:
     """One row per different text: f1, f2 (two hashes of it), doc (its smallest id), its class's key and smallest id,
-    and ``head``: true for one text of the class, with that smallest id.
+    ``worded`` (it has words), and ``head``: true for one text of the class, with that smallest id.
 
     Two texts are linked if the probability Jaccard similarity of their word shingles (weights: counts) is at
     least ``threshold``; classes are what links connect. Words are those between ASCII white space. Null texts
@@ -262,28 +273,32 @@ def near_duplicates(
     least = least_agreement(threshold)
 
     keys = heads.select("node", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = keys.join(shared, "bucket").join(heads.select("node", "sketch"), "node").select("bucket", "node", "sketch")
-    dealt_out = dealt(met, ["bucket"], "node", block).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    met = sized(keys, "bucket").join(heads.select("node", "sketch"), "node")
+    dealt_out = dealt(met, "node", block).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     ties = dealt_out.mapInArrow(by_group(["bucket", "i", "j"], _tie(least)), "a long, b long")
     families = components(ties, "a", "b")
-    alone = heads.select("f1", "f2", "doc", F.col("node").alias("class_key"), F.col("doc").alias("class_doc"), F.lit(True).alias("head"))
+    worded = F.col("bands").isNotNull().alias("worded")
+    alone = heads.select("f1", "f2", "doc", worded, F.col("node").alias("class_key"), F.col("doc").alias("class_doc"), F.lit(True).alias("head"))
     if families is None:
         return alone
 
     families = stage(families, "near-families")
-    members = families.join(heads.select("node", "f1", "f2", "doc", "sketch"), "node")
+    members = sized(families, "root").join(heads.select("node", "f1", "f2", "doc", "sketch"), "node")
     # only the document with the smallest id brings its text
-    held = members.join(rows.withColumnRenamed("doc", "id"), ["f1", "f2"]).where("id <= doc").select("root", "node", "sketch", "text")
-    spread = dealt(held, ["root"], "node", block).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    links = spread.mapInArrow(by_group(["root", "i", "j"], _verify(least, threshold, shingle)), "a long, b long")
-    classes = components(links, "a", "b")
-    if classes is None:
-        return alone
+    held = members.join(rows.withColumnRenamed("doc", "id"), ["f1", "f2"]).where("id <= doc").select("root", "n", "node", "sketch", "text")
+    spread = dealt(held, "node", block).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    links = spread.mapInArrow(by_group(["root", "i", "j"], _verify(least, threshold, shingle)), "node long, root long, more boolean")
+    links = stage(links, "near-links")
+    # a family in one block has its classes already; those in several are united
+    classes = links.where("NOT more").select("node", "root")
+    classes = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
+    united = components(links.where("more"), "node", "root")
+    if united is not None:
+        classes = classes.unionByName(united)
     classes = stage(classes.join(heads.select("node", "doc"), "node"), "near-classes")
     named = classes.join(classes.groupBy("root").agg(F.min("doc").alias("class_doc")), "root").select("node", "root", "class_doc")
     every = heads.join(named, "node", "left").select(
-        "f1", "f2", "doc", F.coalesce("root", "node").alias("class_key"), F.coalesce("class_doc", "doc").alias("class_doc")
+        "f1", "f2", "doc", worded, F.coalesce("root", "node").alias("class_key"), F.coalesce("class_doc", "doc").alias("class_doc")
     )
     # only texts with the smallest id compete, so the window never sees a large class
     first = F.row_number().over(Window.partitionBy("class_key").orderBy("f1", "f2")) == 1
@@ -293,17 +308,18 @@ def near_duplicates(
 
 def _classified(df: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
     """Rows of ``df`` (as struct ``row``) with the class of their text and whether they are kept."""
-    classes = near_duplicates(df, doc_id, text, **options).select("f1", "f2", "class_doc", "head")
+    classes = near_duplicates(df, doc_id, text, **options).select("f1", "f2", "worded", "class_doc", "head")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(body).alias("f1"),
         F.xxhash64(F.lit("second"), body).alias("f2"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID)).alias("id"),
-        (F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")) > 0).alias("worded"), row_digest(df).alias("tie"),
+        row_digest(df).alias("tie"),
     )
     joined = rows.join(classes, ["f1", "f2"])
-    # repeated rows of one document lie together already; nothing else competes
+    # Only repeated rows of one document compete. The id is compared by order, which is the same here, so that
+    # both parts below join by the same keys and share one shuffle of the rows.
     first = F.row_number().over(Window.partitionBy("f1", "f2").orderBy("tie")) == 1
-    best = F.col("worded") & F.col("head") & (F.col("id") == F.col("class_doc"))
+    best = F.col("worded") & F.col("head") & (F.col("id") <= F.col("class_doc"))
     return joined.where(best).withColumn("kept", first).unionByName(joined.where(~best).withColumn("kept", ~F.col("worded")))
 
 
