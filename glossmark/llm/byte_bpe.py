@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import tidy
 from glossmark.session import stage
 
 CHUNK = 65_536
@@ -29,7 +30,7 @@ OVERLAP = 1_024
 # (the longest fixed alternative of the pattern has three signs).
 MARGIN = 3
 # Entries of a worker's memo of pre-tokens; it starts anew when full.
-MEMO = 300_000
+MEMO = 150_000
 
 
 @functools.cache
@@ -57,6 +58,7 @@ class _Memo(dict):
 
 def _encoder(ranks_path: str, pattern: str):
     @F.arrow_udf("array<int>")
+    @tidy
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
@@ -75,6 +77,7 @@ def _encoder(ranks_path: str, pattern: str):
 
 def _decoder(ranks_path: str, pattern: str):
     @F.arrow_udf("binary")
+    @tidy
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         raw = _encoding(ranks_path, pattern).decode_single_token_bytes
         memo: dict[int, bytes] = {}

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import tidy
+
 FIT_ROWS = 400
 FIT_CHARS = 4_000
 UNKNOWN = "und"
@@ -36,7 +38,7 @@ DECAY = 1e-5
 STRETCH = 60
 # Words of a memo of evidence; it starts anew when full.
 MEMO = 200_000
-SLICE_WORDS = 1_000_000
+SLICE_WORDS = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -318,6 +320,7 @@ def language(spark: SparkSession, field_: Field, text: Column) -> Column:
     arrow = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64()))])
 
     @F.arrow_udf(_KIND)
+    @tidy
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         memo = _Evidence(own)

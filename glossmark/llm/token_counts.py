@@ -20,8 +20,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import tidy
+
 # Entries of a worker's own memo of stretches; it starts anew when full, so memory stays bounded.
-MEMO = 300_000
+MEMO = 200_000
 # The ASCII white space that normalisation may touch.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -38,6 +40,7 @@ def tokenizer_digest(path: str) -> str:
 
 def _counter(path: str, whole_texts: bool):
     @F.arrow_udf("bigint")
+    @tidy
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

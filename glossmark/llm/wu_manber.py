@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import tidy
 from glossmark.session import stage
 
 MAX_ITEM_BYTES = 64 << 20
@@ -100,6 +101,7 @@ def _hits(shared, window: int):
     """Arrow function text -> RESULT for one broadcast block of items."""
 
     @F.arrow_udf(RESULT)
+    @tidy
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = build(shared.value, window)
         for batch in batches:
