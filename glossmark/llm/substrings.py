@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import tidy
 from glossmark.session import stage
 
 WINDOW = 50
 HOT = 10_000
 LAST_ID = (1 << 63) - 1
 # Entries of a worker's memo of word hashes; it starts anew when full.
-MEMO = 400_000
+MEMO = 200_000
 # Odd multipliers of the polynomials (fixed, any odd numbers would do).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -100,6 +101,7 @@ def anchors(values: np.ndarray, window: int) -> np.ndarray:
 
 def _anchor_lists(window: int):
     @F.arrow_udf("array<bigint>")
+    @tidy
     def lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = _Hashes(0)
         for batch in batches:
@@ -117,9 +119,10 @@ def _anchor_lists(window: int):
 
 
 def _window_lists(window: int):
-    kind = "array<struct<k1:bigint,k2:bigint,pos:int,hot:boolean>>"
+    kind = "array<struct<k1:bigint,k2:bigint,hot:boolean,starts:array<int>>>"
 
     @F.arrow_udf(kind)
+    @tidy
     def lists(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         first, second = _Hashes(0), _Hashes(1)
         for texts, shared, hot, *_ in batches:
@@ -129,16 +132,18 @@ def _window_lists(window: int):
                 a, b = first.of(words), second.of(words)
                 low = anchors(a, window).view(np.int64)
                 at = np.flatnonzero(np.isin(low, some.values.to_numpy(zero_copy_only=False)))
-                cols.append((
-                    rolling(a, window, BASES[0]).view(np.int64)[at], rolling(b, window, BASES[1]).view(np.int64)[at],
-                    at.astype(np.int32), np.isin(low[at], most.values.to_numpy(zero_copy_only=False)),
-                ))
-                ends.append(ends[-1] + len(at))
-            if cols:
-                parts = [pa.array(np.concatenate(c)) for c in zip(*cols)]
-            else:
-                parts = [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.bool_())]
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["k1", "k2", "pos", "hot"]))
+                k1, k2 = rolling(a, window, BASES[0])[at], rolling(b, window, BASES[1])[at]
+                # equal windows of one text travel together
+                order = np.lexsort((k2, k1))
+                k1, k2 = k1[order], k2[order]
+                new = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])][: len(order)])
+                hits = np.isin(low[at[order[new]]], most.values.to_numpy(zero_copy_only=False))
+                cols.append((k1[new].view(np.int64), k2[new].view(np.int64), hits, np.diff(np.r_[new, len(order)]), at[order]))
+                ends.append(ends[-1] + len(new))
+            k1, k2, hits, sizes, starts = (np.concatenate(c) for c in zip(*cols)) if cols else [np.empty(0, np.int64)] * 5
+            places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(starts, pa.int32()))
+            parts = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(hits.astype(bool)), places]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["k1", "k2", "hot", "starts"]))
 
     return lists.asNondeterministic()
 
@@ -184,14 +189,14 @@ def _remover(window: int):
 
 
 def _earlier(windows: DataFrame, any_hot: bool) -> DataFrame:
-    """(doc, v, pos) of windows that also start in a document with a smaller id."""
+    """(doc, v, starts) of windows that also start in a document with a smaller id."""
     keys = ["k1", "k2"]
     found = windows.where(~F.col("hot")).withColumn("least", F.min("doc").over(Window.partitionBy(*keys)))
     if any_hot:
         hot = windows.where("hot")
         least = hot.groupBy(*keys).agg(F.min("doc").alias("least"))
         found = found.unionByName(hot.join(least, keys))
-    return found.where("least < doc").select("doc", "v", "pos")
+    return found.where("least < doc").select("doc", "v", "starts")
 
 
 def remove_repeats(
@@ -208,7 +213,8 @@ def remove_repeats(
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID))
     f1, f2 = F.xxhash64(body), F.xxhash64(F.lit("second"), body)
 
-    listed = df.select(f1.alias("f1"), f2.alias("f2"), _anchor_lists(window)(body).alias("list"))
+    # read twice below: to count the anchors and to find the texts that have the shared ones
+    listed = stage(df.select(f1.alias("f1"), _anchor_lists(window)(body).alias("list")), "substring-lists")
     rows = listed.select("f1", F.explode("list").alias("a"))
     # anchors of at least two different texts
     known = rows.groupBy("a").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -235,7 +241,7 @@ def remove_repeats(
         .where(F.col("id") <= F.col("doc"))
         .select("doc", "v", F.inline(_window_lists(window)(F.col("text"), F.col("some"), F.col("most"), *extra)))
     )
-    starts = _earlier(counted, any_hot).groupBy("doc", "v").agg(F.collect_set("pos").alias("starts"))
+    starts = _earlier(counted, any_hot).groupBy("doc", "v").agg(F.flatten(F.collect_set("starts")).alias("starts"))
     verdict = heads.join(starts, ["doc", "v"], "left").select("f1", "f2", "doc", "starts")
     later = F.col("id") > F.col("doc")
     found = _remover(window)(F.col("text"), F.when(~later, F.col("starts")), later)
