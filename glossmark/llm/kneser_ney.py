@@ -30,12 +30,13 @@ from pyarrow import fs as afs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import tidy
 from glossmark.llm.prob_minhash import by_group
 from glossmark.llm.substrings import _Hashes
 from glossmark.session import staging_dir
 
 SHARD_TOKENS = 4_000_000
-SLICE_TOKENS = 2_000_000
+SLICE_TOKENS = 500_000
 MAX_WORDS = 1 << 31
 # Neither can be a word: words hold no blanks.
 BEGIN, END = b" <s>", b" </s>"
@@ -340,7 +341,7 @@ def train(df: DataFrame, text: str = "text", shards: int | None = None) -> Model
     def grouped(rows: DataFrame, work, n: int) -> DataFrame:
         return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(by_group(["shard"], work), _PACKED_DDL)
 
-    counted = texts.mapInArrow(_count_words(parts), _PACKED_DDL)
+    counted = texts.mapInArrow(tidy(_count_words(parts)), _PACKED_DDL)
     found = [json.loads(r["info"]) for r in grouped(counted, _write_words(uri), parts).select("info").collect()]
     sizes, mass = [0] * parts, [0] * parts
     for x in found:
@@ -354,7 +355,7 @@ def train(df: DataFrame, text: str = "text", shards: int | None = None) -> Model
     begins = int(Words(model).find(np.array([_Hashes(0)[BEGIN]], np.uint64))[1][0])
     model.tokens, model.distinct = sum(mass) - begins, sum(sizes) - 1
     model.pair_shards = shards or max(parts, -(-sum(mass) // SHARD_TOKENS))
-    pairs = texts.mapInArrow(_count_pairs(model), _PACKED_DDL)
+    pairs = texts.mapInArrow(tidy(_count_pairs(model)), _PACKED_DDL)
     spread = grouped(pairs, _write_pairs(model), model.pair_shards)
     found = [json.loads(r["info"]) for r in grouped(spread, _write_continuations(model), parts).select("info").collect()]
 
@@ -476,6 +477,7 @@ def score_column(model: Model, mapped: bool = True):
     """
 
     @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double>")
+    @tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model, mapped)
         kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
