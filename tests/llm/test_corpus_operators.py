@@ -151,6 +151,41 @@ def test_passes_find_pairs_at_the_threshold(spark):
     assert got >= 0.9 * 1200
 
 
+def crowded_pairs(n, pairs, mean, cosine, seed, size=64):
+    """``n`` vectors with a mean cosine of ``mean``; the first ``2 * pairs`` are pairs at exactly ``cosine``."""
+    rng = np.random.default_rng(seed)
+    u = rng.standard_normal((n, size))
+    u[:, 0] = 0
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    a, side = u[: 2 * pairs : 2], rng.standard_normal((pairs, size))
+    side[:, 0] = 0
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = (cosine - mean) / (1 - mean)
+    u[1 : 2 * pairs : 2] = near * a + math.sqrt(1 - near * near) * side
+    v = math.sqrt(1 - mean) * u
+    v[:, 0] = math.sqrt(mean)
+    return v
+
+
+@pytest.mark.parametrize("mean, block", [(0.8, 1024), (0.6, 16)])
+def test_vectors_that_share_a_direction_keep_their_links(spark, mean, block):
+    v = crowded_pairs(4000, 500, mean, 0.9301, 8)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in vectors.near_vectors(df, block=block).collect()}
+    missed = sum(got[2 * i] != got[2 * i + 1] for i in range(500))
+    assert missed <= 4
+
+
+def test_crowded_labels_get_more_work(spark):
+    rows = [(i, x.tolist(), int(mean * 10)) for mean in (0.0, 0.6) for i, x in enumerate(crowded_pairs(4000, 1, mean, 0.95, 9))]
+    heads = spark.createDataFrame(rows, "h long, v array<double>, g long")
+    got = {r.g: r for r in vectors._depths(heads, 0.93, 1e-3, 16, 0).collect()}
+    assert 0 < got[0].depth < got[6].depth and got[0].passes < got[6].passes
+    assert all(r.passes == vectors.passes_for(r.depth, 0.93, 1e-3) for r in got.values())
+    assert vectors.passes_for(0, 0.93, 1e-3) == 1
+
+
 # ---- language model
 
 
