@@ -186,6 +186,20 @@ def test_crowded_labels_get_more_work(spark):
     assert vectors.passes_for(0, 0.93, 1e-3) == 1
 
 
+def test_vector_links_do_not_depend_on_partitions(spark):
+    v = crowded_pairs(60, 30, 0.0, 0.9301, 12)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for parts in (1, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found[parts] = sorted(tuple(r) for r in vectors.near_vectors(df, block=16).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[1] == found[8] == found[200]
+    assert [r[1] for r in found[1]] == [1] * 60
+
+
 # ---- language model
 
 
