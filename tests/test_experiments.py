@@ -260,3 +260,19 @@ def test_setup_checks():
         with pytest.raises(error):
             Setup(**{**good, key: value})
     assert factor.side_columns(["source_lang", "target_lang", "dataset_size", "a"]) == ["a"]
+
+
+def test_searches_are_registered_whole(monkeypatch):
+    from glossmark.operators.splits import SEEDS
+    from glossmark.plans import model_queries as mq
+
+    monkeypatch.setattr(mq, "table", lambda spark, sf_dir: None)
+    monkeypatch.setattr(mq, "run_experiment", lambda rows, setup: setup)
+    setups = {name: getattr(mq, name)(None, "") for name in ("depthwise_trees", "leafwise_trees", "matrix_factors", "polynomial_grid")}
+    for setup in setups.values():
+        assert setup.seeds == SEEDS and setup.lang == "all" and setup.config["cv"] == 10
+    trees, leaves = setups["depthwise_trees"].config, setups["leafwise_trees"].config
+    assert trees["n_iter"] == 50 and trees["param_space"]["n_estimators"]["low"] == 2000
+    assert leaves["param_space"] == {"learning_rate": [0.03, 0.1, 0.3], "num_leaves": [16, 32, 64]}
+    assert leaves["fixed_param"]["n_estimators"] == 100
+    assert setups["matrix_factors"].config["param_space"]["alpha"] == [0.001, 0.01]
