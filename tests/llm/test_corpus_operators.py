@@ -200,6 +200,16 @@ def test_vector_links_do_not_depend_on_partitions(spark):
     assert [r[1] for r in found[1]] == [1] * 60
 
 
+def test_vectors_of_two_sizes_in_one_label(spark):
+    """Every second vector has another size; pairs at the threshold are found among both."""
+    long, short = (crowded_pairs(1500, 300, 0.0, 0.9301, 13 + size, size) for size in (64, 32))
+    rows = [(2 * i + k, x.tolist(), 0) for k, v in enumerate((long, short)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in vectors.near_vectors(df).collect()}
+    missed = sum(got[4 * i + k] != got[4 * i + 2 + k] for i in range(300) for k in (0, 1))
+    assert missed <= 4
+
+
 # ---- language model
 
 
