@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import byte_bpe, crf, kneser_ney, prob_minhash, sharding, substrings, token_counts, url_rules, vectors, wu_manber
+from glossmark.llm import (
+    alignment, byte_bpe, crf, kneser_ney, packed_ids, prob_minhash, resampling, sharding, substrings, token_counts, url_rules, vectors,
+    wu_manber,
+)
 from glossmark.llm.common import crc32_sql, held_out, table
 from glossmark.session import staging_dir
 
@@ -15,6 +18,9 @@ SHARDS = 40
 SHARD_SEED = 42
 TOKEN_LIMIT = 2048
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+DRAW_SEED = 2024
+DRAW_SHARE = (10, 100)
+END_ID = 1
 
 HOST_RULES = [
     ("com", "/", "allow"),
@@ -173,6 +179,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 OP8_SQL = r"""
 WITH docs AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -233,6 +242,55 @@ def _op10_sql() -> str:
         CASE rule {verdicts} ELSE CASE WHEN blocked THEN 'block' ELSE 'allow' END END AS verdict FROM ruled"""
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    scored = resampling.importance(docs, target, seed=DRAW_SEED)
+    return resampling.draw(scored, DRAW_SHARE).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = rf"""
+WITH docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+items AS (SELECT {_WORDS_SQL} AS w FROM benchmark),
+vocabulary AS (
+    SELECT word, crc % {resampling.BUCKETS} AS b FROM (
+        SELECT word, {crc32_sql("word")} AS crc
+        FROM (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM docs UNION ALL SELECT w FROM items) AS x) AS y) AS z),
+source AS (SELECT b, count(*) AS s FROM (SELECT unnest(w) AS word FROM docs) AS x JOIN vocabulary USING (word) GROUP BY b),
+target AS (SELECT b, count(*) AS t FROM (SELECT unnest(w) AS word FROM items) AS x JOIN vocabulary USING (word) GROUP BY b),
+totals AS (
+    SELECT coalesce((SELECT sum(s) FROM source), 0)::DOUBLE + {resampling.BUCKETS} AS big_s,
+        coalesce((SELECT sum(t) FROM target), 0)::DOUBLE + {resampling.BUCKETS} AS big_t),
+gains AS (
+    SELECT n.b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * big_s / ((coalesce(s, 0) + 1)::DOUBLE * big_t)))::BIGINT AS gain
+    FROM (SELECT unnest(range({resampling.BUCKETS})) AS b) AS n LEFT JOIN source USING (b) LEFT JOIN target USING (b), totals),
+sums AS (
+    SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+    FROM (SELECT doc_id, unnest(w) AS word FROM docs) AS x JOIN vocabulary USING (word) JOIN gains USING (b) GROUP BY doc_id),
+scored AS (
+    SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('{DRAW_SEED}:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE
+            / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM docs LEFT JOIN sums USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= {resampling.LEAST_WORDS}),
+size AS (SELECT {DRAW_SHARE[0]} * count(*) // {DRAW_SHARE[1]} AS n FROM placed)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END::BIGINT AS rank
+FROM scored LEFT JOIN placed USING (doc_id), size
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aligned = alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
+    return aligned.select("doc_id", *alignment.MEASURES, "groups_sha256")
+
+
+def op13_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{staging_dir(spark)}/ids-{uuid.uuid4().hex}"
+    packed_ids.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end=END_ID)
+    back = packed_ids.read_ids(spark, folder)
+    return back.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict = {
     "op1_sharding": (op1_sharding, OP1_SQL),
     "op2_substrings": (op2_substrings, OP2_SQL),
@@ -244,4 +302,7 @@ QUERIES: dict = {
     "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op9_language": (op9_language, None),
     "op10_url_rules": (op10_url_rules, _op10_sql()),
+    "op11_importance": (op11_importance, OP11_SQL),
+    "op12_alignment": (op12_alignment, None),
+    "op13_packed_ids": (op13_packed_ids, None),
 }
