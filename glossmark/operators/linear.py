@@ -9,7 +9,7 @@ read once whatever the number of runs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,12 +48,14 @@ def centred(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).selectExpr(*others, f"array(1.0D, {values}) AS v")
 
 
-def moments(df: DataFrame, cells: str = "cells", vector: str = "v") -> DataFrame:
+def moments(
+    df: DataFrame, cells: str = "cells", vector: str = "v", expand: Callable[[np.ndarray], np.ndarray] | None = None
+) -> DataFrame:
     """``(cell, pos, x)``: summed outer products of ``v`` over the rows of each cell.
 
     ``cells`` is an array of the cells a row belongs to. Each task adds up its own rows
     per cell with numpy; only these fixed-size partial sums are shuffled, and of the
-    symmetric matrix only the upper triangle.
+    symmetric matrix only the upper triangle. ``expand`` makes wider rows of a block of vectors.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,6 +71,7 @@ def moments(df: DataFrame, cells: str = "cells", vector: str = "v") -> DataFrame
             if batch.empty:
                 continue
             values = np.vstack(batch[vector].to_numpy())
+            values = values if expand is None else expand(values)
             lists = batch[cells].to_numpy()
             owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             names, codes = np.unique(np.concatenate(lists).astype(str), return_inverse=True)

@@ -45,14 +45,17 @@ def candidates(config: dict, seed: int) -> list[dict]:
     return [{**config.get("fixed_param", {}), **c} for c in found]
 
 
+def best_of(errors: list[list[float]]) -> tuple[int, float]:
+    """The first list with the lowest root of its mean, and that root; a list without errors counts as infinite."""
+    scores = [math.sqrt(sum(e) / len(e)) if e else math.inf for e in errors]
+    at = min(range(len(scores)), key=lambda i: (scores[i], i))
+    return at, scores[at]
+
+
 def choose(options: list[dict], folds: int, fold_error: Callable[[dict, int], float]) -> tuple[dict, float]:
     """The first option with the lowest root of the mean squared error over folds."""
     work = [(i, f) for i in range(len(options)) for f in range(folds)]
     with ThreadPool(PARALLEL_FITS) as pool:
         errors = pool.starmap(lambda i, f: fold_error(options[i], f), work)
-    scores = []
-    for i in range(len(options)):
-        mine = [e for (j, _), e in zip(work, errors) if j == i and e is not None]
-        scores.append(math.sqrt(sum(mine) / len(mine)) if mine else math.inf)
-    best = min(range(len(options)), key=lambda i: (scores[i], i))
-    return options[best], scores[best]
+    at, error = best_of([[e for (j, _), e in zip(work, errors) if j == i and e is not None] for i in range(len(options))])
+    return options[at], error

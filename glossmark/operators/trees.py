@@ -1,21 +1,33 @@
-"""Boosted-tree regressors in two parameter profiles."""
+"""Boosted-tree regressors in two parameter profiles, searched for all runs of a protocol at once.
+
+A run is a training set with folds and test parts; a fit is a run, a choice of columns, a fold that is left out
+and a setting. Settings that differ in the number of rounds only are prefixes of one fit. All fits of a search are
+rows of one table, whatever the number of folds, candidates, seeds and languages: one job fits them, a second one
+fits the chosen settings on all training rows.
+
+Bins come from all rows handed in; they hold no labels. Trees do not depend on the scale of a column, so columns
+are not scaled.
+"""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import random
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.operators import search
-from glossmark.operators.splits import kfold
-from glossmark.operators.transforms import scalable, scale, scaler
-from glossmark.session import stage
+from glossmark.operators.boosting import Fit, Gains, Layout, Policy, fit_local, fit_scanned
+from glossmark.operators.ranking import seeded_rank
+from glossmark.session import BROADCAST_BYTES, stage
 
-DEFAULT_BINS = 256
+#: Tasks of one search at most; a task fits several models one after the other.
+TASKS = 4096
 
 
 def _step(params: dict, name: str, default: float) -> float:
@@ -25,97 +37,215 @@ def _step(params: dict, name: str, default: float) -> float:
     return step
 
 
-def depthwise(params: dict, seed: int) -> GBTRegressor:
-    """Profile of the depth-wise booster. Its L1/L2 leaf penalties have no counterpart."""
-    return GBTRegressor(
-        featuresCol="features", labelCol="label", seed=seed,
-        stepSize=_step(params, "eta", 0.3),
-        maxIter=int(params.get("n_estimators", 100)),
-        maxDepth=int(params.get("max_depth", 6)),
-        minInstancesPerNode=max(1, math.ceil(params.get("min_child_weight", 1))),
-        minInfoGain=float(params.get("gamma", 0.0)),
-        subsamplingRate=float(params.get("subsample", 1.0)),
-        featureSubsetStrategy=_share(params.get("colsample_bytree", 1.0)),
+def depthwise(params: dict) -> Policy:
+    """Profile of the depth-wise booster, with its own defaults."""
+    return Policy(
+        rounds=int(params.get("n_estimators", 100)), step=_step(params, "eta", 0.3), depth=int(params.get("max_depth", 6)), leaves=0,
+        l1=float(params.get("reg_alpha", 0.0)), l2=float(params.get("reg_lambda", 1.0)), min_gain=float(params.get("gamma", 0.0)),
+        min_hessian=float(params.get("min_child_weight", 1.0)), min_rows=1, rows=float(params.get("subsample", 1.0)),
+        columns=float(params.get("colsample_bytree", 1.0)), bins=int(params.get("max_bin", 256)),
     )
 
 
-def leafwise(params: dict, seed: int) -> GBTRegressor:
-    """Profile of the leaf-wise booster: depth from the number of leaves."""
-    depth = math.ceil(math.log2(max(2, params.get("num_leaves", 31))))
-    limit = params.get("max_depth", -1)
-    return GBTRegressor(
-        featuresCol="features", labelCol="label", seed=seed,
-        stepSize=_step(params, "learning_rate", 0.1),
-        maxIter=int(params.get("n_estimators", 100)),
-        maxDepth=depth if limit <= 0 else min(depth, limit),
-        minInstancesPerNode=int(params.get("min_child_samples", 20)),
-        minInfoGain=float(params.get("min_split_gain", 0.0)),
-        subsamplingRate=float(params.get("subsample", 1.0)),
-        featureSubsetStrategy=_share(params.get("colsample_bytree", 1.0)),
-        maxBins=int(params.get("max_bin", DEFAULT_BINS)),
+def leafwise(params: dict) -> Policy:
+    """Profile of the leaf-wise booster, with its own defaults; rows are sampled only if ``subsample_freq`` is above 0."""
+    bagging = params.get("subsample_freq", 0) > 0
+    return Policy(
+        rounds=int(params.get("n_estimators", 100)), step=_step(params, "learning_rate", 0.1), depth=max(0, int(params.get("max_depth", -1))),
+        leaves=int(params.get("num_leaves", 31)), l1=float(params.get("reg_alpha", 0.0)), l2=float(params.get("reg_lambda", 0.0)),
+        min_gain=float(params.get("min_split_gain", 0.0)), min_hessian=float(params.get("min_child_weight", 1e-3)),
+        min_rows=int(params.get("min_child_samples", 20)), rows=float(params.get("subsample", 1.0)) if bagging else 1.0,
+        columns=float(params.get("colsample_bytree", 1.0)), bins=int(params.get("max_bin", 255)),
     )
 
 
-def _share(share: float) -> str:
-    return "all" if share >= 1 else str(share)
-
-
 PROFILES = {"xgb": depthwise, "lgbm": leafwise}
 
 
-@dataclass
-class TreeModel:
-    """A fitted model with the scaling it was trained under."""
-
-    columns: list[str]
-    stats: DataFrame
-    model: object
-    params: dict
-    cv_rmse: float
+def borders(rows: DataFrame, columns: list[str], bins: int) -> list[np.ndarray]:
+    """Upper ends of each column's bins: all its values if there are at most ``bins``, else quantiles from a mergeable sketch."""
+    entries = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)])).alias("e"))
+    values = stage(entries.select("e.*").where("x IS NOT NULL").distinct(), "bin-values")
+    sizes = dict(values.groupBy("i").count().collect())
+    small = [i for i in range(len(columns)) if sizes.get(i, 0) <= bins]
+    found = values.where(F.col("i").isin(small)).toPandas() if small else pd.DataFrame({"i": [], "x": []})
+    edges = {i: np.sort(found["x"][found["i"] == i].to_numpy(np.float64)) for i in small}
+    wide = [i for i in range(len(columns)) if i not in edges]
+    if wide:
+        shares = F.array(*[F.lit((k + 1) / bins) for k in range(bins)])
+        cuts = rows.agg(*[F.percentile_approx(F.col(f"`{columns[i]}`").cast("double"), shares, 20 * bins).alias(f"c{i}") for i in wide]).first()
+        edges.update({i: np.unique(np.array(cuts[f"c{i}"])) for i in wide})
+    # a column without values still has one bin
+    return [edges[i] if len(edges[i]) else np.zeros(1) for i in range(len(columns))]
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction``."""
-        vectors = features(df, self.stats, self.columns)
-        return self.model.transform(vectors).drop("features")
 
-    def importances(self) -> dict[str, float]:
-        return {f"{c}_importance": float(v) for c, v in zip(self.columns, self.model.featureImportances.toArray())}
+def binned(rows: DataFrame, columns: list[str], label: str, edges: list[np.ndarray], key: str) -> DataFrame:
+    """``row`` (a dense number in the order of the key's hash), ``key``, ``codes`` (each column's bin) and ``label``, staged.
 
+    A null counts as smaller than every number.
+    """
+    numbered = seeded_rank(rows, [], F.col(key), 0, "_row")
 
-def features(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
-    """Add the assembled vector of scaled columns; the given columns stay as they are."""
-    copies = df.selectExpr("*", *[f"cast(`{c}` AS double) AS `_f{i}`" for i, c in enumerate(columns)])
-    renamed = {c: f"_f{i}" for i, c in enumerate(columns)}
-    scaled_names = [renamed[c] for c in scalable(columns)]
-    scaled = scale(copies, stats, scaled_names)
-    assembled = VectorAssembler(inputCols=list(renamed.values()), outputCol="features").transform(scaled)
-    return assembled.drop(*renamed.values())
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.vstack(b["x"].to_numpy()).astype(np.float64)
+            codes = np.stack([np.minimum(np.searchsorted(e, np.nan_to_num(x[:, i], nan=-np.inf)), len(e) - 1) for i, e in enumerate(edges)], 1)
+            yield pd.DataFrame({"row": b["row"], "key": b["key"], "codes": list(codes.astype(np.int32)), "label": b["label"]})
 
+    values = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in columns])
+    table = numbered.select((F.col("_row") - 1).alias("row"), F.col(key).alias("key"), values.alias("x"), F.col(f"`{label}`").cast("double").alias("label"))
+    return stage(table.mapInPandas(work, "row long, key string, codes array<int>, label double"), "binned")
 
-def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    copies = df.selectExpr(*[f"cast(`{c}` AS double) AS `_f{i}`" for i, c in enumerate(columns)])
-    names = [f"_f{i}" for i, c in enumerate(columns) if c in scalable(columns)]
-    return stage(scaler(copies, names), "scaler")
 
+@dataclass
+class _Search:
+    """What every fit of a search needs to know; small, and the same for all."""
 
-def mean_squared_error(predicted: DataFrame) -> float | None:
-    return predicted.agg(F.avg(F.pow(F.col("label") - F.col("prediction"), F.lit(2)))).first()[0]
+    chosen: list[np.ndarray]  # per choice of columns
+    layouts: list[Layout]
+    folds: int
 
 
-def fit_trees(
-    train: DataFrame, columns: list[str], label: str, config: dict, profile: str, seed: int, key: Column
-) -> TreeModel:
-    """Search, then fit on all training rows. Folds follow the seeded row order."""
-    build = PROFILES[profile]
-    stats = feature_stats(train, columns)
-    labelled = train.withColumn("label", F.col(label).cast("double"))
-    folded = kfold(labelled, [], key, seed, config["cv"])
-    rows = stage(features(folded, stats, columns).select("label", "fold", "features"), "train")
+def _seed_options(config: dict, profile: str, seed: int) -> tuple[list[dict], list[tuple[Policy, list[int]]], list[tuple[int, int]]]:
+    """Candidates of a seed; the distinct paths with the rounds asked of each; and each candidate's (path, rounds)."""
     options = search.candidates(config, seed)
-
-    def fold_error(params: dict, fold: int) -> float | None:
-        model = build(params, seed).fit(rows.filter(F.col("fold") != fold))
-        return mean_squared_error(model.transform(rows.filter(F.col("fold") == fold)))
-
-    params, error = search.choose(options, config["cv"], fold_error)
-    return TreeModel(columns, stats, build(params, seed).fit(rows), params, error)
+    paths: dict[Policy, list[int]] = {}
+    for params in options:
+        policy = PROFILES[profile](params)
+        paths.setdefault(replace(policy, rounds=0), []).append(policy.rounds)
+    names = list(paths)
+    placed = [(names.index(replace(PROFILES[profile](p), rounds=0)), PROFILES[profile](p).rounds) for p in options]
+    return options, [(p, sorted(set(r))) for p, r in paths.items()], placed
+
+
+def _fit_all(spark, table, plan: _Search, specs: list[tuple]) -> list[tuple[dict, Gains]]:
+    """Fits (run, combo, fold or -1, policy, rounds, seed) in the order given; one job."""
+    order = list(range(len(specs)))
+    random.Random(0).shuffle(order)  # long and short fits mixed among tasks
+    handle = spark.sparkContext.broadcast(table)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, label, parts = handle.value
+        number = np.arange(len(label))
+        laid: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in batch["id"]:
+                run, combo, fold, policy, rounds, seed = specs[order[at]]
+                layout = plan.layouts[combo]
+                if combo not in laid:
+                    laid[combo] = codes[:, plan.chosen[combo]] + layout.start[:-1]
+                mine = parts[run]
+                train = [p for p in mine if p.startswith("fold") and p != f"fold{fold}"]
+                train = np.sort(np.concatenate([mine[p] for p in train])) if train else np.empty(0, np.int64)
+                asked = {f"fold{fold}": mine.get(f"fold{fold}", [])} if fold >= 0 else {p: r for p, r in mine.items() if not p.startswith("fold")}
+                if not len(train):
+                    continue
+                errors, gains = fit_local(laid[combo], label, number, layout, train, asked, policy, rounds, seed)
+                found = [(p, t, e) for p, by in errors.items() for t, e in by.items()]
+                yield pd.DataFrame({
+                    "id": [order[at]], "part": [[f[0] for f in found]], "turn": [[f[1] for f in found]], "error": [[f[2] for f in found]],
+                    "uses": [gains.uses], "gain": [gains.gain],
+                })
+
+    schema = "id long, part array<string>, turn array<int>, error array<double>, uses array<double>, gain array<double>"
+    done = stage(spark.range(0, len(specs), 1, min(len(specs), TASKS)).mapInPandas(work, schema), "fits")
+    out = [({}, Gains(0))] * len(specs)
+    for r in done.toLocalIterator():
+        errors: dict[str, dict[int, float]] = {}
+        for p, t, e in zip(r.part, r.turn, r.error):
+            errors.setdefault(p, {})[t] = e
+        gains = Gains(0)
+        gains.uses, gains.gain = np.array(r.uses), np.array(r.gain)
+        out[r.id] = (errors, gains)
+    handle.unpersist()
+    return out
+
+
+def _scan_all(binned_rows: DataFrame, members: DataFrame, runs: list[str], parts: dict[str, list[str]], plan: _Search, specs: list[tuple]) -> list[tuple[dict, Gains]]:
+    """The same by scans; one after the other for each choice of columns."""
+    run_number = F.create_map(*[F.lit(x) for i, r in enumerate(runs) for x in (r, i)])[F.col("run")]
+    marked = members.withColumn("no", run_number)
+    folds = marked.where("part LIKE 'fold%'").groupBy("row").agg(
+        F.map_from_entries(F.collect_list(F.struct("no", F.substring("part", 5, 9).cast("int")))).alias("in_fold")
+    )
+    tests = marked.where("part NOT LIKE 'fold%'").groupBy("row").agg(F.collect_list(F.concat_ws("|", F.col("no").cast("string"), "part")).alias("parts"))
+    whole = binned_rows.join(folds, "row", "left").join(tests, "row", "left")
+    out: list = [None] * len(specs)
+    for combo, layout in enumerate(plan.layouts):
+        at = [i for i, s in enumerate(specs) if s[1] == combo]
+        codes = F.array(*[F.col("codes")[int(c)] + int(s) for c, s in zip(plan.chosen[combo], layout.start)])
+        in_fold = F.array(*[F.coalesce(F.try_element_at("in_fold", F.lit(i)), F.lit(-1)) for i in range(len(runs))])
+        rows = whole.select("row", codes.alias("codes"), "label", in_fold.alias("folds"), F.coalesce("parts", F.array().cast("array<string>")).alias("parts"))
+        fits = [Fit(runs.index(s[0]), s[2], s[3], s[4], s[5]) for s in (specs[i] for i in at)]
+        asked = {k: [f"fold{f.fold}"] if f.fold >= 0 else [p for p in parts[runs[f.run]] if not p.startswith("fold")] for k, f in enumerate(fits)}
+        for i, result in zip(at, fit_scanned(stage(rows, "boosting"), layout, fits, asked)):
+            out[i] = result
+    return out
+
+
+def fit_protocol(
+    rows: DataFrame, members: DataFrame, seeds: dict[str, int], combos: list[list[str]], label: str, config: dict, profile: str, key: str,
+    in_memory: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``run, combo, part, n, cv_rmse, rmse, extra`` of every run.
+
+    ``members`` has (run, part, key): parts named ``fold<i>`` are training folds, others are tests. The chosen candidate is the
+    first of lowest root of the mean of its folds' squared errors. ``extra`` holds its parameters and the columns' importances:
+    shares of mean gain for the depth-wise profile, numbers of splits for the leaf-wise one. The binned rows go to the workers if
+    they and the memberships take at most ``in_memory`` bytes; otherwise every level of all trees is a scan.
+    """
+    spark = rows.sparkSession
+    base = list(dict.fromkeys(c for combo in combos for c in combo))
+    choices = {seed: _seed_options(config, profile, seed) for seed in set(seeds.values())}
+    edges = borders(rows, base, max(p.bins for _, paths, _ in choices.values() for p, _ in paths))
+    table = binned(rows, base, label, edges, key)
+    members = stage(members.join(table.select(F.col("key").alias(key), "row"), key).select("run", "part", "row"), "members")
+    sizes = members.groupBy("run", "part").agg(F.count(F.lit(1)).alias("n")).collect()
+    parts: dict[str, dict[str, int]] = {}
+    for run, part, n in sizes:
+        parts.setdefault(run, {})[part] = n
+    chosen = [np.array([base.index(c) for c in combo]) for combo in combos]
+    plan = _Search(chosen, [Layout([len(edges[i]) for i in c]) for c in chosen], config["cv"])
+
+    small = table.count() * (4 * len(base) + 8) + 8 * sum(n for *_, n in sizes) <= in_memory
+    if small:
+        got = table.orderBy("row").select("codes", "label").toPandas()
+        codes = np.vstack(got["codes"].to_numpy()).astype(np.int32) if len(got) else np.empty((0, len(base)), np.int32)
+        places: dict[str, dict[str, np.ndarray]] = {}
+        for run, part, at in members.groupBy("run", "part").agg(F.array_sort(F.collect_list("row"))).collect():
+            places.setdefault(run, {})[part] = np.array(at, np.int64)
+        held = (codes, got["label"].to_numpy(), places)
+
+    def fit(specs: list[tuple]) -> list[tuple[dict, Gains]]:
+        if small:
+            return _fit_all(spark, held, plan, specs)
+        return _scan_all(table, members, sorted(parts), parts, plan, specs)
+
+    runs = [r for r in sorted(parts) if any(p.startswith("fold") for p in parts[r])]
+    trials = [
+        (run, combo, fold, policy, rounds, seeds[run])
+        for run in runs for combo in range(len(combos)) for policy, rounds in choices[seeds[run]][1]
+        for fold in range(plan.folds) if f"fold{fold}" in parts[run]
+    ]
+    found: dict[tuple, dict[int, dict[int, float]]] = {}
+    for (run, combo, fold, policy, _, _), (errors, _) in zip(trials, fit(trials)):
+        found.setdefault((run, combo, policy), {})[fold] = errors.get(f"fold{fold}", {})
+    finals, picked = [], []
+    for run in runs:
+        options, paths, placed = choices[seeds[run]]
+        for combo in range(len(combos)):
+            scores = []
+            for path, rounds in placed:
+                by_fold = found.get((run, combo, paths[path][0]), {})
+                scores.append([by_fold[f][rounds] for f in by_fold if rounds in by_fold[f]])
+            at, error = search.best_of(scores)
+            finals.append((run, combo, -1, paths[placed[at][0]][0], [placed[at][1]], seeds[run]))
+            picked.append((options[at], error))
+    results = []
+    for (run, combo, _, _, rounds, _), (params, error), (errors, gains) in zip(finals, picked, fit(finals)):
+        n = sum(k for p, k in parts[run].items() if p.startswith("fold"))
+        numbers = {k: float(v) for k, v in params.items()}
+        numbers |= {f"{c}_importance": float(v) for c, v in zip(combos[combo], gains.importances(profile == "lgbm"))}
+        results += [(run, combo, part, n, error, math.sqrt(by[rounds[0]]), numbers) for part, by in errors.items() if rounds[0] in by]
+    schema = "run string, combo int, part string, n long, cv_rmse double, rmse double, extra map<string,double>"
+    return stage(spark.createDataFrame(results, schema), "results")

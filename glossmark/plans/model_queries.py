@@ -205,11 +205,11 @@ SELECT round(avg(cv_rmse), 6) AS cv_rmse, round(avg(e), 6) AS test_rmse,
   round(stddev_pop(cv_rmse), 6) AS cv_rmse_se, round(stddev_pop(e), 6) AS test_rmse_se FROM err JOIN cv USING (seed)"""
 
 PROXY_LOLO_SQL = f"""{_x(LABELLED_SQL)}, {SEED_ROWS_SQL}, {LANGS_SQL},
-fo AS (
-  SELECT seed, x, y, source_lang, target_lang, {_fold("r", "n")} AS fold FROM (
-    SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || k)) - 1 AS r, count(*) OVER (PARTITION BY seed) AS n
-    FROM ys) q),
-tr AS (SELECT seed || '|' || lang AS run, fold, x, y FROM fo, langs WHERE source_lang <> lang AND target_lang <> lang),
+left_out AS (SELECT ys.*, lang FROM ys, langs WHERE source_lang <> lang AND target_lang <> lang),
+tr AS (
+  SELECT seed || '|' || lang AS run, x, y, {_fold("r", "n")} AS fold FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed, lang ORDER BY md5(seed || '|' || k)) - 1 AS r, count(*) OVER (PARTITION BY seed, lang) AS n
+    FROM left_out) q),
 te AS (
   SELECT seed || '|' || lang AS run, 'source' AS part, x, y FROM ys JOIN langs ON source_lang = lang
   UNION ALL SELECT seed || '|' || lang, 'target', x, y FROM ys JOIN langs ON target_lang = lang),

@@ -130,8 +130,9 @@ SELECT {REPEATS} FROM err JOIN cv USING (seed)"""
 
 TASK_LOLO_SQL = f"""{TASK_SQL}, {SEED_ROWS_SQL},
 langs AS (SELECT DISTINCT source_lang AS lang FROM y),
-dealt AS ({_ranked("ys", "seed")}),
-tr AS (SELECT seed || '|' || lang AS run, fold, x, y FROM dealt, langs WHERE source_lang <> lang AND target_lang <> lang),
+left_out AS (SELECT ys.*, lang FROM ys, langs WHERE source_lang <> lang AND target_lang <> lang),
+dealt AS ({_ranked("left_out", "seed, lang")}),
+tr AS (SELECT seed || '|' || lang AS run, fold, x, y FROM dealt),
 te AS (
   SELECT seed || '|' || lang AS run, 'source' AS part, x, y FROM ys JOIN langs ON source_lang = lang
   UNION ALL SELECT seed || '|' || lang, 'target', x, y FROM ys JOIN langs ON target_lang = lang),
@@ -147,7 +148,8 @@ SELECT lang, round(c, 6) AS cv_rmse, round(cs, 6) AS cv_rmse_se, round(s, 6) AS
 # ---- the other models, random protocol, five seeds, ten folds
 
 PARABOLA = {"cv": 10, "pipeline_type": "grid", "param_space": {"poly_degree": [2], "alpha": [0.0], "l1_ratio": [0.0]}}
-_STUMP = {"n_estimators": 1, "subsample": 1.0, "colsample_bytree": 1.0}
+# A whole step and no penalty, so that a leaf is the mean of its rows.
+_STUMP = {"n_estimators": 1, "subsample": 1.0, "colsample_bytree": 1.0, "eta": 1.0, "learning_rate": 1.0, "reg_lambda": 0.0}
 DEPTHWISE_STUMP = {"hpm_search_mode": "grid_search", "cv": 10, "param_space": {"max_depth": [1]}, "fixed_param": {**_STUMP, "min_child_weight": 1}}
 LEAFWISE_STUMP = {"hpm_search_mode": "grid_search", "cv": 10, "param_space": {"num_leaves": [2]}, "fixed_param": {**_STUMP, "min_child_samples": 1, "max_bin": 32}}
 
@@ -219,6 +221,104 @@ fit AS (
   FROM tr, parts WHERE tr.fold <> part GROUP BY tr.seed, part),
 {_scored("CASE WHEN x = 1 THEN m1 ELSE m0 END")}"""
 
+# Several candidates, two settings of the rounds on every path. With one 0/1 column and step e, each round takes the share
+# e n / (n + l2) off a leaf's sum above l1.
+_SEARCH = {"n_estimators": [1, 3, 8], "step": [0.1, 0.5]}
+DEPTHWISE_SEARCH = {
+    "hpm_search_mode": "grid_search", "cv": 10, "param_space": {"n_estimators": _SEARCH["n_estimators"], "eta": _SEARCH["step"]},
+    "fixed_param": {"max_depth": 3, "min_child_weight": 2, "reg_alpha": 0.2, "reg_lambda": 0.7},
+}
+LEAFWISE_SEARCH = {
+    "hpm_search_mode": "grid_search", "cv": 10, "param_space": {"n_estimators": _SEARCH["n_estimators"], "learning_rate": _SEARCH["step"]},
+    "fixed_param": {"num_leaves": 4, "min_child_samples": 3, "reg_alpha": 0.2, "reg_lambda": 0.7},
+}
+
+
+def _searched(spark: SparkSession, sf_dir: str, regressor: str, config: dict, step: str) -> DataFrame:
+    setup = Setup(dataset="mt560", mode="random", regressor=regressor, model="m2m100", config=config, combos=[PLAIN])
+    found = run_experiment(_flags(spark, sf_dir), setup)
+    chosen = [F.col("extra")[k].alias(n) for k, n in (("n_estimators", "rounds"), (step, "step"), ("eng_target_importance", "importance"))]
+    return _without_toggles(found.select("*", *chosen).drop("extra"))
+
+
+def depthwise_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice among six candidates, the chosen settings' means over the seeds, and shares of gain."""
+    return _searched(spark, sf_dir, "xgb", DEPTHWISE_SEARCH, "eta")
+
+
+def leafwise_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same leaf-wise; importances are numbers of splits."""
+    return _searched(spark, sf_dir, "lgbm", LEAFWISE_SEARCH, "learning_rate")
+
+
+def _search_sql(importance: str) -> str:
+    options = ", ".join(f"({i}, {k}, {e})" for i, (k, e) in enumerate((k, e) for k in _SEARCH["n_estimators"] for e in _SEARCH["step"]))
+    return f"""{_split_sql(FLAG_SQL)},
+options(number, rounds, step) AS (VALUES {options}),
+learn AS (SELECT tr.seed, part, x, y FROM tr, parts WHERE tr.fold <> part),
+mid AS (SELECT seed, part, avg(y) AS base FROM learn GROUP BY seed, part),
+leaf AS (SELECT seed, part, x, count(*)::DOUBLE AS n, sum(y - base) AS s, any_value(base) AS base FROM learn JOIN mid USING (seed, part) GROUP BY seed, part, x),
+fit AS (
+  SELECT seed, part, x, number, rounds, step,
+    base + sign(s) / n * greatest(abs(s) - 0.2, 0) * (1 - pow(1 - step * n / (n + 0.7), rounds)) AS guess FROM leaf, options),
+fold_mse AS (
+  SELECT f.seed, f.number, f.part, avg(pow(y - guess, 2)) AS mse FROM fit f JOIN tr ON tr.seed = f.seed AND tr.fold = f.part AND tr.x = f.x GROUP BY ALL),
+scores AS (SELECT seed, number, sqrt(avg(mse)) AS cv_rmse FROM fold_mse GROUP BY seed, number),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY cv_rmse, number) AS r FROM scores) q WHERE r = 1),
+cv AS (SELECT seed, cv_rmse, rounds, step FROM best JOIN options USING (number)),
+err AS (
+  SELECT f.seed, sqrt(avg(pow(y - guess, 2))) AS e FROM fit f JOIN best b ON b.seed = f.seed AND b.number = f.number
+  JOIN te ON te.seed = f.seed AND te.x = f.x WHERE f.part = -1 GROUP BY f.seed)
+SELECT {REPEATS}, round(avg(rounds), 6) AS rounds, round(avg(step), 6) AS step, round({importance}, 6) AS importance
+FROM err JOIN cv USING (seed)"""
+
+
+DEPTHWISE_SEARCH_SQL = _search_sql("avg(1.0::DOUBLE)")
+LEAFWISE_SEARCH_SQL = _search_sql("avg(rounds)")
+
+# Two proxy scores: the second degree has their product.
+TWO = ft.Toggles(
+    dataset_features=False, lang_features=False, with_trfm=True, with_small100_ft=True, with_small100_noft=False, with_model_noft=False,
+)
+SURFACE = {"cv": 10, "pipeline_type": "grid", "param_space": {"poly_degree": [1, 2], "alpha": [0.0], "l1_ratio": [0.0]}}
+
+
+def polynomial_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plane or full second degree on two proxy scores, chosen by cross-validation; the chosen degree's mean."""
+    found = run(spark, sf_dir, "random", "poly", SURFACE, [TWO])
+    return _without_toggles(found.withColumn("degree", F.col("extra")["degree"]).drop("extra"))
+
+
+def _surface_sql() -> str:
+    """Least squares by taking each term out of all later ones and out of the label, on all rows; what is left is the error."""
+    head = _split_sql(
+        _x(LABELLED_SQL).replace("trfm_spBLEU_mean AS x,", "trfm_spBLEU_mean AS x, small100_ft_spBLEU_mean AS x2,")
+    )
+    terms = ["1.0", "a", "b", "a * a", "a * b", "b * b"]
+    steps = []
+    for j in range(len(terms)):
+        later = [f"t{k}" for k in range(j + 1, len(terms))] + ["y"]
+        shares = ", ".join(f"sum({c} * t{j}) FILTER (WHERE learn) / sum(t{j} * t{j}) FILTER (WHERE learn) AS k_{c}" for c in later)
+        kept = ", ".join(f"t{k}" for k in range(j + 1))
+        less = ", ".join(f"{c} - k_{c} * t{j} AS {c}" for c in later)
+        steps.append(f"c{j} AS MATERIALIZED (SELECT seed, part, {shares} FROM r{j} GROUP BY seed, part)")
+        steps.append(f"r{j + 1} AS MATERIALIZED (SELECT seed, part, learn, {kept}, {less} FROM r{j} JOIN c{j} USING (seed, part))")
+    return f"""{head},
+mid AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(x2) AS my, stddev_pop(x2) AS sy FROM y),
+whole AS (
+  SELECT tr.seed, part, (x - mx) / sx AS a, (x2 - my) / sy AS b, y, fold <> part AS learn FROM tr, parts, mid
+  UNION ALL SELECT split.seed, -1, (x - mx) / sx, (x2 - my) / sy, y, false FROM split, mid WHERE is_test),
+r0 AS MATERIALIZED (SELECT seed, part, learn, {", ".join(f"{t} AS t{i}" for i, t in enumerate(terms))}, y FROM whole),
+{", ".join(steps)},
+wrong AS (
+  SELECT seed, part, 1 AS degree, avg(y * y) AS e FROM r3 WHERE NOT learn GROUP BY ALL
+  UNION ALL SELECT seed, part, 2, avg(y * y) FROM r6 WHERE NOT learn GROUP BY ALL),
+scores AS (SELECT seed, degree, sqrt(avg(e)) AS cv_rmse FROM wrong WHERE part >= 0 GROUP BY seed, degree),
+cv AS (SELECT seed, arg_min(degree, cv_rmse) AS degree, min(cv_rmse) AS cv_rmse FROM scores GROUP BY seed),
+err AS (SELECT wrong.seed, cv_rmse, cv.degree, sqrt(e) AS e FROM wrong JOIN cv ON cv.seed = wrong.seed AND cv.degree = wrong.degree WHERE part = -1)
+SELECT {REPEATS}, round(avg(degree), 6) AS degree FROM err"""
+
+
 BIASES = {
     "cv": 10, "fixed_param": {"factors": False},
     "param_space": {"beta_z": [0.01], "beta_s": [0.02], "beta_t": [0.05]},
@@ -271,6 +371,9 @@ QUERIES = {
     "proxy_only_task_random": (proxy_only_task_random, TASK_RANDOM_SQL),
     "proxy_only_task_lolo": (proxy_only_task_lolo, TASK_LOLO_SQL),
     "polynomial_parabola": (polynomial_parabola, PARABOLA_SQL),
+    "polynomial_surface": (polynomial_surface, _surface_sql()),
+    "depthwise_search": (depthwise_search, DEPTHWISE_SEARCH_SQL),
+    "leafwise_search": (leafwise_search, LEAFWISE_SEARCH_SQL),
     "depthwise_stump": (depthwise_stump, STUMP_SQL),
     "leafwise_stump": (leafwise_stump, STUMP_SQL),
 }

@@ -16,8 +16,8 @@ from glossmark.operators import splits as sp
 from glossmark.operators import summary as sm
 from glossmark.operators import transforms as tf
 from glossmark.operators.factor import fit_matrix
-from glossmark.operators.polynomial import fit_polynomial
-from glossmark.operators.trees import fit_trees
+from glossmark.operators import polynomial, trees
+from glossmark.operators.ranking import seeded_rank
 from glossmark.session import stage
 
 # Fixed names a run may use.
@@ -191,22 +191,8 @@ def _linear_plan(rows: DataFrame, setup: Setup, other: DataFrame | None) -> tupl
     seeded = sp.repeat_seeds(slim, seeds)
     roles = _member(sp.role_rows(slim), _name("role", "lang"))
     if setup.mode == "lolo":
-        # Folds are dealt once per seed over all rows; a run leaves out one language's rows.
-        folds = stage(sp.kfold(seeded, ["seed"], F.col(KEY), F.col("seed"), k), "folds")
-        whole = _member(folds, _name("seed", _fold_name(), F.lit("*")))
-        without = _member(sp.touching(folds), _name("seed", _fold_name(), "lang"))
-        langs = sp.languages(rows, setup.dataset == "mt560")
-        if setup.lang != "all":
-            langs = langs.filter(F.col("lang") == setup.lang)
-        runs = langs.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-        parts = runs.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
-            _name("seed", "lang").alias("run"), _fold_name().alias("part"), "seed", "fold", "lang"
-        )
-        plus = parts.select("run", "part", _name("seed", _fold_name(), F.lit("*")).alias("cell"), F.lit(1).alias("sign"))
-        minus = parts.select("run", "part", _name("seed", _fold_name(), "lang").alias("cell"), F.lit(-1).alias("sign"))
-        role = runs.withColumn("part", F.explode(F.array(F.lit("source"), F.lit("target"))))
-        tests = role.select(_name("seed", "lang").alias("run"), "part", _name("part", "lang").alias("cell"), F.lit(1).alias("sign"))
-        return whole.unionByName(without).unionByName(roles), plus.unionByName(minus).unionByName(tests)
+        cut = _lolo_cells(seeded, setup, sp.languages(rows, setup.dataset == "mt560"))
+        return cut[0].unionByName(roles), cut[1]
     members, uses = [roles], []
     for seen, langs in _test_languages(rows, setup):
         train = sp.without_languages(seeded, langs)
@@ -220,34 +206,114 @@ def _linear_plan(rows: DataFrame, setup: Setup, other: DataFrame | None) -> tupl
     return sm.append(members), sm.append(uses)
 
 
-def _linear_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
-    """``(run, combo, part, n, cv_rmse, rmse)`` of an elastic net on power features."""
-    degree = setup.config.get("degree", 1)
+def _lolo_cells(seeded: DataFrame, setup: Setup, langs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells and uses of the leave-one-language-out runs, whose folds are dealt over each run's own training rows.
+
+    The seeded order of a run's rows is the order of all rows without those of its language. So a run's folds are
+    stretches of the one order: the training row of rank ``r`` has the place ``r`` plus the number of the language's rows
+    before it. All runs' cuts together cut the order into stretches; a run's fold is the sum of its stretches less the
+    same stretches of its language.
+    """
+    k = setup.config["cv"]
+    if setup.lang != "all":
+        langs = langs.filter(F.col("lang") == setup.lang)
+    ordered = stage(seeded_rank(seeded, ["seed"], F.col(KEY), F.col("seed"), "place"), "order")
+    total = ordered.groupBy("seed").agg(F.count(F.lit(1)).alias("total"))
+    mine = sp.touching(ordered).join(F.broadcast(langs), "lang")
+    ranked = seeded_rank(mine, ["seed", "lang"], F.col(KEY), F.col("seed"), "own")
+    counts = mine.groupBy("seed", "lang").agg(F.count(F.lit(1)).alias("without"))
+    runs = total.join(langs).join(counts, ["seed", "lang"], "left").withColumn("n", F.col("total") - F.coalesce("without", F.lit(0)))
+    # rows in the folds before fold f; the training row of that rank ends fold f - 1
+    ends = runs.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn(
+        "r", F.expr(f"fold * (n div {k}) + least(fold, n % {k})")
+    )
+    before = ranked.select("seed", "lang", (F.col("place") - F.col("own")).alias("others"))
+    # the language's rows that come before its training row of rank r
+    passed = ends.join(before, ["seed", "lang"], "left").groupBy("seed", "lang", "fold", "n", "total", "r").agg(
+        F.coalesce(F.sum(F.when(F.col("others") < F.col("r"), 1)), F.lit(0)).alias("passed")
+    )
+    place = F.when(F.col("fold") == 0, 0).when(F.col("fold") == k, F.col("total")).otherwise(F.col("r") + F.col("passed"))
+    ends = stage(passed.select("seed", "lang", "fold", F.when(F.col("r") == 0, 0).otherwise(place).alias("place")), "cuts")
+    cuts = ends.groupBy("seed").agg(F.array_sort(F.collect_set("place")).alias("cuts"))  # languages times folds at most
+    spans = stage(cuts.select("seed", F.posexplode("cuts").alias("span", "place")), "spans")
+    # stretch s holds the places after cut s - 1 up to cut s
+    number = F.size(F.filter("cuts", lambda c: c < F.col("place")))
+    at = ordered.join(F.broadcast(cuts), "seed").withColumn("span", number).drop("cuts", "place")
+    whole = _member(at, _name("seed", "span", F.lit("*")))
+    without = _member(sp.touching(at).join(F.broadcast(langs), "lang"), _name("seed", "span", "lang"))
+    low = ends.join(spans, ["seed", "place"]).select("seed", "lang", "fold", F.col("span").alias("low"))
+    high = ends.join(spans, ["seed", "place"]).select("seed", "lang", (F.col("fold") - 1).alias("fold"), F.col("span").alias("high"))
+    used = low.join(high, ["seed", "lang", "fold"]).where("high > low").withColumn("span", F.explode(F.expr("sequence(low + 1, high)")))
+    plus = used.select(_name("seed", "lang").alias("run"), _fold_name().alias("part"), _name("seed", "span", F.lit("*")).alias("cell"), F.lit(1).alias("sign"))
+    minus = used.select(_name("seed", "lang").alias("run"), _fold_name().alias("part"), _name("seed", "span", "lang").alias("cell"), F.lit(-1).alias("sign"))
+    role = runs.withColumn("part", F.explode(F.array(F.lit("source"), F.lit("target"))))
+    tests = role.select(_name("seed", "lang").alias("run"), "part", _name("part", "lang").alias("cell"), F.lit(1).alias("sign"))
+    return whole.unionByName(without), plus.unionByName(minus).unionByName(tests)
+
+
+def _memberships(rows: DataFrame, setup: Setup, other: DataFrame | None) -> DataFrame:
+    """``(run, part, key)``: the training folds and test parts of every run, row by row."""
+    if setup.mode != "lolo":
+        members, uses = _linear_plan(rows, setup, other)
+        return members.join(uses.select("run", "part", "cell"), "cell").select("run", "part", KEY)
+    langs = sp.languages(rows, setup.dataset == "mt560")
+    if setup.lang != "all":
+        langs = langs.filter(F.col("lang") == setup.lang)
+    slim = sp.repeat_seeds(rows.select(KEY, "source_lang", "target_lang"), setup.seeds)
+    pairs = slim.join(F.broadcast(langs))
+    train = pairs.where("source_lang <> lang AND target_lang <> lang")
+    folds = sp.kfold(train, ["seed", "lang"], F.col(KEY), F.col("seed"), setup.config["cv"])
+    parts = folds.select(_name("seed", "lang").alias("run"), _fold_name().alias("part"), KEY)
+    for role in ("source", "target"):
+        tests = pairs.where(F.col(f"{role}_lang") == F.col("lang"))
+        parts = parts.unionByName(tests.select(_name("seed", "lang").alias("run"), F.lit(role).alias("part"), KEY))
+    return parts
+
+
+def _wide(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> tuple[DataFrame, list[list[str]], list[str]]:
+    """All rows with key, predictors and label; the predictors of each combination; and all of them."""
     combos = [setup.columns(rows, c, dropped) for c in setup.combos]
     base = list(dict.fromkeys(c for combo in combos for c in combo))
-    members, uses = _linear_plan(rows, setup, other)
     wide = [KEY, *base, setup.label]
     table = rows.select(*wide)
-    if other is not None:
-        table = table.unionByName(other.select(*wide))
+    return table if other is None else table.unionByName(other.select(*wide)), combos, base
+
+
+def _celled(table: DataFrame, members: DataFrame) -> DataFrame:
+    return table.join(members.groupBy(KEY).agg(F.collect_list("cell").alias("cells")), KEY)
+
+
+def _linear_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
+    """``(run, combo, part, n, cv_rmse, rmse)`` of an elastic net on power features."""
+    degree = setup.config.get("degree", 1)
+    table, combos, base = _wide(rows, setup, other, dropped)
+    members, uses = _linear_plan(rows, setup, other)
     expanded = tf.power_expand(table, base, degree)
-    lists = members.groupBy(KEY).agg(F.collect_list("cell").alias("cells"))
     powers = [tf.power_names(combo, degree) for combo in combos]
-    return linear.fit_runs(
-        expanded.join(lists, KEY), tf.power_names(base, degree), setup.label, uses, powers
-    )
+    return linear.fit_runs(_celled(expanded, members), tf.power_names(base, degree), setup.label, uses, powers)
+
+
+def _polynomial_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
+    """The same with ``extra``, for elastic nets on the full polynomial expansion."""
+    table, combos, base = _wide(rows, setup, other, dropped)
+    members, uses = _linear_plan(rows, setup, other)
+    return polynomial.fit_runs(_celled(table, members), base, setup.label, uses, combos, setup.config["param_space"])
+
+
+def _tree_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
+    """The same for boosted trees."""
+    table, combos, _ = _wide(rows, setup, other, dropped)
+    members = stage(_memberships(rows, setup, other), "members")
+    runs = [r["run"] for r in members.select("run").distinct().collect()]
+    seeds = {run: int(run.split("|")[0]) for run in runs}
+    return trees.fit_protocol(table, members, seeds, combos, setup.label, setup.config, setup.regressor, KEY)
 
 
 # --- other models: one fit per run ----------------------------------------------------------
 
 
 def _fit(train: DataFrame, columns: list[str], setup: Setup, seed: int):
-    key = F.col(KEY)
-    if setup.regressor == "poly":
-        return fit_polynomial(train, columns, setup.label, setup.config, seed, key)
-    if setup.regressor == "mf":
-        return fit_matrix(train, columns, setup.label, setup.config, seed, key)
-    return fit_trees(train, columns, setup.label, setup.config, setup.regressor, seed, key)
+    return fit_matrix(train, columns, setup.label, setup.config, seed, F.col(KEY))
 
 
 def _protocol_runs(rows: DataFrame, setup: Setup, other: DataFrame | None):
@@ -322,7 +388,11 @@ def run_results(table: DataFrame, setup: Setup, other: DataFrame | None = None)
         other = prepared.withColumn(KEY, F.concat(F.lit("other|"), KEY))
         for combo in setup.combos:
             sp.cross_tables(rows, other, setup.columns(rows, combo, dropped))
-    results = (_linear_results if setup.linear else _fitted_results)(rows, setup, other, dropped)
+    if setup.regressor == "poly":
+        fit = _linear_results if setup.linear else _polynomial_results
+    else:
+        fit = _fitted_results if setup.regressor == "mf" else _tree_results
+    results = fit(rows, setup, other, dropped)
     parts = F.split("run", r"\|")
     results = results.withColumn("seed", parts[0].cast("int"))
     if setup.mode == "lolo":

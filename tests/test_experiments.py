@@ -142,7 +142,7 @@ def test_linear_protocol_equals_direct_fits(spark, table):
     setup = Setup(dataset="mt560", mode="lolo", regressor="poly", model="m2m100", config={"cv": 4, "degree": 2}, combos=[COMBO], seeds=[42])
     got = {(r.lang, r.part): (r.rmse, r.cv_rmse) for r in run_results(table, setup).collect()}
     keyed = table.withColumn("key", F.concat_ws("|", *FT, F.col("dataset_size").cast("string")))
-    pdf = splits.kfold(keyed, [], F.col("key"), 42, 4).toPandas()
+    pdf = keyed.toPandas()
     x = pdf[["dataset_size", "genetic", "test_size", "trfm_spBLEU_mean"]].to_numpy(float)
     x, y = np.hstack([x, x**2, pdf[["eng_target"]].to_numpy(float)]), pdf["m2m100_ft_spBLEU_mean"].to_numpy()
     for lang in ("aaa", "ccc"):
@@ -153,9 +153,12 @@ def test_linear_protocol_equals_direct_fits(spark, table):
         mean[-1], std[-1] = 0, 1
         z = (x - mean) / std
         w, b = coordinate_descent(z[train], y[train])
+        mine = keyed.filter((F.col("source_lang") != lang) & (F.col("target_lang") != lang))
+        dealt = {r.key: r.fold for r in splits.kfold(mine, [], F.col("key"), 42, 4).collect()}
+        fold = pdf["key"].map(dealt).to_numpy()
         folds = []
         for f in range(4):
-            held = train & (pdf["fold"] == f).to_numpy()
+            held = train & (fold == f)
             wf, bf = coordinate_descent(z[train & ~held], y[train & ~held])
             folds.append(np.mean((y[held] - z[held] @ wf - bf) ** 2))
         for part, rows in (("source", source), ("target", target)):
@@ -188,6 +191,52 @@ def test_mllib_elastic_net_matches_descent(spark):
     assert np.allclose(model.coefficients.toArray(), w, atol=2e-3 * np.abs(w).max())
 
 
+def test_polynomial_search_equals_direct_fits(table):
+    """Degree, penalty and its L1 share from moments against coordinate descent on the expanded rows."""
+    space = {"poly_degree": [1, 2], "alpha": [0.02, 0.5], "l1_ratio": [0.3, 0.9]}
+    setup = Setup("mt560", "random", "poly", "m2m100", {"cv": 3, "pipeline_type": "grid", "param_space": space}, combos=[COMBO], seeds=[42])
+    (got,) = run_results(table, setup).collect()
+    rows, _ = prepare(table, setup)
+    split = splits.random_split(rows, [], ["_stratum"], F.col("_key"), 42)
+    train = splits.kfold(split.filter("not is_test"), [], F.col("_key"), 42, 3).toPandas()
+    test = split.filter("is_test").toPandas()
+    columns = setup.columns(rows, COMBO)
+    mean, std = train[columns].astype(float).mean(), train[columns].astype(float).std(ddof=0).replace(0, 1)
+    mean["eng_target"], std["eng_target"] = 0, 1
+
+    def expand(frame, degree):
+        z = ((frame[columns].astype(float) - mean) / std).to_numpy()
+        return np.stack([np.prod(z[:, list(t)], axis=1) for t in polynomial.monomials(len(columns), degree) if t], 1)
+
+    def fit(frame, o):
+        return coordinate_descent(expand(frame, o[0]), frame["m2m100_ft_spBLEU_mean"].to_numpy(), o[1], o[2])
+
+    def error(frame, o, w, b):
+        return np.mean((frame["m2m100_ft_spBLEU_mean"].to_numpy() - expand(frame, o[0]) @ w - b) ** 2)
+
+    scores = {}
+    for o in [(d, a, l) for d in (1, 2) for a in (0.02, 0.5) for l in (0.3, 0.9)]:
+        scores[o] = np.sqrt(np.mean([error(train[train["fold"] == f], o, *fit(train[train["fold"] != f], o)) for f in range(3)]))
+    best = min(scores, key=scores.get)
+    assert (got.extra["degree"], got.extra["alpha"], got.extra["l1_ratio"]) == best
+    assert got.cv_rmse == pytest.approx(scores[best], rel=1e-4)
+    assert got.rmse == pytest.approx(np.sqrt(error(test, best, *fit(train, best))), rel=1e-4)
+
+
+def test_folds_of_leave_one_out_are_those_of_the_training_rows(table):
+    """The stretches of the one order give every run the folds that dealing its own rows gives."""
+    from glossmark.plans.regression import _linear_plan, _memberships
+
+    setup = Setup("mt560", "lolo", "poly", "m2m100", {"cv": 7, "degree": 1}, combos=[COMBO], seeds=[42, 43])
+    rows, _ = prepare(table, setup)
+    members, uses = _linear_plan(rows, setup, None)
+    counted = members.join(uses, "cell").groupBy("run", "part", "_key").agg(F.sum("sign").alias("times"))
+    assert counted.where("times NOT IN (0, 1)").count() == 0
+    got = {tuple(r) for r in counted.where("times = 1").select("run", "part", "_key").collect()}
+    want = {tuple(r) for r in _memberships(rows, setup, None).collect()}
+    assert got == want and len({r for r, _, _ in got}) == 2 * len({r for r, _, _ in got if r.startswith("42")})
+
+
 @pytest.mark.parametrize("mode", ["random", "unseen", "incremental"])
 def test_protocols_run_and_beat_the_mean(table, mode):
     setup = Setup(
@@ -244,8 +293,12 @@ def test_missing_predictors_raise(table):
 
 def test_parameters_are_passed_or_refused():
     with pytest.raises(ValueError, match="learning_rate"):
-        trees.leafwise({"learning_rate": 1.5}, 1)
-    assert trees.leafwise({"max_bin": 200_000}, 1).getMaxBins() == 200_000
+        trees.leafwise({"learning_rate": 1.5})
+    assert trees.leafwise({"max_bin": 200_000}).bins == 200_000
+    assert trees.depthwise({"reg_alpha": 0.2, "reg_lambda": 0.1, "gamma": 3}) == trees.Policy(
+        rounds=100, step=0.3, depth=6, leaves=0, l1=0.2, l2=0.1, min_gain=3.0, min_hessian=1.0, min_rows=1, rows=1.0, columns=1.0, bins=256
+    )
+    assert trees.leafwise({"subsample": 0.5}).rows == 1.0 and trees.leafwise({"subsample": 0.5, "subsample_freq": 1}).rows == 0.5
     chosen = ["source_lang", "target_lang", "dataset_size", "a", "b"]
     assert factor.side_columns(chosen) == ["a", "b"] and factor.side_columns(chosen, 0) == ["dataset_size", "a", "b"]
 
