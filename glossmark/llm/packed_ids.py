@@ -15,35 +15,36 @@ width is that of the value at ``PERCENTILE``; larger values keep their low bits
 remaining bits, with their place, in the exception list. The index of block starts lets a reader unpack
 only blocks that it needs.
 
-Rows are encoded where they are read, staged, dealt by range of (key, hash of the text) and written as a
-stream: a writer holds one slice of blocks. A file is written under another name and moved, so a repeated
-task puts an equal file in the place of the old one.
+Rows are dealt by range of (key, hash of the text) and encoded where they are written, so nothing is staged in
+between. A file is written as a stream: a writer holds one slice of texts or blocks. It is written under another name
+and moved, so a repeated task puts an equal file in the place of the old one.
 """
 
 from __future__ import annotations
 
-import functools
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as afs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import release, row_digest, tidy
+from glossmark.llm.common import release
+from glossmark.llm.word_bpe import WordBpe
 from glossmark.session import join_bounded, stage
 
 BLOCK = 256
 PERCENTILE = 0.9
-#: Ids of a file, about.
-FILE_IDS = 1 << 23
+#: Bytes of text behind one file, about.
+FILE_BYTES = 16 << 20
 #: Blocks packed or unpacked at once.
-SLICE = 1024
-MEMO = 200_000
+SLICE = 2048
+#: Bytes of text encoded at once, about.
+TEXTS = 12 << 20
 MAGIC = b"PFORIDS1"
 _HEAD = np.dtype([("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 _FOOT = struct.Struct("<QQQQ8s")
@@ -52,6 +53,11 @@ _FOOT = struct.Struct("<QQQQ8s")
 # ---- blocks
 
 
+def _whole_bytes(width: int) -> np.dtype:
+    """The type whose highest bit comes first, wide enough for ``width`` bits."""
+    return np.dtype(">u2" if width <= 16 else ">u4")
+
+
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     """Packed blocks of ids (a multiple of ``BLOCK`` numbers below 2^32)."""
     rows = ids.astype(np.int64).reshape(-1, BLOCK)
@@ -69,8 +75,11 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     for w in np.unique(width).tolist():
         if w:
             mine = np.flatnonzero(width == w)
-            bits = (rows[mine][:, :, None] >> np.arange(w) & 1).astype(np.uint8)
-            for i, row in zip(mine.tolist(), np.packbits(bits.reshape(len(mine), -1), axis=1)):
+            kind = _whole_bytes(w)
+            low = (rows[mine] & ((1 << w) - 1)).astype(kind)
+            bits = np.unpackbits(low.view(np.uint8).reshape(len(mine), BLOCK, kind.itemsize), axis=2)[:, :, -w:]
+            flat = np.packbits(bits.reshape(len(mine), -1), axis=1)
+            for i, row in zip(mine.tolist(), flat):
                 packed[i] = row.tobytes()
     ends = np.cumsum(count)
     places, values = place[1].astype(np.uint8), high[place].astype("<u4")
@@ -90,11 +99,10 @@ def unpack(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if w:
             mine = np.flatnonzero(width == w)
             body = raw[starts[mine, None] + _HEAD.itemsize + np.arange(BLOCK * w // 8)]
-            bits = np.unpackbits(body, axis=1).reshape(len(mine), BLOCK, w)
-            whole = np.zeros((len(mine), BLOCK), np.int64)
-            for k in range(w):
-                whole |= bits[:, :, k].astype(np.int64) << k
-            out[mine] = whole
+            kind = _whole_bytes(w)
+            bits = np.zeros((len(mine), BLOCK, 8 * kind.itemsize), np.uint8)
+            bits[:, :, -w:] = np.unpackbits(body, axis=1).reshape(len(mine), BLOCK, w)
+            out[mine] = np.packbits(bits, axis=2).view(kind)[:, :, 0]
     owner = np.repeat(np.arange(len(starts)), count)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     lists = (starts + _HEAD.itemsize + BLOCK * width // 8)[owner]
@@ -113,14 +121,20 @@ class Writer:
     def __init__(self, out, percentile: float) -> None:
         self.out, self.percentile = out, percentile
         self.out.write(MAGIC)
-        self.at, self.starts, self.ends, self.keys, self.total = len(MAGIC), [], [], [], 0
+        self.at, self.starts, self.total, self.rows = len(MAGIC), [], 0, 0
+        self.ends: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.null: list[np.ndarray] = []
         self.left: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, key: int | None, ids: np.ndarray) -> None:
+    def add(self, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows by their keys, numbers of ids, and all their ids."""
+        self.ends.append(self.total + np.cumsum(sizes))
+        self.keys.append(np.asarray(keys.fill_null(0)))
+        self.null.append(np.asarray(keys.is_null()))
         self.total += len(ids)
-        self.ends.append(self.total)
-        self.keys.append(key)
+        self.rows += len(sizes)
         self.left.append(ids)
         self.held += len(ids)
         if self.held >= SLICE * BLOCK:
@@ -145,10 +159,9 @@ class Writer:
                 self.left = [tail, np.full(spare, last.min(), tail.dtype)]
             self._flush(self.held + spare)
         self.out.write(np.array(self.starts, "<u8").tobytes())
-        self.out.write(np.array(self.ends, "<u8").tobytes())
-        self.out.write(np.array([k or 0 for k in self.keys], "<i8").tobytes())
-        self.out.write(np.array([k is None for k in self.keys], "u1").tobytes())
-        self.out.write(_FOOT.pack(self.at, len(self.starts), len(self.ends), self.total, MAGIC))
+        for arrays, kind in ((self.ends, "<u8"), (self.keys, "<i8"), (self.null, "u1")):
+            self.out.write(np.concatenate(arrays).astype(kind).tobytes())
+        self.out.write(_FOOT.pack(self.at, len(self.starts), self.rows, self.total, MAGIC))
 
 
 def open_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,48 +178,20 @@ def open_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 # ---- encoding
 
 
-def _encoder(path: str, end: int | None, kind: str):
-    """Ids of each whole text as packed little-endian numbers.
-
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its stretches in turn.
-    """
-
-    @F.arrow_udf("binary")
-    @tidy
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, memo = Tokenizer.from_file(path), {}
-        stop = b"" if end is None else np.array([end], kind).tobytes()
-        for batch in batches:
-            out = []
-            for text in batch.cast(pa.binary()).to_pylist():
-                parts = (text or b"").split()  # at ASCII white space
-                missing = list({p for p in parts if p not in memo})
-                if len(memo) + len(missing) > MEMO:
-                    memo.clear()
-                    missing = list(set(parts))
-                for k in range(0, len(missing), 10_000):
-                    some = missing[k : k + 10_000]
-                    found = tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-                    memo.update((p, np.array(e.ids, kind).tobytes()) for p, e in zip(some, found))
-                out.append(b"".join(map(memo.__getitem__, parts)) + stop)
-            yield pa.array(out, pa.binary())
-
-    return encode.asNondeterministic()
-
-
-@functools.cache
-def _id_kind(path: str) -> str:
-    from tokenizers import Tokenizer
-
-    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about ``TEXTS`` bytes."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + TEXTS, "right")))
+        yield start, stop
+        start = stop
 
 
 def write_ids(
     df: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int | None = None,
-    file_ids: int = FILE_IDS, percentile: float = PERCENTILE,
+    file_bytes: int = FILE_BYTES, percentile: float = PERCENTILE,
 ) -> DataFrame:
     """Encode every text and write ``folder``; returns its manifest: ``part``, ``file``, ``n_rows``, ``n_ids``, ``n_bytes``, ``start``.
 
@@ -214,26 +199,25 @@ def write_ids(
     hash of their text, so that only identical rows are interchangeable. Null counts as empty text. ``end`` is
     appended to every row. ``folder`` must be new and within reach of all executors. An empty table gives an empty manifest.
     """
-    kind = _id_kind(tokenizer)
-    body = F.col(f"`{text}`")
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), body.alias("body"))
-    rows = rows.select("key", row_digest(rows).alias("tie"), _encoder(tokenizer, end, kind)(F.coalesce("body", F.lit(""))).alias("ids"))
-    rows = stage(rows, "encoded")
-    total = (rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // int(kind[-1])
     spark = df.sparkSession
-    parts = max(total // file_ids + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    total = df.agg(F.sum(F.octet_length(body) + 16)).first()[0] or 0
+    parts = max(total // file_bytes + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, writer, draft = TaskContext.get().partitionId(), None, ""
+        part, writer, draft, encoder = TaskContext.get().partitionId(), None, "", None
         fs, top = afs.FileSystem.from_uri(f"{folder}/ids")
         for batch in batches:
-            for k, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    draft = f"{top}/.draft-{part}-{uuid.uuid4().hex}"
-                    writer = Writer(fs.open_output_stream(draft), percentile)
-                writer.add(k, np.frombuffer(ids.as_buffer(), kind))
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                encoder = WordBpe(tokenizer)
+                draft = f"{top}/.draft-{part}-{uuid.uuid4().hex}"
+                writer = Writer(fs.open_output_stream(draft), percentile)
+            for a, b in _slices(batch.column(1)):
+                writer.add(batch.column(0)[a:b], *encoder.encode(batch.column(1)[a:b], end))
         if writer is None:
             return
         writer.close()
@@ -241,13 +225,16 @@ def write_ids(
         writer.out.close()
         name = f"part-{part:07d}.pfor"
         fs.move(draft, f"{top}/{name}")
-        columns = [[part], [name], [len(writer.ends)], [writer.total], [size]]
+        columns = [[part], [name], [writer.rows], [writer.total], [size]]
         release()
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "file", "n_rows", "n_ids", "n_bytes"])
 
     fs, top = afs.FileSystem.from_uri(f"{folder}/ids")
     fs.create_dir(top, recursive=True)
-    laid = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").select("key", "ids")
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), body.alias("body"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
+    # only identical rows are told apart by their place in the input
+    order = ["key", "tie", F.xxhash64(F.monotonically_increasing_id())]
+    laid = rows.repartitionByRange(parts, *order).sortWithinPartitions("key", "tie").select("key", "body")
     manifest = stage(laid.mapInArrow(write, "part long, file string, n_rows long, n_ids long, n_bytes long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).write.parquet(f"{folder}/manifest")

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmark.llm import alignment, packed_ids, resampling
+from glossmark.llm.word_bpe import WordBpe
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -186,10 +187,31 @@ def library_ids(texts, end=1):
     return [t.encode(x or "", add_special_tokens=False).ids + ([end] if end is not None else []) for x in texts]
 
 
+def test_word_encoder_equals_the_library_for_every_sign_it_takes():
+    """Signs in front of, between and behind others; and every text of the other tests."""
+    encoder = WordBpe(WORDS)
+    assert encoder.ranked is not None
+    signs = [chr(c) for c in range(0x260) if not chr(c).isspace() or c > 0x80]
+    texts = [f.format(c) for c in signs for f in ("a{0}b", "{0}", "{0}{0}1", "1{0}'s", "!{0}x", "Ab{0}", "{0}'LL")] + ["<|endoftext|>x", "a<|b", "café\u0301", "'Re'ven't"]
+    flat, starts, sizes = encoder.stretches(texts)
+    assert [flat[a : a + n].tolist() for a, n in zip(starts, sizes)] == library_ids(texts, None)
+    import pyarrow as pa
+
+    whole = [t or "" for t in [*ODD, *mixed(9, 50)]]
+    ids, sizes = encoder.encode(pa.array(whole), 1)
+    assert [r.tolist() for r in np.split(ids, np.cumsum(sizes)[:-1])] == library_ids(whole)
+
+
+def test_merges_must_reach_every_token():
+    assert WordBpe.plain([("a", "b"), ("ab", "c")], "</w>")
+    assert WordBpe.plain([("a", "b</w>"), ("c", "ab</w>")], "</w>")
+    assert not WordBpe.plain([("a", "b"), ("b", "c"), ("a", "bc")], "</w>")  # abc merges to ab, c
+
+
 def test_files_give_the_library_ids_back(spark, tmp_path):
     texts = [*ODD, *mixed(4, 80), "word other " * 3000, *ODD]
     want = library_ids(texts)
-    manifest = packed_ids.write_ids(frame(spark, texts, key=1, tie=2, IDS=3), f"{tmp_path}/a", WORDS, end=1, file_ids=900)
+    manifest = packed_ids.write_ids(frame(spark, texts, key=1, tie=2, IDS=3), f"{tmp_path}/a", WORDS, end=1, file_bytes=900)
     assert manifest.count() > 4 and manifest.agg(F.sum("n_ids")).first()[0] == sum(map(len, want))
     rows = packed_ids.read_ids(spark, f"{tmp_path}/a").orderBy("doc_id").collect()
     starts = np.r_[0, np.cumsum([len(w) for w in want])]
