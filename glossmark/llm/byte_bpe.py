@@ -149,15 +149,17 @@ def stitch(chunks: DataFrame, pattern: str, size: int, overlap: int) -> DataFram
 def encode(
     df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP,
 ) -> DataFrame:
-    """``df`` with the token ids of each whole text as an array (a column named ``out`` is replaced).
+    """``df`` with the token ids of each whole text as an array (a column named ``out``, but for case, is replaced).
 
-    Null and empty texts have no ids. Long texts are worked on once for all their copies.
+    Null and empty texts have no ids; an empty table gives no rows; repeated rows get equal ids. Long texts are worked on
+    once for all their copies.
     """
     if not MARGIN < overlap < chunk:
         raise ValueError("the overlap must be longer than the margin and shorter than a chunk")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     turn = _encoder(ranks_path, pattern)
     is_long = F.length(body) > chunk + overlap
+    df = df.drop(*[c for c in df.columns if c.lower() == out.lower() and c != out])
     short = df.where(~is_long).withColumn(out, turn(body))
     if df.where(is_long).isEmpty():
         return short

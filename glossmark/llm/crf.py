@@ -44,8 +44,12 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased; marks that are no letters end a word."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, lower-cased; all other signs, numbers of any kind among them, end a word."""
+    found = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # superscripts, fractions, circled and letter numbers are word signs of the pattern, but no letters
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 # ---- features ---------------------------------------------------------------------------------------
@@ -188,11 +192,15 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Field:
     k = len(languages)
     split = [(lang, words_of(text)) for lang, text in rows]
     split = [(lang, words) for lang, words in split if words]
-    order = rng.permutation(len(split))
-    half = {i for i in order[: len(split) // 2]}
+    # each language's rows are halved by themselves; a single row serves both halves
+    half, other = [], []
+    for lang in languages:
+        mine = rng.permutation([i for i, (c, _) in enumerate(split) if c == lang]).astype(int).tolist()
+        half += mine[: max(1, len(mine) // 2)]
+        other += mine[len(mine) // 2 :]
     lexicon, shares = _lexicon([split[i] for i in sorted(half)], languages)
     field_ = Field(languages, np.zeros((BUCKETS, k), np.float32), lexicon, shares, np.zeros((k, k), np.float32), np.zeros((k, k)))
-    rest = [split[i] for i in range(len(split)) if i not in half]
+    rest = [split[i] for i in sorted(other)]
     if not rest:
         return field_
 
@@ -307,35 +315,40 @@ def label_words(field_: Field, texts: list, memo: _Evidence | None = None) -> It
             held, total = [], 0
 
 
-_KIND = "struct<lang:string,score:double,shares:map<string,double>>"
+_KIND = "struct<lang:string,score:double,fit:double,shares:map<string,double>>"
 
 
 def language(spark: SparkSession, field_: Field, text: Column) -> Column:
-    """Struct of lang, score (mean share of lang among the words) and the shares of all languages.
+    """Struct of lang, score (mean share of lang among the words), fit and the shares of all languages.
+
+    ``fit`` says how surely words belong to some language, whichever: 0 if every word is shared alike by all learned
+    languages, 1 if each word is of one for sure. A text in several languages can have a low score and a high fit.
 
     ``und`` with score 0 if the text is null or has no letter, or if no language was learned. Of equal shares
     the language that sorts first wins.
     """
     shared = spark.sparkContext.broadcast(field_)
-    arrow = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64()))])
+    arrow = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("fit", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64()))])
 
     @F.arrow_udf(_KIND)
     @tidy
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        memo = _Evidence(own)
+        memo, k, nothing = _Evidence(own), len(own.languages), {"lang": UNKNOWN, "score": 0.0, "fit": 0.0, "shares": []}
         for batch in batches:
             out = []
             if not own.languages:
-                out = [{"lang": UNKNOWN, "score": 0.0, "shares": []}] * len(batch)
+                out = [nothing] * len(batch)
             else:
                 for words, post in label_words(own, batch.to_pylist(), memo):
                     if not words:
-                        out.append({"lang": UNKNOWN, "score": 0.0, "shares": []})
+                        out.append(nothing)
                         continue
                     mean = post.mean(0, dtype=np.float64)
                     best = int(mean.argmax())
-                    out.append({"lang": own.languages[best], "score": min(1.0, float(mean[best])), "shares": list(zip(own.languages, mean.tolist()))})
+                    sure = float(post.max(1).mean(dtype=np.float64))
+                    fit = max(0.0, min(1.0, (sure * k - 1) / (k - 1))) if k > 1 else 1.0
+                    out.append({"lang": own.languages[best], "score": min(1.0, float(mean[best])), "fit": fit, "shares": list(zip(own.languages, mean.tolist()))})
             yield pa.array(out, arrow)
 
     return predict.asNondeterministic()(text)

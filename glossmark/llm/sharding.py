@@ -33,7 +33,7 @@ def interleave(
 
     Null strata form a stratum of their own; a null key is hashed as empty text. Rows with equal
     keys are ordered by a hash of the whole row, so only identical rows are interchangeable.
-    Columns of ``df`` named like the outputs are replaced. An empty table gives an empty result.
+    Columns of ``df`` named like the outputs, but for case, are replaced. An empty table gives an empty result.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
@@ -43,7 +43,7 @@ def interleave(
     # 52 bits of the hash: exact in a double
     even = F.conv(F.substring("h", 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (shard, slot)]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in (shard.lower(), slot.lower())]).alias("row"),
         key_text(F.col(f"`{stratum}`")).alias("s"),
         digest.alias("h"),
         row_digest(df).alias("t"),

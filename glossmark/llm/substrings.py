@@ -206,9 +206,10 @@ def remove_repeats(
 
     Kept words are joined by one blank. Null and short texts lose nothing. A null id counts as
     larger than any other; documents of equal id never remove from each other, and repeated rows get
-    equal results. A column of ``df`` named ``out`` is replaced.
+    equal results. A column of ``df`` named ``out``, but for case, is replaced. An empty table gives no rows; texts of any length
+    are taken whole.
     """
-    names = [c for c in df.columns if c != out]
+    names = [c for c in df.columns if c.lower() != out.lower()]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID))
     f1, f2 = F.xxhash64(body), F.xxhash64(F.lit("second"), body)
@@ -224,7 +225,14 @@ def remove_repeats(
 
     # one document per text; v tells different texts of one id apart
     heads = df.select(f1.alias("f1"), f2.alias("f2"), ident.alias("doc")).groupBy("f1", "f2").agg(F.min("doc").alias("doc"))
-    heads = heads.withColumn("v", F.row_number().over(Window.partitionBy("doc").orderBy("f1", "f2")))
+    # texts of one id are told apart by their hashes, whose rank is taken in parts of the hash, as all null ids are one id
+    part = F.shiftright("f1", 52)
+    counts = heads.groupBy("doc", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    below = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("doc", "part", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("doc", "part").orderBy("f1", "f2"))
+    heads = heads.withColumn("part", part).withColumn("v", inside).join(counts, ["doc", "part"])
+    heads = heads.select("f1", "f2", "doc", (F.col("v") + F.col("before")).cast("int").alias("v"))
     heads = stage(heads, "substring-heads")
 
     # Both joins below read the same columns of the texts, dealt out by the same keys, so they share one

@@ -80,14 +80,16 @@ def count_tokens(
     ``cache`` is a folder that all executors reach; it holds one folder per tokenizer version with
     (digest, n_tokens) and may be absent or warm. Null counts as empty text. Copies of a text are
     encoded once; a digest found twice in the cache (two runs appended it) counts once.
-    Columns of ``keep`` named like the outputs are replaced.
+    Columns of ``keep`` named like the outputs, but for case, are replaced. An empty table gives no rows. Texts are
+    encoded whole, however long; repeated rows get equal counts.
     """
     spark = df.sparkSession
     shelf = f"{cache}/tokenizer={tokenizer_digest(tokenizer)}"
     outputs = ("digest", "n_bytes", "n_tokens")
     body = F.col(f"`{text}`")
     digest = F.unhex(F.sha2(normalised(body), 256))
-    kept = [F.col(f"`{c}`") for c in keep if c not in outputs]
+    keep = [c for c in keep if c.lower() not in outputs]
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
 
     missing = df.select(digest.alias("digest"), normalised(body).alias("body"))
     try:
@@ -100,9 +102,8 @@ def count_tokens(
 
     counts = spark.read.parquet(shelf).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     rows = df.select(
-        F.struct(*kept, F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("_size")).alias("row"), digest.alias("digest")
+        F.struct(*kept, F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("size")).alias("row"), digest.alias("digest")
     )
     return rows.join(counts, "digest").select(
-        *[F.col(f"row.`{c}`") for c in keep if c not in outputs], "digest",
-        F.col("row._size").alias("n_bytes"), "n_tokens",
+        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "digest", F.col("row.size").alias("n_bytes"), "n_tokens",
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import tidy
+from glossmark.llm.common import fresh, tidy
 from glossmark.session import stage
 
 MAX_ITEM_BYTES = 64 << 20
@@ -148,8 +148,10 @@ def find_items(
     """``df`` with the struct ``out``: n_words, n_hit, spans of hit words, items (ids as sorted strings).
 
     A null or empty text has no words. Items without words never occur; items with a null id are
-    left out, repeated items count once. A column of ``df`` named ``out`` is replaced.
+    left out, repeated items count once. A column of ``df`` named ``out``, but for case, is replaced. Texts of any
+    length are searched whole; repeated rows get equal results; an empty table gives no rows, without items nothing is hit.
     """
+    df = df.drop(*[c for c in df.columns if c.lower() == out.lower() and c != out])
     known = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("body"))
     known = known.where("item IS NOT NULL AND body IS NOT NULL").distinct()
     size = known.agg(F.sum(F.octet_length("body") + F.octet_length("item"))).first()[0] or 0
@@ -161,7 +163,8 @@ def find_items(
         if i == 0:
             df = df.withColumn(out, found)
         else:
-            df = df.withColumn("_next", found).withColumn(out, _join(F.col(out), F.col("_next"))).drop("_next")
+            more = fresh(df, "more")
+            df = df.withColumn(more, found).withColumn(out, _join(F.col(f"`{out}`"), F.col(f"`{more}`"))).drop(more)
         if blocks > 1:  # one block of patterns in memory at a time
             df = stage(df, "decontamination")
     return df

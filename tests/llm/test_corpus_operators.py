@@ -177,13 +177,41 @@ def test_vectors_that_share_a_direction_keep_their_links(spark, mean, block):
     assert missed <= 4
 
 
-def test_crowded_labels_get_more_work(spark):
-    rows = [(i, x.tolist(), int(mean * 10)) for mean in (0.0, 0.6) for i, x in enumerate(crowded_pairs(4000, 1, mean, 0.95, 9))]
-    heads = spark.createDataFrame(rows, "h long, v array<double>, g long")
-    got = {r.g: r for r in vectors._depths(heads, 0.93, 1e-3, 16, 0).collect()}
-    assert 0 < got[0].depth < got[6].depth and got[0].passes < got[6].passes
-    assert all(r.passes == vectors.passes_for(r.depth, 0.93, 1e-3) for r in got.values())
-    assert vectors.passes_for(0, 0.93, 1e-3) == 1
+def test_crowded_labels_get_more_passes(spark):
+    rows = [(i, i, x.tolist(), int(mean * 10)) for mean in (0.0, 0.6, 0.8) for i, x in enumerate(crowded_pairs(4000, 1, mean, 0.95, 9))]
+    heads = spark.createDataFrame(rows, "node long, h long, v array<double>, g long")
+    got = {r.g: r for r in vectors._passes(heads, vectors._means(heads), 0.93, 1e-3, 0).collect()}
+    assert 1 < got[0].passes < got[6].passes < got[8].passes < vectors.MOST_PASSES
+    assert all(r.window == vectors.window_of(4000) == 500 for r in got.values())
+    # the label's own direction is taken out
+    assert np.linalg.norm(got[8].mean) == pytest.approx(math.sqrt(0.8), abs=0.02)
+
+
+def test_prefixes_and_passes():
+    codes = np.array([0b000, 0b001, 0b010, 0b111], np.int64) << (vectors.BITS - 3)
+    assert vectors.depths(codes, 1).tolist() == [3, 3, 2, 1] and vectors.depths(codes, 3).tolist() == [1, 1, 1, 1] and not vectors.depths(codes, 4).any()
+    assert vectors.passes_for(np.array([0.5]), 1e-3) == 10 and vectors.passes_for(np.zeros(3), 0.5) == vectors.MOST_PASSES
+    assert vectors.same_sign(np.array([1.0]), 0.93)[0] == pytest.approx(1 - math.acos(0.93) / math.pi)
+
+
+def test_the_query_hashes_and_compares_windows(spark, monkeypatch):
+    """On the given table every label is in several blocks and sorted several times; far fewer pairs meet than a label has."""
+    from glossmark.llm.queries import op3_near_vectors
+
+    seen = {}
+    windows = vectors._windows
+
+    def spy(turns, parts):
+        seen["turns"], seen["blocks"] = turns, windows(turns, parts)
+        return seen["blocks"]
+
+    monkeypatch.setattr(vectors, "_windows", spy)
+    op3_near_vectors(spark, SF).count()
+    labels = seen["turns"].groupBy("g").agg(F.countDistinct("node").alias("n"), F.countDistinct("turn").alias("turns"), F.countDistinct("code").alias("codes")).collect()
+    assert labels and all(r.n > 30 and r.turns > 3 and r.codes > r.n for r in labels)
+    sizes = seen["blocks"].groupBy("g", "turn", "block").agg(F.count_if("own").alias("own"), F.count(F.lit(1)).alias("n")).collect()
+    number = {r.g: r.n for r in labels}
+    assert all(r.own <= vectors.window_of(number[r.g]) and r.n <= 2 * vectors.window_of(number[r.g]) < number[r.g] for r in sizes)
 
 
 def test_vector_links_do_not_depend_on_partitions(spark):
@@ -317,3 +345,35 @@ def test_language_of_odd_rows(spark):
     assert {r.p.lang for r in df.select(crf.language(spark, none, F.col("text")).alias("p")).collect()} == {"und"}
     single = crf.train(df.where("lang = 'en'"))
     assert df.where("doc_id = 1").select(crf.language(spark, single, F.col("text")).alias("p")).first().p.lang == "en"
+
+
+def test_numbers_are_no_letters(spark):
+    """Superscripts, fractions, circled and letter numbers make no word; letters around them do."""
+    assert crf.words_of("½ ² ① Ⅷ _ 12") == [] and crf.words_of("x² Ab①cd É") == ["x", "ab", "cd", "é"]
+    rows = [("aa bb", "x")] * 4 + [("cc dd", "y")] * 4
+    df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(rows)], "doc_id long, text string, lang string")
+    field = crf.train(df)
+    got = spark.createDataFrame([("½ ² ① Ⅷ",), ("12",), (None,), ("aa²",)], "t string").select(crf.language(spark, field, F.col("t")).alias("p"))
+    assert [r.p.lang for r in got.collect()] == ["und", "und", "und", "x"]
+
+
+def test_a_language_with_one_row_is_learned():
+    words = {c: [f"{c}{v}{c}" for v in "aeiou"] for c in "bcdfg"}
+    rows = [(c, " ".join(words[c])) for c in "bcdf" for _ in range(12)] + [("g", " ".join(words["g"] * 3))]
+    field = crf.fit(rows)
+    ((_, post),) = crf.label_words(field, [" ".join(words["g"])])
+    assert field.languages[int(post.mean(0).argmax())] == "g"
+
+
+def test_mixed_texts_fit_whatever_the_number_of_languages(spark):
+    """Four equal parts in a fit with ten languages: no share prevails, but every word fits one."""
+    import corpus_pipeline
+
+    words = {c: [f"{c}{v}{c}{w}" for v in "aeiou" for w in "aeiou"] for c in "bcdfghjklm"}
+    rng = random.Random(3)
+    rows = [(f"lang-{c}", " ".join(rng.choice(words[c]) for _ in range(40))) for c in words for _ in range(8)]
+    mixed = " ".join(" ".join(rng.choice(words[c]) for _ in range(20)) for c in "bcdf")
+    frame = [(i, t, c, "s", len(t)) for i, (c, t) in enumerate(rows)] + [(500, mixed, None, "s", len(mixed)), (501, "12 ½", None, "s", 4), (502, None, None, "s", None)]
+    docs = spark.createDataFrame(frame, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == set(range(len(rows))) | {500}

@@ -2,7 +2,6 @@
 
 import itertools
 import random
-import shutil
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -100,7 +99,7 @@ def test_stages_take_an_empty_table_and_tables_without_labels(spark, tmp_path):
 
 def test_queries_take_empty_tables(spark, tmp_path):
     folder = tmp_path / "tables"
-    shutil.copytree(SF, folder, ignore=shutil.ignore_patterns("lineitem*", "orders*", "events*"))
+    folder.mkdir()  # the test data's own folder may be read-only
     for name in ("documents", "embeddings", "pages", "benchmark"):
         table = spark.read.parquet(f"{SF}/{name}.parquet").where("false")
         table.write.parquet(f"{folder}/empty/{name}.parquet")

@@ -209,6 +209,20 @@ def test_shards_are_written_in_slot_order(spark, tmp_path):
     assert back.groupBy("shard").count().where("count = 25").count() == 4
 
 
+def test_names_that_differ_by_case_are_replaced(spark, tmp_path):
+    df = frame(spark, ["a b", "a b", None], source="s", Shard=1, SLOT=2, Dedup=3, Hits=4, IDS=5, N_Tokens=6, _size=7, _next=8, more=9)
+    sharded = sharding.interleave(df, 2)
+    assert sharded.select("shard", "slot", "_next").count() == 3 and "Shard" not in sharded.columns
+    assert substrings.remove_repeats(df).select("dedup.n_words", "hits", "_size").count() == 3
+    items = spark.createDataFrame([(f"i{i}", w) for i, w in enumerate(["a b", "b c", "x y z"])], "item_id string, text string")
+    found = wu_manber.find_items(df, items, max_bytes=4)
+    assert {(r.hits.n_hit, r._next, r.more) for r in found.collect()} == {(2, 8, 9), (0, 8, 9)} and "Hits" not in found.columns
+    encoded = byte_bpe.encode(df, RANKS, PATTERN)
+    assert {r["_next"] for r in encoded.select("ids", "_next").collect()} == {8}
+    counted = token_counts.count_tokens(df, ["doc_id", "_size", "N_Tokens", "IDS"], f"{tmp_path}/cache", public_tokenizers.path("word_bpe_49k.json"))
+    assert counted.columns == ["doc_id", "_size", "IDS", "digest", "n_bytes", "n_tokens"] and {r._size for r in counted.collect()} == {7}
+
+
 # ---- URL rules
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
@@ -245,8 +259,23 @@ def test_url_rules(spark):
 
 def test_rules_are_filed_under_their_rarest_token(spark):
     df = spark.createDataFrame([("http://x.org/ads/foo",)] * 3 + [("http://x.org/foo",)] * 2, "url string")
-    index = url_rules.rule_index(df, "url", ["/ads/foo^", "track", "||x.org^"])
-    assert index == {"ads": ["/ads/foo^"], "": ["track"], "org": ["||x.org^"]}
+    index = url_rules.rule_index(df.select(F.col("url").alias("u")).distinct(), ["/ads/foo^", "track", "||x.org^", "track"])
+    assert {r.pattern: r.t for r in index.collect()} == {"/ads/foo^": "ads", "||x.org^": "org"} and index.count() == 2
+
+
+def test_many_rules(spark):
+    """50,000 pattern rules and as many host rules; one of each fits."""
+    urls = [(i, f"http://host{i}.org/p{i}/x") for i in range(0, 60_000, 997)] + [(-1, "http://host5.org/p5/x")] * 3
+    df = spark.createDataFrame(urls, "page_id long, url string").withColumn("HOST", F.lit("mine")).withColumn("Patterns", F.lit(1))
+    patterns = [f"||host{i}.org/p{i}/" for i in range(50_000)]
+    rules = [(f"host{i}.org", f"/p{i}/x", "block") for i in range(50_000, 100_000)]
+    got = url_rules.judge(df, "url", rules, patterns)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict", "patterns"]
+    rows = got.collect()
+    assert len(rows) == len(urls) and all(r.verdict == "block" for r in rows)
+    for r in rows:
+        n = int(r.url.split("/")[2][4:-4])
+        assert (r.patterns, r.rule) == (([f"||host{n}.org/p{n}/"], None) if n < 50_000 else ([], f"host{n}.org/p{n}/x"))
 
 
 def test_sha_of_no_items_is_that_of_empty_text(spark):
