@@ -1,7 +1,9 @@
 """The training-data pipeline: five stages from raw documents to token ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
-as the next one's documents. All but the last return the columns of their input.
+as the next one's documents. All but the last return the columns of their input. An empty table gives an empty
+result in every stage; texts are taken whole, however long; repeated rows are treated alike, but for near copies, of
+which one row stays.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ from glossmark.llm.common import fresh, table
 from glossmark.llm.queries import BPE_RANKS, tokenizer_path, tokenizer_pattern
 from glossmark.session import stage
 
-# A document goes if it has no letters or if no language holds this share of its words.
-LEAST_SHARE = 0.3
+# A document goes if it has no letters or if its words fit all learned languages nearly alike (0: alike, 1: each word is of
+# one language for sure). Documents in several languages fit well, however many languages there are.
+LEAST_FIT = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters (null texts among them) and those in which no language prevails.
+    """Drops documents without letters (null texts among them) and those whose words fit no learned language.
 
     The classifier is fitted on labelled documents of the input; without any, only letters count.
     """
@@ -27,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = fresh(docs, "language")
     found = docs.withColumn(name, crf.language(spark, field, F.col("text")))
     if field.languages:
-        keep = (F.col(f"{name}.lang") != crf.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SHARE)
+        keep = (F.col(f"{name}.lang") != crf.UNKNOWN) & (F.col(f"{name}.fit") >= LEAST_FIT)
     else:
         keep = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return found.where(keep).drop(name)
