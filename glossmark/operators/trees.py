@@ -12,7 +12,6 @@ are not scaled.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -23,11 +22,10 @@ from pyspark.sql import functions as F
 
 from glossmark.operators import search
 from glossmark.operators.boosting import Fit, Gains, Layout, Policy, fit_local, fit_scanned
+from glossmark.operators.fits import asked, fit_all, is_fold, part_rows, part_sizes, training
 from glossmark.operators.ranking import seeded_rank
 from glossmark.session import BROADCAST_BYTES, stage
 
-#: Tasks of one search at most; a task fits several models one after the other.
-TASKS = 4096
 
 
 def _step(params: dict, name: str, default: float) -> float:
@@ -120,44 +118,27 @@ def _seed_options(config: dict, profile: str, seed: int) -> tuple[list[dict], li
 
 def _fit_all(spark, table, plan: _Search, specs: list[tuple]) -> list[tuple[dict, Gains]]:
     """Fits (run, combo, fold or -1, policy, rounds, seed) in the order given; one job."""
-    order = list(range(len(specs)))
-    random.Random(0).shuffle(order)  # long and short fits mixed among tasks
-    handle = spark.sparkContext.broadcast(table)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, label, parts = handle.value
-        number = np.arange(len(label))
-        laid: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at in batch["id"]:
-                run, combo, fold, policy, rounds, seed = specs[order[at]]
-                layout = plan.layouts[combo]
-                if combo not in laid:
-                    laid[combo] = codes[:, plan.chosen[combo]] + layout.start[:-1]
-                mine = parts[run]
-                train = [p for p in mine if p.startswith("fold") and p != f"fold{fold}"]
-                train = np.sort(np.concatenate([mine[p] for p in train])) if train else np.empty(0, np.int64)
-                asked = {f"fold{fold}": mine.get(f"fold{fold}", [])} if fold >= 0 else {p: r for p, r in mine.items() if not p.startswith("fold")}
-                if not len(train):
-                    continue
-                errors, gains = fit_local(laid[combo], label, number, layout, train, asked, policy, rounds, seed)
-                found = [(p, t, e) for p, by in errors.items() for t, e in by.items()]
-                yield pd.DataFrame({
-                    "id": [order[at]], "part": [[f[0] for f in found]], "turn": [[f[1] for f in found]], "error": [[f[2] for f in found]],
-                    "uses": [gains.uses], "gain": [gains.gain],
-                })
-
-    schema = "id long, part array<string>, turn array<int>, error array<double>, uses array<double>, gain array<double>"
-    done = stage(spark.range(0, len(specs), 1, min(len(specs), TASKS)).mapInPandas(work, schema), "fits")
-    out = [({}, Gains(0))] * len(specs)
-    for r in done.toLocalIterator():
+    def one(held: tuple, spec: tuple) -> dict | None:
+        codes, label, parts = held
+        run, combo, fold, policy, rounds, seed = spec
+        train, layout = training(parts[run], fold), plan.layouts[combo]
+        if not len(train):
+            return None
+        laid = codes[:, plan.chosen[combo]] + layout.start[:-1]
+        errors, gains = fit_local(laid, label, np.arange(len(label)), layout, train, asked(parts[run], fold), policy, rounds, seed)
+        found = [(p, t, e) for p, by in errors.items() for t, e in by.items()]
+        return {"part": [f[0] for f in found], "turn": [f[1] for f in found], "error": [f[2] for f in found], "uses": gains.uses, "gain": gains.gain}
+
+    out = []
+    for r in fit_all(spark, table, specs, one, "part array<string>, turn array<int>, error array<double>, uses array<double>, gain array<double>"):
         errors: dict[str, dict[int, float]] = {}
-        for p, t, e in zip(r.part, r.turn, r.error):
-            errors.setdefault(p, {})[t] = e
         gains = Gains(0)
-        gains.uses, gains.gain = np.array(r.uses), np.array(r.gain)
-        out[r.id] = (errors, gains)
-    handle.unpersist()
+        if r is not None:
+            for p, t, e in zip(r.part, r.turn, r.error):
+                errors.setdefault(p, {})[t] = e
+            gains.uses, gains.gain = np.array(r.uses), np.array(r.gain)
+        out.append((errors, gains))
     return out
 
 
@@ -177,8 +158,8 @@ def _scan_all(binned_rows: DataFrame, members: DataFrame, runs: list[str], parts
         in_fold = F.array(*[F.coalesce(F.try_element_at("in_fold", F.lit(i)), F.lit(-1)) for i in range(len(runs))])
         rows = whole.select("row", codes.alias("codes"), "label", in_fold.alias("folds"), F.coalesce("parts", F.array().cast("array<string>")).alias("parts"))
         fits = [Fit(runs.index(s[0]), s[2], s[3], s[4], s[5]) for s in (specs[i] for i in at)]
-        asked = {k: [f"fold{f.fold}"] if f.fold >= 0 else [p for p in parts[runs[f.run]] if not p.startswith("fold")] for k, f in enumerate(fits)}
-        for i, result in zip(at, fit_scanned(stage(rows, "boosting"), layout, fits, asked)):
+        tested = {k: list(asked(parts[runs[f.run]], f.fold)) for k, f in enumerate(fits)}
+        for i, result in zip(at, fit_scanned(stage(rows, "boosting"), layout, fits, tested)):
             out[i] = result
     return out
 
@@ -200,28 +181,22 @@ def fit_protocol(
     edges = borders(rows, base, max(p.bins for _, paths, _ in choices.values() for p, _ in paths))
     table = binned(rows, base, label, edges, key)
     members = stage(members.join(table.select(F.col("key").alias(key), "row"), key).select("run", "part", "row"), "members")
-    sizes = members.groupBy("run", "part").agg(F.count(F.lit(1)).alias("n")).collect()
-    parts: dict[str, dict[str, int]] = {}
-    for run, part, n in sizes:
-        parts.setdefault(run, {})[part] = n
+    parts = part_sizes(members)
     chosen = [np.array([base.index(c) for c in combo]) for combo in combos]
     plan = _Search(chosen, [Layout([len(edges[i]) for i in c]) for c in chosen], config["cv"])
 
-    small = table.count() * (4 * len(base) + 8) + 8 * sum(n for *_, n in sizes) <= in_memory
+    small = table.count() * (4 * len(base) + 8) + 8 * sum(sum(p.values()) for p in parts.values()) <= in_memory
     if small:
         got = table.orderBy("row").select("codes", "label").toPandas()
         codes = np.vstack(got["codes"].to_numpy()).astype(np.int32) if len(got) else np.empty((0, len(base)), np.int32)
-        places: dict[str, dict[str, np.ndarray]] = {}
-        for run, part, at in members.groupBy("run", "part").agg(F.array_sort(F.collect_list("row"))).collect():
-            places.setdefault(run, {})[part] = np.array(at, np.int64)
-        held = (codes, got["label"].to_numpy(), places)
+        held = (codes, got["label"].to_numpy(), part_rows(members))
 
     def fit(specs: list[tuple]) -> list[tuple[dict, Gains]]:
         if small:
             return _fit_all(spark, held, plan, specs)
         return _scan_all(table, members, sorted(parts), parts, plan, specs)
 
-    runs = [r for r in sorted(parts) if any(p.startswith("fold") for p in parts[r])]
+    runs = [r for r in sorted(parts) if any(map(is_fold, parts[r]))]
     trials = [
         (run, combo, fold, policy, rounds, seeds[run])
         for run in runs for combo in range(len(combos)) for policy, rounds in choices[seeds[run]][1]
@@ -243,7 +218,7 @@ def fit_protocol(
             picked.append((options[at], error))
     results = []
     for (run, combo, _, _, rounds, _), (params, error), (errors, gains) in zip(finals, picked, fit(finals)):
-        n = sum(k for p, k in parts[run].items() if p.startswith("fold"))
+        n = sum(k for p, k in parts[run].items() if is_fold(p))
         numbers = {k: float(v) for k, v in params.items()}
         numbers |= {f"{c}_importance": float(v) for c, v in zip(combos[combo], gains.importances(profile == "lgbm"))}
         results += [(run, combo, part, n, error, math.sqrt(by[rounds[0]]), numbers) for part, by in errors.items() if rounds[0] in by]

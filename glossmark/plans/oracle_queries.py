@@ -2,7 +2,7 @@
 
 One predictor makes the elastic net a shrunken slope; a parabola without penalty is a 2x2 system; one
 tree of depth 1 on a 0/1 column is a pair of means; a factorisation without factors is a slope and two
-rounds of shrunken means. Folds, seeds and languages are those of the published runs.
+kinds of shrunken means, worked out in turns. Folds, seeds and languages are those of the published runs.
 """
 
 from __future__ import annotations
@@ -331,6 +331,24 @@ def factor_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MATRIX_SQL = _x(LABELLED_SQL).replace(" AS x, k ||", " AS x, source_lang || '_' || dataset_size AS src, k ||")
+
+
+def _turns(n: int) -> str:
+    """``n`` rounds of exact turns on the rows of ``tr``: slope, source biases, target biases."""
+    steps = ["turn_0 AS MATERIALIZED (SELECT seed, part, target_lang, src, z, y - mu AS l, 0.0::DOUBLE AS bs, 0.0::DOUBLE AS bt FROM tr JOIN m USING (seed, part))"]
+    for k in range(1, n + 1):
+        steps.append(f"""turn_{k if k < n else "last"} AS MATERIALIZED (
+  SELECT *, sum(l - w * z - bs) OVER (PARTITION BY seed, part, target_lang) / (1.05 * count(*) OVER (PARTITION BY seed, part, target_lang)) AS bt
+  FROM (
+    SELECT * EXCLUDE (bs, bt), sum(l - w * z - bt) OVER (PARTITION BY seed, part, src) / (1.02 * count(*) OVER (PARTITION BY seed, part, src)) AS bs
+    FROM (
+      SELECT * {"EXCLUDE (w)" if k > 1 else ""}, sum(z * (l - bs - bt)) OVER (PARTITION BY seed, part)
+        / (sum(z * z) OVER (PARTITION BY seed, part) + 0.01 * count(*) OVER (PARTITION BY seed, part)) AS w
+      FROM turn_{k - 1}) AS x) AS x)""")
+    return ",\n".join(steps)
+
+
+_TURNS = _turns(12)
 BIASES_SQL = f"""{MATRIX_SQL}, {split_sql("source_lang")},
 side AS (SELECT * FROM split WHERE NOT is_test),
 folded AS ({_ranked("side", "seed")}),
@@ -345,17 +363,15 @@ held AS (SELECT seed, target_lang, src, (x - mx) / sx AS z, y FROM split JOIN sp
 parts AS (SELECT unnest([-1, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS part),
 tr AS (SELECT c.*, part FROM cells c, parts WHERE CASE WHEN part < 0 THEN inner_part ELSE fold <> part END),
 m AS (SELECT seed, part, avg(y) AS mu FROM tr GROUP BY seed, part),
-ridge AS (
-  SELECT seed, part, avg(z * (y - mu)) / (avg(z * z) + 0.01 * sqrt(count(*) / (count(*) - 1)::DOUBLE)) AS w
-  FROM tr JOIN m USING (seed, part) GROUP BY seed, part),
-l1 AS (SELECT tr.seed, tr.part, target_lang, src, y - mu - w * z AS l FROM tr JOIN m USING (seed, part) JOIN ridge USING (seed, part)),
-bt AS (SELECT seed, part, target_lang, avg(l) / 1.05 AS b FROM l1 GROUP BY ALL),
-bs AS (SELECT seed, part, src, avg(l - b) / 1.02 AS b FROM l1 JOIN bt USING (seed, part, target_lang) GROUP BY ALL),
+{_TURNS},
+weight AS (SELECT seed, part, any_value(w) AS w FROM turn_last GROUP BY seed, part),
+bt AS (SELECT seed, part, target_lang, any_value(bt) AS b FROM turn_last GROUP BY ALL),
+bs AS (SELECT seed, part, src, any_value(bs) AS b FROM turn_last GROUP BY ALL),
 asked AS (
   SELECT seed, fold AS part, target_lang, src, z, y FROM cells UNION ALL SELECT seed, -1, target_lang, src, z, y FROM held),
 wrong AS (
   SELECT a.seed, a.part, pow(a.y - mu - w * z - coalesce(bt.b, 0) - coalesce(bs.b, 0), 2) AS e2
-  FROM asked a JOIN m USING (seed, part) JOIN ridge USING (seed, part)
+  FROM asked a JOIN m USING (seed, part) JOIN weight USING (seed, part)
   LEFT JOIN bt ON bt.seed = a.seed AND bt.part = a.part AND bt.target_lang = a.target_lang
   LEFT JOIN bs ON bs.seed = a.seed AND bs.part = a.part AND bs.src = a.src),
 mse AS (SELECT seed, part, avg(e2) AS e FROM wrong GROUP BY seed, part),

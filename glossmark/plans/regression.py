@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +14,7 @@ from glossmark.operators import linear
 from glossmark.operators import splits as sp
 from glossmark.operators import summary as sm
 from glossmark.operators import transforms as tf
-from glossmark.operators.factor import fit_matrix
-from glossmark.operators import polynomial, trees
+from glossmark.operators import factor, polynomial, trees
 from glossmark.operators.ranking import seeded_rank
 from glossmark.session import stage
 
@@ -29,8 +27,6 @@ TASK_MODELS = ["aya", "llama3"]
 TASK_MODES = ["random", "lolo"]
 DEFAULT_SCORE = {"mt560": "spBLEU", "nusa": "spBLEU", "intent": "accuracy", "slot": "f1"}
 KEY = "_key"
-# Runs of a protocol fitted at once; each has its own parallel folds.
-PARALLEL_RUNS = 4
 
 
 @dataclass
@@ -300,76 +296,20 @@ def _polynomial_results(rows: DataFrame, setup: Setup, other: DataFrame | None,
     return polynomial.fit_runs(_celled(table, members), base, setup.label, uses, combos, setup.config["param_space"])
 
 
-def _tree_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
-    """The same for boosted trees."""
+def _searched_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
+    """The same for boosted trees and factorisations."""
     table, combos, _ = _wide(rows, setup, other, dropped)
     members = stage(_memberships(rows, setup, other), "members")
     runs = [r["run"] for r in members.select("run").distinct().collect()]
     seeds = {run: int(run.split("|")[0]) for run in runs}
+    if setup.regressor == "mf":
+        names = [c for c in ("source_lang", "target_lang", "dataset_size") if c in rows.columns]
+        whole = rows if other is None else rows.select(*other.columns).unionByName(other)
+        keyed = table.join(whole.select(KEY, *[c for c in names if c not in table.columns]), KEY)
+        return factor.fit_protocol(keyed, members, seeds, combos, setup.label, setup.config, KEY)
     return trees.fit_protocol(table, members, seeds, combos, setup.label, setup.config, setup.regressor, KEY)
 
 
-# --- other models: one fit per run ----------------------------------------------------------
-
-
-def _fit(train: DataFrame, columns: list[str], setup: Setup, seed: int):
-    return fit_matrix(train, columns, setup.label, setup.config, seed, F.col(KEY))
-
-
-def _protocol_runs(rows: DataFrame, setup: Setup, other: DataFrame | None):
-    """Yield ``(run, seed, train, test)``; test rows carry a ``part`` column."""
-    key = F.col(KEY)
-    for seed in setup.seeds:
-        if setup.mode in ("random", "incremental"):
-            if setup.mode == "random":
-                split = stage(sp.random_split(rows, [], ["_stratum"], key, seed), "split")
-                yield f"{seed}", seed, split.filter("not is_test"), split.filter("is_test").withColumn("part", F.lit("test"))
-                continue
-            split = stage(sp.incremental_split(rows, [], ["_stratum"], key, seed, setup.portions), "split")
-            test = split.filter("portion IS NULL").withColumn("part", F.lit("test"))
-            for portion in setup.portions:
-                yield f"{seed}|{portion}", seed, split.filter(F.col("portion") == portion), test
-        elif setup.mode == "cross_dataset":
-            yield f"{seed}", seed, rows, other.withColumn("part", F.lit("test"))
-        elif setup.mode == "lolo":
-            langs = sp.languages(rows, setup.dataset == "mt560")
-            names = [setup.lang] if setup.lang != "all" else sorted(r["lang"] for r in langs.collect())
-            for lang in names:
-                train, source, target = sp.leave_one_out(rows, lang)
-                test = source.withColumn("part", F.lit("source")).unionByName(target.withColumn("part", F.lit("target")))
-                yield f"{seed}|{lang}", seed, train, test
-        else:
-            for seen, langs in _test_languages(rows, setup):
-                train, tests = sp.seen_unseen(rows, langs)
-                yield f"{seed}|{seen}", seed, train, tests.withColumn("part", _name("role", "lang")).drop("role", "lang")
-
-
-def _fitted_results(rows: DataFrame, setup: Setup, other: DataFrame | None, dropped: tuple) -> DataFrame:
-    """The same columns as the linear results, with parameters and importances as maps."""
-
-    def one(run: str, seed: int, train: DataFrame, test: DataFrame) -> list[DataFrame]:
-        n = train.count()
-        results = []
-        for number, combo in enumerate(setup.combos):
-            columns = setup.columns(rows, combo, dropped)
-            fitted = _fit(train, columns, setup, seed)
-            errors = fitted.predict(test).groupBy("part").agg(sm.rmse(F.col(setup.label), F.col("prediction")).alias("rmse"))
-            numbers = {**{p: float(v) for p, v in fitted.params.items()}, **fitted.importances()}
-            extra = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]) if numbers else F.lit(None)
-            results.append(
-                errors.select(
-                    F.lit(run).alias("run"), F.lit(number).alias("combo"), "part", F.lit(n).cast("long").alias("n"),
-                    F.lit(float(fitted.cv_rmse)).alias("cv_rmse"), "rmse", extra.cast("map<string,double>").alias("extra"),
-                )
-            )
-        return results
-
-    # Runs do not depend on each other: a bounded number is under way at once, and their jobs share the cluster.
-    with ThreadPool(PARALLEL_RUNS) as pool:
-        results = [r for found in pool.starmap(one, _protocol_runs(rows, setup, other)) for r in found]
-    return stage(sm.append(results), "results")
-
-
 # --- results --------------------------------------------------------------------------------
 
 
@@ -391,7 +331,7 @@ def run_results(table: DataFrame, setup: Setup, other: DataFrame | None = None)
     if setup.regressor == "poly":
         fit = _linear_results if setup.linear else _polynomial_results
     else:
-        fit = _fitted_results if setup.regressor == "mf" else _tree_results
+        fit = _searched_results
     results = fit(rows, setup, other, dropped)
     parts = F.split("run", r"\|")
     results = results.withColumn("seed", parts[0].cast("int"))
