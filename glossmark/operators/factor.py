@@ -91,8 +91,10 @@ def _by_key(owner: np.ndarray, size: int, others: np.ndarray, left: np.ndarray,
     order = np.argsort(owner, kind="stable")
     keys, starts, counts = np.unique(owner[order], return_index=True, return_counts=True)
     x, y = others[order], left[order]
-    gram = np.add.reduceat(x[:, :, None] * x[:, None, :], starts)
-    pull = np.add.reduceat(x * y[:, None], starts)
+    gram, pull = np.empty((len(keys), x.shape[1], x.shape[1])), np.empty((len(keys), x.shape[1]))
+    for k, (a, b) in enumerate(zip(starts.tolist(), (starts + counts).tolist())):
+        rows = x[a:b]
+        gram[k], pull[k] = rows.T @ rows, rows.T @ y[a:b]
     out = np.zeros((size, others.shape[1]))
     out[keys] = ridge(gram, pull, counts[:, None] * penalty)
     return out

@@ -348,7 +348,7 @@ def _turns(n: int) -> str:
     return ",\n".join(steps)
 
 
-_TURNS = _turns(12)
+_TURNS = _turns(150)
 BIASES_SQL = f"""{MATRIX_SQL}, {split_sql("source_lang")},
 side AS (SELECT * FROM split WHERE NOT is_test),
 folded AS ({_ranked("side", "seed")}),
