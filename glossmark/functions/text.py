@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -152,6 +152,23 @@ MTEVAL_RULES = [
 ]
 
 
+def sentence_pieces(path: str) -> Callable[[Column], Column]:
+    """A tokeniser into the pieces of a sentence-piece model, as its library gives them; null counts as empty.
+
+    ``path`` is within reach of all executors.
+    """
+
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        for batch in batches:
+            yield pa.array(model.encode([t or "" for t in batch.to_pylist()], out_type=str, num_threads=1), pa.list_(pa.string()))
+
+    return lambda text: cut(text)
+
+
 def mteval_tokens(text: Column) -> Column:
     """Tokens of the mteval-13a scheme."""
     for pattern, replacement in MTEVAL_CLEANUP:

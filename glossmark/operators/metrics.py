@@ -192,15 +192,22 @@ def bootstrap_scores(
     resamples: int = 1000,
     seed: int = 12345,
 ) -> DataFrame:
-    """Score of each resample. A segment's weight in a resample is Poisson(1) from a hash.
+    """Score of each resample."""
+    sums = resampled(stats, group, key, columns, resamples, seed)
+    return sums.select(*group, "resample", score.alias("score"))
+
+
+def resampled(
+    stats: DataFrame, group: list[str], key: Column, columns: list[str], resamples: int = 1000, seed: int = 12345
+) -> DataFrame:
+    """Sums of ``columns`` in each resample. A segment's weight in a resample is Poisson(1) from a hash.
 
     Poisson weights need no draw over the whole corpus, so segments are weighted where
     they are and only ``resamples`` partial sums per task are shuffled.
     """
     rows = stats.select(*group, *[F.col(c).cast("long").alias(c) for c in columns], key.alias("_k"))
     drawn = resample_sums(rows, group, "_k", columns, resamples, seed, POISSON_BOUNDS, _DRAWS_PER_HASH)
-    sums = drawn.groupBy(*group, "resample").agg(*[F.sum(c).alias(c) for c in columns])
-    return sums.select(*group, "resample", score.alias("score"))
+    return drawn.groupBy(*group, "resample").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def confidence(scores: DataFrame, group: list[str], resamples: int = 1000) -> DataFrame:

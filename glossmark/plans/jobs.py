@@ -81,40 +81,62 @@ def featurise(
     return table.drop("train_corpus", "dev_corpus", "test_corpus", "train_size")
 
 
+def _metrics(subword: Callable[[Column], Column] | None, smooth: bool) -> list[tuple]:
+    """Rows of the report: name, how a segment's numbers are counted, their columns, and the score of their sums.
+
+    The counts of chrF2++ hold those of chrF2, so the two share one count.
+    """
+
+    def bleu(cut):
+        return lambda table, keys: mt.bleu_stats(table, keys, ["ref"], cut)
+
+    def grams(table, keys):
+        return mt.chrf_stats(table, keys, "ref", 2)
+
+    first = ("BLEU-mteval", bleu(mteval_tokens)) if subword is None else ("spBLEU", bleu(subword))
+    return [
+        (*first, mt.BLEU_COLUMNS, mt.bleu_score(smooth)),
+        ("BLEU", bleu(plain_tokens), mt.BLEU_COLUMNS, mt.bleu_score(smooth)),
+        ("chrF2++", grams, mt.chrf_columns(2), mt.chrf_score(2)),
+        ("chrF2", grams, mt.chrf_columns(0), mt.chrf_score(0)),
+        ("edit_rate", lambda table, keys: mt.edit_stats(table, keys, "ref"), ["edits", "ref_words"], mt.edit_rate()),
+    ]
+
+
 def metric_report(
     segments: DataFrame,
     group: list[str],
-    subword: Callable[[Column], Column] = mteval_tokens,
+    subword: Callable[[Column], Column] | None = None,
     resamples: int = RESAMPLES,
     smooth: bool = False,
 ) -> DataFrame:
     """Long metric rows ``(group, metric, mean, se)`` of hypotheses against one reference.
 
-    ``segments`` has ``(seg_id, group, hyp, ref)``. ``subword`` is the tokeniser behind
-    spBLEU; the means and half-widths come from resampling. Without ``smooth`` a resample in which
-    some order of n-grams has no match scores 0.
+    ``segments`` has ``(seg_id, group, hyp, ref)``. ``subword`` is the tokeniser behind spBLEU, such as
+    ``sentence_pieces``; without one that row is BLEU over mteval words and named so. The edit rate knows no block shifts.
+    The means and half-widths come from resampling, one pass over the counts of all metrics side by side. Without
+    ``smooth`` a resample in which some order of n-grams has no match scores 0.
     """
-    key = ["seg_id", *group]
-    seg = F.col("seg_id").cast("string")
-
-    def row(name: str, table: DataFrame, columns: list[str], score: Column) -> DataFrame:
-        scores = mt.bootstrap_scores(table, group, seg, columns, score, resamples)
-        found = mt.confidence(scores, group, resamples)
-        return found.selectExpr(*group, f"'{name}' AS metric", "confidence_mean AS mean", "confidence_var AS se")
-
-    rows = []
-    for name, cut in (("spBLEU", subword), ("BLEU", plain_tokens)):
-        table = stage(mt.bleu_stats(segments, key, ["ref"], cut), "segment-stats")
-        rows.append(row(name, table, mt.BLEU_COLUMNS, mt.bleu_score(smooth)))
-    # The counts with words hold those without.
-    grams = stage(mt.chrf_stats(segments, key, "ref", 2), "segment-stats")
-    for name, order in (("chrF2++", 2), ("chrF2", 0)):
-        rows.append(row(name, grams, mt.chrf_columns(order), mt.chrf_score(order)))
-    edits = stage(mt.edit_stats(segments, key, "ref"), "segment-stats")
-    rows.append(row("TER", edits, ["edits", "ref_words"], mt.edit_rate()))
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
+    metrics = _metrics(subword, smooth)
+    # every count reads the texts and hands on what was counted before
+    kept = ["seg_id", *group, "_hyp", "_ref"]
+    table = segments.select("seg_id", *group, F.col("hyp").alias("_hyp"), F.col("ref").alias("_ref"))
+    places: dict = {}
+    for i, (_, count, columns, _) in enumerate(metrics):
+        if count not in places:
+            places[count] = i
+            found = count(table.withColumns({"hyp": F.col("_hyp"), "ref": F.col("_ref")}), kept)
+            table = found.select(*kept, *[F.col(c).alias(f"_{i}_{c}") for c in found.columns if c not in kept])
+            kept = table.columns
+    counts = stage(table.drop("_hyp", "_ref"), "segment-stats")
+    numbers = [c for c in kept if c[1:2].isdigit()]
+    sums = stage(mt.resampled(counts, group, F.col("seg_id").cast("string"), numbers, resamples), "resamples")
+    out = None
+    for name, count, columns, score in metrics:
+        mine = sums.select(*group, "resample", *[F.col(f"_{places[count]}_{c}").alias(c) for c in columns])
+        found = mt.confidence(mine.select(*group, "resample", score.alias("score")), group, resamples)
+        row = found.selectExpr(*group, f"'{name}' AS metric", "confidence_mean AS mean", "confidence_var AS se")
+        out = row if out is None else out.unionByName(row)
     return out
 
 

@@ -502,8 +502,8 @@ def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPORT_PARTS = {
-    "spBLEU": _bleu_resampled(_mteval_sql), "BLEU": _bleu_resampled(_plain), "chrF2++": _chrf_resampled(2), "chrF2": _chrf_resampled(0),
-    "TER": _edits_resampled(),
+    "BLEU-mteval": _bleu_resampled(_mteval_sql), "BLEU": _bleu_resampled(_plain), "chrF2++": _chrf_resampled(2), "chrF2": _chrf_resampled(0),
+    "edit_rate": _edits_resampled(),
 }
 METRIC_REPORT_SQL = "\nUNION ALL\n".join(f"SELECT lang, '{name}' AS metric, mean, se FROM ({sql}) q" for name, sql in REPORT_PARTS.items())
 
@@ -512,12 +512,22 @@ def metric_report_without_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU rows of a corpus in which no two neighbouring words agree: without smoothing they are 0."""
     docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "lang"))
     segments = docs.selectExpr("doc_id AS seg_id", "lang", "'a b c d e f' AS hyp", "'a x c y e z' AS ref")
-    found = jobs.metric_report(segments, ["lang"]).where("metric IN ('BLEU', 'spBLEU')")
+    found = jobs.metric_report(segments, ["lang"]).where("metric LIKE 'BLEU%'")
     return rounded(found, ["mean", "se"])
 
 
 WITHOUT_MATCH_SQL = """SELECT lang, metric, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS se
-FROM (SELECT DISTINCT lang FROM documents), (SELECT unnest(['BLEU', 'spBLEU']) AS metric)"""
+FROM (SELECT DISTINCT lang FROM documents), (SELECT unnest(['BLEU', 'BLEU-mteval']) AS metric)"""
+
+
+def subword_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU over the pieces of a sentence-piece model, whole segments of every document, per language."""
+    import public_tokenizers
+
+    segments = fx.hyp_ref(spark, sf_dir).selectExpr("seg_id", "lang", "hyp", "ref0 AS ref")
+    stats = mt.bleu_stats(segments, ["seg_id", "lang"], ["ref"], text.sentence_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    scores = mt.corpus_bleu(stats, ["lang"])
+    return rounded(scores, [c for c, t in scores.dtypes if t == "double"])
 
 
 QUERIES = {
@@ -528,6 +538,7 @@ QUERIES = {
     "chrf_words_corpus": (chrf_words_corpus, _chrf_sql(2)),
     "edit_rate": (edit_rate, EDIT_SQL),
     "bleu_bootstrap": (bleu_bootstrap, BOOTSTRAP_SQL),
+    "subword_bleu": (subword_bleu, None),
     "metric_report": (metric_report, METRIC_REPORT_SQL),
     "metric_report_without_match": (metric_report_without_match, WITHOUT_MATCH_SQL),
     "task_scores": (task_scores, TASK_SCORES_SQL),

@@ -155,6 +155,27 @@ def test_resamples_weigh_every_segment_alike(spark):
 def test_metric_report_does_not_smooth(spark):
     rows = spark.createDataFrame([(i, "a b c d e f", "a x c y e z") for i in range(20)], "seg_id long, hyp string, ref string")
     found = {r.metric: r.mean for r in jobs.metric_report(rows, [], resamples=40).collect()}
-    assert found["BLEU"] == found["spBLEU"] == 0
+    assert found["BLEU"] == found["BLEU-mteval"] == 0
     smooth = {r.metric: r.mean for r in jobs.metric_report(rows, [], resamples=40, smooth=True).collect()}
     assert smooth["BLEU"] > 0
+
+
+def test_subword_bleu_counts_the_library_pieces(spark):
+    """Pieces are the library's, and the report names its row after them; counts equal those over the pieces as words."""
+    import public_tokenizers
+    import sentencepiece
+
+    from glossmark.functions.text import sentence_pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["The cat sat on the mat.", "  odd  blanks\tand signs ½ é 日本", "", None, "Der Donaudampfschifffahrtskapitän"]
+    rows = spark.createDataFrame([(i, t, t if i % 2 else (t or "") + " more") for i, t in enumerate(texts)], "seg_id long, hyp string, ref string")
+    cut = sentence_pieces(path)
+    got = rows.select("seg_id", cut(F.col("hyp")).alias("p")).collect()
+    assert all(r.p == model.encode(texts[r.seg_id] or "", out_type=str) for r in got)
+    spaced = rows.select("seg_id", *[F.array_join(cut(F.col(c)), " ").alias(c) for c in ("hyp", "ref")])
+    whole = lambda df, t: mt.corpus_bleu(mt.bleu_stats(df, ["seg_id"], ["ref"], t), []).first()
+    assert whole(rows, cut) == whole(spaced, lambda c: F.filter(F.split(c, " "), lambda w: w != ""))
+    report = {r.metric: r.mean for r in jobs.metric_report(rows, [], cut, resamples=40).collect()}
+    assert set(report) == {"spBLEU", "BLEU", "chrF2++", "chrF2", "edit_rate"}
