@@ -11,6 +11,7 @@ from glossmark.functions import keys
 from glossmark.functions.text import bags, mteval_tokens, plain_tokens, strip
 from glossmark.operators import harvest as hv
 from glossmark.operators import metrics as mt
+from glossmark.operators.shifts import ter_score, ter_stats
 from glossmark.operators import stats
 from glossmark.operators.corpus import filter_pairs, first_pairs
 from glossmark.session import stage
@@ -109,15 +110,19 @@ def metric_report(
     subword: Callable[[Column], Column] | None = None,
     resamples: int = RESAMPLES,
     smooth: bool = False,
+    shifts: bool = False,
 ) -> DataFrame:
     """Long metric rows ``(group, metric, mean, se)`` of hypotheses against one reference.
 
     ``segments`` has ``(seg_id, group, hyp, ref)``. ``subword`` is the tokeniser behind spBLEU, such as
-    ``sentence_pieces``; without one that row is BLEU over mteval words and named so. The edit rate knows no block shifts.
+    ``sentence_pieces``; without one that row is BLEU over mteval words and named so. The edit rate knows no block shifts;
+    with ``shifts`` there is a row TER, which does.
     The means and half-widths come from resampling, one pass over the counts of all metrics side by side. Without
     ``smooth`` a resample in which some order of n-grams has no match scores 0.
     """
     metrics = _metrics(subword, smooth)
+    if shifts:
+        metrics.append(("TER", lambda table, keys: ter_stats(table, keys, "ref"), ["edits", "ref_words"], ter_score()))
     # every count reads the texts and hands on what was counted before
     kept = ["seg_id", *group, "_hyp", "_ref"]
     table = segments.select("seg_id", *group, F.col("hyp").alias("_hyp"), F.col("ref").alias("_ref"))

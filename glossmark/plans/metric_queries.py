@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossmark.functions import text
 from glossmark.operators import harvest as hv
 from glossmark.operators import metrics as mt
+from glossmark.operators import shifts as sh
 from glossmark.operators.corpus import filter_pairs
 from glossmark.plans import fixtures as fx
 from glossmark.plans import jobs
@@ -520,6 +521,18 @@ WITHOUT_MATCH_SQL = """SELECT lang, metric, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS
 FROM (SELECT DISTINCT lang FROM documents), (SELECT unnest(['BLEU', 'BLEU-mteval']) AS metric)"""
 
 
+def translation_edit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits with block shifts in percent of reference words, all segments of every document, per language.
+
+    The hypotheses have the last third of their words in front, so whole runs stand in the wrong place.
+    """
+    words = "split(hyp, ' ')"
+    cut = f"cast(size({words}) * 2 / 3 AS int)"
+    turned = f"array_join(concat(slice({words}, {cut} + 1, size({words})), slice({words}, 1, {cut})), ' ')"
+    segments = fx.hyp_ref(spark, sf_dir).selectExpr("seg_id", "lang", f"{turned} AS hyp", "ref0 AS ref")
+    return rounded(sh.corpus_ter(sh.ter_stats(segments, ["seg_id", "lang"], "ref"), ["lang"]), ["ter"])
+
+
 def subword_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU over the pieces of a sentence-piece model, whole segments of every document, per language."""
     import public_tokenizers
@@ -539,6 +552,7 @@ QUERIES = {
     "edit_rate": (edit_rate, EDIT_SQL),
     "bleu_bootstrap": (bleu_bootstrap, BOOTSTRAP_SQL),
     "subword_bleu": (subword_bleu, None),
+    "translation_edit_rate": (translation_edit_rate, None),
     "metric_report": (metric_report, METRIC_REPORT_SQL),
     "metric_report_without_match": (metric_report_without_match, WITHOUT_MATCH_SQL),
     "task_scores": (task_scores, TASK_SCORES_SQL),

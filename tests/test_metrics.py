@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossmark.functions.text import plain_tokens
 from glossmark.operators import metrics as mt
+from glossmark.operators import shifts as shifts_module
 from glossmark.operators import segments as sg
 from glossmark.plans import jobs
 
@@ -179,3 +180,60 @@ def test_subword_bleu_counts_the_library_pieces(spark):
     assert whole(rows, cut) == whole(spaced, lambda c: F.filter(F.split(c, " "), lambda w: w != ""))
     report = {r.metric: r.mean for r in jobs.metric_report(rows, [], cut, resamples=40).collect()}
     assert set(report) == {"spBLEU", "BLEU", "chrF2++", "chrF2", "edit_rate"}
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def plain_ter(hyp, ref):
+    """The greedy search written out: every run of the hypothesis at every place the rules allow, plain edit distances."""
+    if not ref:
+        return int(bool(hyp))
+    shifts = 0
+    while True:
+        place, wrong_ref, wrong_hyp = shifts_module.Reference(ref).aligned(hyp)
+        found = []
+        for i in range(len(hyp)):
+            for length in range(1, min(10, len(hyp) - i) + 1):
+                for j in range(len(ref) - length + 1):
+                    if hyp[i : i + length] != ref[j : j + length] or not any(wrong_hyp[i : i + length]) or not any(wrong_ref[j : j + length]) or i <= place[j] < i + length:
+                        continue
+                    for k in range(j - 1, j + length):
+                        to = 0 if k < 0 else place[k] + 1
+                        rest = hyp[:i] + hyp[i + length :]
+                        at = to if to <= i else max(i, to - length)
+                        found.append((plain_distance(hyp, ref) - plain_distance(rest[:at] + hyp[i : i + length] + rest[at:], ref), length, -i, -to, at))
+        if not found or max(found)[0] <= 0:
+            return shifts + plain_distance(hyp, ref)
+        _, length, i, _, at = max(found)
+        rest = hyp[:-i] + hyp[-i + length :]
+        hyp, shifts = rest[:at] + hyp[-i : -i + length] + rest[at:], shifts + 1
+
+
+def test_ter_equals_the_search_written_out(spark):
+    rng = random.Random(2)
+    pairs = [("b c a", "a b c"), ("", "a"), ("a", ""), ("", ""), ("the cat sat on", "on the cat sat"), ("A B", "a b"), ("x y z", "p q")]
+    for _ in range(150):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))]
+        cut = rng.randint(0, len(words))
+        turned = words[cut:] + words[:cut]
+        if turned and rng.random() < 0.5:
+            turned[rng.randrange(len(turned))] = "z"
+        pairs.append((" ".join(turned), " ".join(words)))
+    for hyp, ref in pairs:
+        h, r = hyp.lower().split(), ref.lower().split()
+        assert shifts_module.Reference(r).distance(h) == plain_distance(h, r)
+        assert shifts_module.edits(h, r) == plain_ter(h, r), (hyp, ref)
+    assert shifts_module.edits("on the cat sat".split(), "the cat sat on".split()) == 1
+    rows = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)] + [(999, None, "a b"), (1000, "q", None)], "seg_id long, hyp string, ref string")
+    got = {r.seg_id: (r.edits, r.ref_words) for r in shifts_module.ter_stats(rows, ["seg_id"], "ref").collect()}
+    assert all(got[i] == (plain_ter(h.lower().split(), r.lower().split()), len(r.split())) for i, (h, r) in enumerate(pairs))
+    assert got[999] == (2, 2) and got[1000] == (1, 0)
+    report = {r.metric: r.mean for r in jobs.metric_report(rows, [], resamples=40, shifts=True).collect()}
+    assert 0 < report["TER"] < report["edit_rate"]
