@@ -144,20 +144,18 @@ SELECT source_lang, target_lang, train_dataset, test_dataset, dataset_size, trfm
 
 
 def prepared_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dev and test lines of every language as aligned files, prepared into one output.
+    """Dev and test lines of every language as aligned files, prepared into one output, all languages in one job.
 
-    Preparing a corpus again changes nothing; all corpora of the output are read back together.
+    Preparing the corpora again changes nothing; all corpora of the output are read back together.
     """
-    lines = stage(fx.numbered_corpus_lines(spark, sf_dir).filter("split <> 'train'"), "lines")
+    lines = fx.numbered_corpus_lines(spark, sf_dir).select("lang", "split", "line_no", "text")
     root, out = (f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("files", "prepared"))
-    for row in sorted(r["lang"] for r in lines.select("lang").distinct().collect()):
-        for split in ("dev", "test"):
-            own = lines.filter((F.col("lang") == row) & (F.col("split") == split)).orderBy("line_no")
-            own.select("text").coalesce(1).write.text(f"{root}/{row}/{split}")
-        name = {"lang": row, "split": "train", "corpus": f"dev-test/{row}"}
-        for _ in range(2):
-            jobs.prepare_corpus(spark, out, name, f"{root}/{row}/dev", f"{root}/{row}/test", size=50)
-    found = spark.read.parquet(out)
+    sources.write_sets(lines, root, ["lang", "split"])
+    back = sources.read_sets(spark, root, ["lang", "split"])
+    named = back.withColumn("corpus", F.concat(F.lit("dev-test/"), "lang"))
+    dev, test = (named.where(F.col("split") == s).withColumn("split", F.lit("train")) for s in ("dev", "test"))
+    for _ in range(2):
+        found = jobs.prepare_corpora(dev, test, out, size=50)
     return found.select("lang", "corpus", F.col("line_no").cast("long").alias("line_no"), F.md5("source_text").alias("source_md5"), F.md5("target_text").alias("target_md5"))
 
 

@@ -46,6 +46,16 @@ def prepare_corpus(
     return text.write_pairs(pairs, out, {k: corpus[k] for k in CORPUS_PARTITIONS})
 
 
+def prepare_corpora(sources: DataFrame, targets: DataFrame, out: str, size: int = 0) -> DataFrame:
+    """Align, filter and cut any number of corpora at once; returns all corpora that ``out`` then holds.
+
+    Both sides have ``CORPUS_PARTITIONS``, ``line_no`` and ``text`` of raw text files, whose line ends count in the length
+    filter. Corpora that ``out`` already holds are left as they are. ``size`` limits the training pairs of each (0: no limit).
+    """
+    pairs = filter_pairs(text.zip_lines(sources, targets, CORPUS_PARTITIONS), count_newline=True)
+    return text.write_corpora(first_pairs(pairs, CORPUS_PARTITIONS, size), out, CORPUS_PARTITIONS)
+
+
 def corpus_name(lang: Column, split: str, corpus: Column, side: Column, size: Column | None = None) -> Column:
     """Identity of a corpus file: ``<lang>/<split>/<corpus>/<split>_<side>[_<size>]``."""
     file = [F.lit(split), side] + ([size.cast("string")] if size is not None else [])

@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmark.session import join_bounded
 
 TRANSLATION_SCHEMA = "translation map<string,string>"
 
 
-def number_lines(raw: DataFrame) -> DataFrame:
-    """``(path, block, seq, text)`` rows to ``(path, line_no, text)`` with dense numbers.
+def number_lines(raw: DataFrame, keys: list[str] = ("path",)) -> DataFrame:
+    """``(keys, block, seq, text)`` rows to ``(keys, line_no, text)`` with dense numbers; blocks follow their order.
 
     A block is read by one task in file order, so ``seq`` goes up by one from line to line of a
     block: a line's place is its distance from the block's first. Block counts give each block's
     first number; that table is as small as the number of blocks, and the text is neither sorted
     nor, up to the broadcast limit, shuffled.
     """
-    counts = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_start"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("path", "block", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
-    return join_bounded(raw, first, ["path", "block"]).select(
-        "path", (F.col("_first") + F.col("seq") - F.col("_start")).alias("line_no"), "text"
+    keys = list(keys)
+    counts = raw.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_start"))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*keys, "block", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    return join_bounded(raw, first, [*keys, "block"]).select(
+        *keys, (F.col("_first") + F.col("seq") - F.col("_start")).alias("line_no"), "text"
     )
 
 
@@ -41,6 +43,31 @@ def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
     return number_lines(raw)
 
 
+def write_sets(lines: DataFrame, path: str, keys: list[str]) -> None:
+    """Line-numbered texts of any number of corpora as plain text, one job for all: a folder per corpus.
+
+    ``lines`` has ``keys``, ``line_no`` and ``text``. Rows are dealt by range of (keys, line number), so a corpus is as many
+    files as its share of the lines, and its files follow each other by name.
+    """
+    spark = lines.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = lines.repartitionByRange(parts, *keys, "line_no").sortWithinPartitions(*keys, "line_no")
+    laid.select(*keys, F.col("text").alias("value")).write.partitionBy(*keys).option("lineSep", "\n").text(path)
+
+
+def read_sets(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """``(keys, line_no, text)`` of a folder that ``write_sets`` wrote.
+
+    A corpus is the lines of its files in the order of their names; lines are numbered by the counts of blocks.
+    """
+    schema = ", ".join(["value string", *[f"`{k}` string" for k in keys]])
+    raw = spark.read.schema(schema).option("lineSep", "\n").text(path).select(
+        *keys, F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
+        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("text"),
+    )
+    return number_lines(raw, keys).select(*keys, "line_no", "text")
+
+
 def read_parallel(spark: SparkSession, source_path: str, target_path: str) -> DataFrame:
     """Two aligned files, zipped by line number and cut to the shorter one."""
     return zip_lines(read_lines(spark, source_path), read_lines(spark, target_path))
@@ -101,6 +128,20 @@ def write_pairs(pairs: DataFrame, path: str, values: dict[str, str]) -> DataFram
     return found.withColumns({k: F.lit(v) for k, v in values.items()})
 
 
+def write_corpora(pairs: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Write every corpus of ``pairs`` that ``path`` does not have yet, all in one job, and read the whole folder."""
+    spark = pairs.sparkSession
+    schema = T.StructType([*[f for f in pairs.schema if f.name not in keys], *[T.StructField(k, T.StringType()) for k in keys]])
+    try:
+        there = spark.read.schema(schema).parquet(path).select(*keys).distinct()
+        pairs = join_bounded(pairs, there, keys, "left_anti")
+    except AnalysisException:  # the first run
+        pass
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs.repartitionByRange(parts, *keys, "line_no").write.mode("append").partitionBy(*keys).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_side(pairs: DataFrame, text: Column, path: str) -> None:
     """One side as plain text, in line order."""
     ordered = pairs.orderBy("line_no")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossmark.operators import harvest as hv
 from glossmark.plans import jobs
 from glossmark.sources import reports, tables
+from glossmark.sources import text as sources
 from glossmark.sources.text import read_lines, read_parallel
 
 REPORT = """sacreBLEU says hello
@@ -148,7 +149,7 @@ def test_metric_job(spark, tmp_path):
     )
     out = jobs.score_hypotheses(jobs.read_hypotheses(spark, str(tmp_path)), refs, resamples=40)
     got = {r.metric: r["mean"] for r in out.collect()}
-    assert got["BLEU"] == pytest.approx(100) and got["chrF2++"] == pytest.approx(100) and got["TER"] == 0
+    assert got["BLEU"] == pytest.approx(100) and got["chrF2++"] == pytest.approx(100) and got["edit_rate"] == 0
 
 
 def test_tables(spark, tmp_path):
@@ -164,3 +165,34 @@ def test_tables(spark, tmp_path):
     assert codes == {"ace": "ace_Arab", "afr": None}
     rows = spark.createDataFrame([("q", "r", "test"), ("x", "y", "train")], "utt string, annot_utt string, split string")
     assert [tuple(r) for r in tables.task_rows(rows, "slot", "test").collect()] == [("q", "r")]
+
+
+def test_text_sets_keep_their_line_order(spark, tmp_path):
+    """Many corpora in one job; a large one is several files, whose lines are numbered through, also over blocks of files."""
+    rows = [("en", "dev", i, f"line {i} é" if i % 3 else "") for i in range(4000)] + [("d/e", "dev", i, f"x{i}") for i in range(7)] + [("d/e", "test", 0, " y ")]
+    lines = spark.createDataFrame(rows, "lang string, split string, line_no long, text string").repartition(5)
+    sources.write_sets(lines, str(tmp_path / "sets"), ["lang", "split"])
+    assert len(list((tmp_path / "sets" / "lang=en" / "split=dev").glob("part-*"))) > 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted(tuple(r) for r in sources.read_sets(spark, str(tmp_path / "sets"), ["lang", "split"]).collect()) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_prepare_corpora_together(spark, tmp_path):
+    def side(corpora):
+        rows = [(lang, "train", corpus, i, t) for (lang, corpus), texts in corpora.items() for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "lang string, split string, corpus string, line_no long, text string")
+
+    source = {("ind", "bible"): ["aa", "", "bb", "cc"], ("jav", "news/2020"): ["a b", "c"]}
+    target = {("ind", "bible"): list("12345"), ("jav", "news/2020"): ["x", "y", "z"]}
+    out = str(tmp_path / "out")
+    got = jobs.prepare_corpora(side(source), side(target), out, size=2)
+    want = {("ind", 0, "aa", "1"), ("ind", 2, "bb", "3"), ("jav", 0, "a b", "x"), ("jav", 1, "c", "y")}
+    assert {(r.lang, r.line_no, r.source_text, r.target_text) for r in got.collect()} == want
+    more = {("ind", "bible"): ["other"] * 9, ("sun", "cc"): ["ok"]}
+    again = jobs.prepare_corpora(side(more), side(more), out)  # what is there stays, the new corpus comes in
+    assert {(r.lang, r.line_no, r.source_text, r.target_text) for r in again.collect()} == want | {("sun", 0, "ok", "ok")}
