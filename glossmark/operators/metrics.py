@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossmark.functions.keys import ratio
 from glossmark.functions.text import edge_split_words, mteval_tokens, plain_tokens
-from glossmark.operators.segments import char_counts, resample_sums, word_counts, word_symbols
+from glossmark.operators.segments import char_counts, exact_resample_sums, resample_sums, word_counts, word_symbols
 from glossmark.session import spread
 
 BLEU_ORDER = 4
@@ -191,21 +191,25 @@ def bootstrap_scores(
     score: Column,
     resamples: int = 1000,
     seed: int = 12345,
+    exact: bool = False,
 ) -> DataFrame:
     """Score of each resample."""
-    sums = resampled(stats, group, key, columns, resamples, seed)
+    sums = resampled(stats, group, key, columns, resamples, seed, exact)
     return sums.select(*group, "resample", score.alias("score"))
 
 
 def resampled(
-    stats: DataFrame, group: list[str], key: Column, columns: list[str], resamples: int = 1000, seed: int = 12345
+    stats: DataFrame, group: list[str], key: Column, columns: list[str], resamples: int = 1000, seed: int = 12345, exact: bool = False
 ) -> DataFrame:
     """Sums of ``columns`` in each resample. A segment's weight in a resample is Poisson(1) from a hash.
 
     Poisson weights need no draw over the whole corpus, so segments are weighted where
-    they are and only ``resamples`` partial sums per task are shuffled.
+    they are and only ``resamples`` partial sums per task are shuffled. With ``exact`` every resample draws
+    exactly as many segments as its group has.
     """
     rows = stats.select(*group, *[F.col(c).cast("long").alias(c) for c in columns], key.alias("_k"))
+    if exact:
+        return exact_resample_sums(rows, group, "_k", columns, resamples, seed).drop("_drawn")
     drawn = resample_sums(rows, group, "_k", columns, resamples, seed, POISSON_BOUNDS, _DRAWS_PER_HASH)
     return drawn.groupBy(*group, "resample").agg(*[F.sum(c).alias(c) for c in columns])
 

@@ -10,11 +10,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossmark.session import join_bounded, stage
+
 # Tokens of all sides that are counted together; a longer segment is a slice of its own.
 SLICE_TOKENS = 1_000_000
 # Cells (groups x resamples x columns) held by a task before they are handed on.
@@ -145,6 +148,54 @@ def word_symbols(left: Column, right: Column) -> Column:
     return symbols(left, right)
 
 
+def exact_resample_sums(
+    rows: DataFrame, group: list[str], key: str, columns: list[str], resamples: int, seed: int, bucket_rows: int = 4096
+) -> DataFrame:
+    """Sums of ``columns`` per group and resample; a resample draws exactly as many segments as its group has, with replacement.
+
+    The draws are dealt out in two steps: over buckets of segments by their counted sizes, the same in every task, and
+    then over the segments of a bucket in the order of their keys. Segments are shuffled by bucket, numbers only; a bucket
+    has about ``bucket_rows`` of them. ``_drawn`` counts the draws.
+    """
+    types = {f.name: f.dataType for f in rows.schema}
+    names = [f"_g{i}" for i in range(len(group))]
+    rows = rows.select(*[F.col(g).alias(n) for g, n in zip(group, names)], F.col(key).alias("_k"), *columns)
+    rows = rows.withColumn("_group", F.xxhash64(F.lit(seed), *names))
+    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    count = F.ceil(F.col("_n") / F.lit(bucket_rows))
+    placed = stage(join_bounded(rows, sizes, ["_group"]).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_k"), count)), "segments")
+    filled: dict[int, dict[int, int]] = {}
+    for g, b, n in placed.groupBy("_group", "_bucket").agg(F.count(F.lit(1))).collect():  # one row per bucket
+        filled.setdefault(g, {})[b] = n
+
+    def of_bucket(g: int, b: int) -> np.ndarray:
+        """Draws of a bucket in every resample."""
+        buckets = sorted(filled[g])
+        share = np.array([filled[g][x] for x in buckets], float)
+        dealt = np.random.default_rng([seed, g % (1 << 63)]).multinomial(int(share.sum()), share / share.sum(), resamples)
+        return dealt[:, buckets.index(b)]
+
+    schema = T.StructType(
+        [T.StructField(n, types[g]) for g, n in zip(group, names)]
+        + [T.StructField("resample", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ["_drawn", *columns]]
+    )
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_k", kind="stable")
+        g, b, n = int(frame["_group"].iloc[0]), int(frame["_bucket"].iloc[0]), len(frame)
+        drawn = np.random.default_rng([seed, g % (1 << 63), b]).multinomial(of_bucket(g, b), np.full(n, 1 / n))
+        numbers = np.c_[np.ones(n), frame[columns].to_numpy(float)]
+        sums = pd.DataFrame((drawn @ numbers).astype(np.int64), columns=["_drawn", *columns])
+        for name in reversed(names):
+            sums.insert(0, name, [frame[name].iloc[0]] * resamples)
+        sums.insert(len(names), "resample", np.arange(resamples, dtype=np.int32))
+        return sums
+
+    parts = placed.groupBy("_group", "_bucket").applyInPandas(work, schema)
+    sums = parts.groupBy(*names, "resample").agg(*[F.sum(c).alias(c) for c in ["_drawn", *columns]])
+    return sums.select(*[F.col(n).alias(g) for g, n in zip(group, names)], "resample", "_drawn", *columns)
+
+
 def resample_sums(
     rows: DataFrame, group: list[str], key: str, columns: list[str], resamples: int, seed: int, bounds: list[int], draws: int
 ) -> DataFrame:

@@ -121,13 +121,15 @@ def metric_report(
     resamples: int = RESAMPLES,
     smooth: bool = False,
     shifts: bool = False,
+    exact: bool = False,
 ) -> DataFrame:
     """Long metric rows ``(group, metric, mean, se)`` of hypotheses against one reference.
 
     ``segments`` has ``(seg_id, group, hyp, ref)``. ``subword`` is the tokeniser behind spBLEU, such as
     ``sentence_pieces``; without one that row is BLEU over mteval words and named so. The edit rate knows no block shifts;
     with ``shifts`` there is a row TER, which does.
-    The means and half-widths come from resampling, one pass over the counts of all metrics side by side. Without
+    The means and half-widths come from resampling, one pass over the counts of all metrics side by side; with ``exact``
+    a resample has exactly as many segments as its group. Without
     ``smooth`` a resample in which some order of n-grams has no match scores 0.
     """
     metrics = _metrics(subword, smooth)
@@ -145,7 +147,7 @@ def metric_report(
             kept = table.columns
     counts = stage(table.drop("_hyp", "_ref"), "segment-stats")
     numbers = [c for c in kept if c[1:2].isdigit()]
-    sums = stage(mt.resampled(counts, group, F.col("seg_id").cast("string"), numbers, resamples), "resamples")
+    sums = stage(mt.resampled(counts, group, F.col("seg_id").cast("string"), numbers, resamples, exact=exact), "resamples")
     out = None
     for name, count, columns, score in metrics:
         mine = sums.select(*group, "resample", *[F.col(f"_{places[count]}_{c}").alias(c) for c in columns])

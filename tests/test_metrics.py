@@ -237,3 +237,23 @@ def test_ter_equals_the_search_written_out(spark):
     assert got[999] == (2, 2) and got[1000] == (1, 0)
     report = {r.metric: r.mean for r in jobs.metric_report(rows, [], resamples=40, shifts=True).collect()}
     assert 0 < report["TER"] < report["edit_rate"]
+
+
+def test_exact_resamples_draw_every_group_whole(spark):
+    """Weights of every resample add up to the group's size, whatever the buckets and partitions, and vary as draws with replacement do."""
+    rows = spark.createDataFrame([(f"s{i}", "a" if i < 300 else "b", 1 << (i % 3 * 20), i) for i in range(340)], "k string, lang string, bit long, x long")
+    got = {}
+    for parts in (1, 5):
+        sums = sg.exact_resample_sums(rows.repartition(parts), ["lang"], "k", ["bit", "x"], 200, 7, bucket_rows=32)
+        got[parts] = sorted(tuple(r) for r in sums.collect())
+    assert got[1] == got[5] and len(got[1]) == 400
+    for lang, n in (("a", 300), ("b", 40)):
+        mine = [r for r in got[1] if r[0] == lang]
+        assert all(r[2] == n for r in mine)
+        assert all((r[3] & 0xFFFFF) + (r[3] >> 20 & 0xFFFFF) + (r[3] >> 40) == n for r in mine)
+        values = [i for i in range(340) if (i < 300) == (lang == "a")]
+        means = np.array([r[4] / n for r in mine])
+        assert abs(means.mean() - np.mean(values)) < 4 * np.std(values) / math.sqrt(n * 200)
+        assert means.std() == pytest.approx(np.std(values) / math.sqrt(n), rel=0.2)
+    report = jobs.metric_report(rows.selectExpr("k AS seg_id", "lang", "'a b c d e' AS hyp", "'a b c d x' AS ref"), ["lang"], resamples=40, exact=True)
+    assert report.where("metric = 'edit_rate' AND mean = 20 AND se = 0").count() == 2
