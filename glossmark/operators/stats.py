@@ -71,6 +71,30 @@ def vocabulary_stats(sides: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+#: Distinct tokens, as a power of two, up to which the sketches of a corpus are exact; about 0.2 % of error beyond.
+SKETCH_SIZE = 18
+
+
+def sketched_vocabulary_stats(tokenised: DataFrame, group: list[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """The columns of ``vocabulary_stats`` from mergeable sketches of distinct tokens, without a row per token and corpus.
+
+    Shared vocabularies are set intersections of the sketches. Only sketches are shuffled, of 2^``size`` entries at most each.
+    """
+    rows = bagged(tokenised).select(*group, "split", F.inline("bag"))
+    sketches = rows.groupBy(*group).agg(
+        *[F.theta_sketch_agg(F.when(F.col("split") == s, F.col("token")), size).alias(f"_{s}") for s in SPLITS],
+        *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(f"{s}_tokens") for s in SPLITS],
+    )
+
+    def number(sketch: Column) -> Column:
+        return F.coalesce(F.theta_sketch_estimate(sketch), F.lit(0)).cast("long")
+
+    return sketches.select(
+        *group, *[number(F.col(f"_{s}")).alias(f"{s}_word_vocab_size") for s in SPLITS], *[f"{s}_tokens" for s in SPLITS],
+        *[number(F.theta_intersection(f"_{a}", f"_{b}")).alias(f"{a}_{b}_shared") for a, b in PAIRS],
+    )
+
+
 def overlap(shared: Column, a: Column, b: Column) -> Column:
     """Shared vocabulary over the sum (not the union) of both vocabularies."""
     return ratio(shared, a + b)

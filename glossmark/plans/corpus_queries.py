@@ -146,6 +146,14 @@ def corpus_vocab_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table, floats)
 
 
+def corpus_vocab_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from sketches of distinct words, which are exact for vocabularies of this size."""
+    lines = fx.corpus_lines(spark, sf_dir)
+    vocabulary = stats.sketched_vocabulary_stats(bags(lines, "word"), LANG)
+    table = stats.derived_stats(stats.corpus_sizes(lines, LANG).join(vocabulary, LANG, "left"))
+    return rounded(table, [c for c, t in table.dtypes if t == "double"])
+
+
 SIDES_SQL = """
 sides AS (
   SELECT lang, token, count(*) FILTER (WHERE split = 'train') AS train,
@@ -468,6 +476,7 @@ QUERIES = {
     "word_counts": (word_counts, WORD_COUNTS_SQL),
     "clean_word_counts": (clean_word_counts, CLEAN_WORDS_SQL),
     "corpus_vocab_ttr": (corpus_vocab_ttr, VOCAB_TTR_SQL),
+    "corpus_vocab_sketched": (corpus_vocab_sketched, VOCAB_TTR_SQL),
     "corpus_jsd": (corpus_jsd, JSD_SQL),
     "corpus_tfidf_distance": (corpus_tfidf_distance, TFIDF_SQL),
     "embedding_distance": (embedding_distance, EMBED_SQL),

@@ -106,3 +106,16 @@ def test_experiment_features_match_group_features(spark):
         assert got[1][f"{a}_{b}_jsd"] == pytest.approx(jsd[f"{a}_{b}_jsd"])
     assert got[2].train_test_tf_idf is None and got[2].test_size is None
     assert got[2].train_dev_tf_idf == got[1].train_dev_tf_idf
+
+
+@pytest.mark.parametrize("size, error", [(18, 0), (9, 0.15)])
+def test_sketched_vocabularies(spark, size, error):
+    """Exact while a sketch holds all distinct tokens, near it beyond; sketches of parts merge to that of the whole."""
+    rng = random.Random(size)
+    rows = [(lang, split, [f"{lang}{rng.randint(low, low + 3000)}" for _ in range(40)]) for lang in "xy" for split, low in (("train", 0), ("dev", 1500), ("test", 9000)) for _ in range(120)]
+    lines = spark.createDataFrame([r for r in rows if r[:2] != ("y", "test")], "lang string, split string, tokens array<string>")
+    want = {r.lang: r for r in stats.vocabulary_stats(stats.side_counts(stats.token_counts(lines, ["lang", "split"]), ["lang"]), ["lang"]).collect()}
+    for parts in (1, 6):
+        for r in stats.sketched_vocabulary_stats(lines.repartition(parts), ["lang"], size).collect():
+            for c, v in want[r.lang].asDict().items():
+                assert c == "lang" or abs(r[c] - v) <= error * max(v, 1000 if error else 0), (c, r[c], v)
