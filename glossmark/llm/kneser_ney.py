@@ -36,13 +36,15 @@ from glossmark.llm.substrings import _Hashes
 from glossmark.session import staging_dir
 
 SHARD_TOKENS = 4_000_000
+# Bytes of text behind one shard of words.
+WORD_SHARD_BYTES = 64 << 20
 SLICE_TOKENS = 500_000
 MAX_WORDS = 1 << 31
 # Neither can be a word: words hold no blanks.
 BEGIN, END = b" <s>", b" </s>"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HALF = np.uint64(32)
-CONTEXT = np.dtype([("v", "<u4"), ("types", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("total", "<i8")])
+CONTEXT = np.dtype([("v", "<u4"), ("types", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("total", "<u8")])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -285,7 +287,7 @@ def _write_pairs(model: Model):
         for k in (1, 2):
             context[f"n{k}"] = np.add.reduceat((counts == k).astype(np.int64), starts)
         store = Store(model.uri)
-        store.write(f"pairs-{shard}", keys.astype("<u8"), counts.astype("<u4"))
+        store.write(f"pairs-{shard}", keys.astype("<u8"), counts.astype("<u8"))
         store.write(f"contexts-{shard}", context)
         ends = {int(c["v"]): [int(c[f]) for f in ("types", "n1", "n2", "total")] for c in context[[0, -1]]}
         info = {"pairs": shard, "n": len(keys), "contexts": len(context), "ends": ends, "of": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}
@@ -336,7 +338,8 @@ def train(df: DataFrame, text: str = "text", shards: int | None = None) -> Model
     uri = f"{staging_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
     Store(uri).create()
     texts = df.select(F.col(f"`{text}`").alias("text"))
-    parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // WORD_SHARD_BYTES))
 
     def grouped(rows: DataFrame, work, n: int) -> DataFrame:
         return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(by_group(["shard"], work), _PACKED_DDL)
@@ -442,7 +445,7 @@ class Scorer:
             known = own[: 8 * n].view("<u8")
             place = np.minimum(np.searchsorted(known, keys[at]), n - 1)
             hit = known[place] == keys[at]
-            out[at[hit]] = own[8 * n :].view("<u4")[place[hit]]
+            out[at[hit]] = own[8 * n :].view("<u8")[place[hit]].astype(np.int64)
         return out
 
     def score(self, texts: list) -> Iterator[dict]:
