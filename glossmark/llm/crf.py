@@ -250,7 +250,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Field:
 def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed: int = 0) -> Field:
     """Fit on at most ``rows`` rows a language of ``df``, drawn by a seeded hash of the key.
 
-    Rows without language or text are left out. Only the sample comes to the driver: a threshold on the
+    Rows without language or text are left out; repeated rows count as often as they occur; of a long text the first ``chars``
+    signs are fitted. An empty table gives a field that knows no language. Only the sample comes to the driver: a threshold on the
     hash is worked out per language from its row count, and the sample is cut to the bound.
     """
     labelled = df.select(

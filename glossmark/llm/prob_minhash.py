@@ -328,7 +328,8 @@ def label(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options)
 
     Exactly one row of a class is kept: that of the smallest id. Rows equal in id and text, or different
     texts of one id in one class, are told apart by hashes, and so only one of them is kept. Rows without
-    words are classes of their own and are all kept. A class whose ids are all null has a null id.
+    words are classes of their own and are all kept. A class whose ids are all null has a null id. Texts are taken
+    whole, however long; an empty table gives no rows.
     """
     rows = _classified(df.select(doc_id, text), doc_id, text, **options)
     own = F.col(f"row.`{doc_id}`").cast("long")
