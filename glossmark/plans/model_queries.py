@@ -25,7 +25,7 @@ PROXY = ft.Toggles(
     with_small100_ft=False, with_small100_noft=False, with_model_noft=False,
 )
 BASIC = {"cv": 10, "pipeline_type": "basic", "degree": 2}
-# The published searches. Leaf penalties and the factorisation's learning rate have no counterpart and change nothing.
+# The published searches. The factorisation's learning rate, its decay and its epochs change nothing.
 DEPTHWISE = {
     "hpm_search_mode": "bayes_search", "cv": 10, "n_iter": 50,
     "param_space": {
