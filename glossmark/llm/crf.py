@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ DECAY = 1e-5
 STRETCH = 60
 # Words of a memo of evidence; it starts anew when full.
 MEMO = 200_000
-SLICE_WORDS = 250_000
+SLICE_WORDS = 200_000
+PART_ROWS = 500
 _WORD = re.compile(r"[^\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -341,7 +343,9 @@ def language(spark: SparkSession, field_: Field, text: Column) -> Column:
             if not own.languages:
                 out = [nothing] * len(batch)
             else:
-                for words, post in label_words(own, batch.to_pylist(), memo):
+                # texts become strings a part of a batch at a time
+                parts = (batch.slice(a, PART_ROWS).to_pylist() for a in range(0, len(batch), PART_ROWS))
+                for words, post in chain.from_iterable(label_words(own, part, memo) for part in parts):
                     if not words:
                         out.append(nothing)
                         continue
