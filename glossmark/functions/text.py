@@ -169,19 +169,25 @@ def sentence_pieces(path: str) -> Callable[[Column], Column]:
     return lambda text: cut(text)
 
 
-def mteval_tokens(text: Column) -> Column:
-    """Tokens of the mteval-13a scheme."""
-    for pattern, replacement in MTEVAL_CLEANUP:
-        text = F.regexp_replace(text, pattern, replacement)
+def mteval_text(text: Column) -> Column:
+    """A text rewritten by the mteval-13a scheme; its tokens stand between white space."""
+    for literal, replacement in MTEVAL_CLEANUP:
+        text = F.replace(text, F.lit(literal.replace(r"\n", "\n")), F.lit(replacement))
     text = F.concat(F.lit(" "), text, F.lit(" "))
     for pattern, replacement in MTEVAL_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+        # a blank stays one: blanks around it change no token and no match of a later rule
+        text = F.regexp_replace(text, pattern.replace(" -&", "!-&"), replacement)
+    return text
+
+
+def mteval_tokens(text: Column) -> Column:
+    """Tokens of the mteval-13a scheme."""
+    return plain_tokens(mteval_text(text))
 
 
 def plain_tokens(text: Column) -> Column:
     """No tokenisation beyond white space."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 # ASCII punctuation, a fixed value of the word n-gram part of chrF++.

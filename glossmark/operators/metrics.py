@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmark.functions.keys import ratio
-from glossmark.functions.text import edge_split_words, mteval_tokens, plain_tokens
-from glossmark.operators.segments import char_counts, exact_resample_sums, resample_sums, word_counts, word_symbols
-from glossmark.session import spread
+from glossmark.functions.text import mteval_text, mteval_tokens, plain_tokens
+from glossmark.operators.segments import char_counts, exact_resample_sums, resample_sums, word_counts, word_edits
 
 BLEU_ORDER = 4
 CHRF_CHARS = 6
@@ -24,6 +23,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+# Tokenisers that cut a rewritten text at white space: the batch that counts does the cutting, so only texts are handed to it.
+_REWRITES = {mteval_tokens: mteval_text, plain_tokens: lambda text: text}
+
+
+def bleu_counts(
+    hyp: Column, refs: list[Column], tokenise: Callable[[Column], Column] = mteval_tokens, lowercase: bool = False
+) -> Column:
+    """Struct ``hyp_len``, closest ``ref_len`` (tie: shorter) and n-gram counts of a segment."""
+    prepare = ascii_lower if lowercase else (lambda c: c)
+    cut = _REWRITES.get(tokenise, tokenise)
+    return word_counts([cut(prepare(F.coalesce(c, F.lit("")))) for c in (hyp, *refs)], BLEU_ORDER)
+
+
+def bleu_fields() -> list[str]:
+    return ["hyp_len", "ref_len"] + [f"{n}_{k}" for k in range(1, BLEU_ORDER + 1) for n in ("hyp", "ref", "match")]
+
+
 def bleu_stats(
     segments: DataFrame,
     keys: list[str],
@@ -35,19 +51,9 @@ def bleu_stats(
 
     Segments stay where they are: nothing is shuffled before the sums of a group.
     """
-    prepare = ascii_lower if lowercase else (lambda c: c)
-    names = ["hyp", *refs]
-    tokenised = spread(segments).select(
-        *keys, *[tokenise(prepare(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in names]
-    )
-    hyp_len = F.size("hyp")
-    closest = F.array_min(
-        F.array(*[F.struct(F.abs(F.size(r) - hyp_len).alias("gap"), F.size(r).alias("len")) for r in refs])
-    )
-    counts = word_counts([F.col(c) for c in names], BLEU_ORDER)
-    return tokenised.select(
-        *keys, hyp_len.alias("hyp_len"), closest["len"].alias("ref_len"), counts.alias("_counts")
-    ).select(*keys, "hyp_len", "ref_len", "_counts.*")
+    counts = bleu_counts(F.col("hyp"), [F.col(r) for r in refs], tokenise, lowercase)
+    lengths = [F.col(f"_counts.{c}").cast("int").alias(c) for c in ("hyp_len", "ref_len")]
+    return segments.select(*keys, counts.alias("_counts")).select(*keys, *lengths, *[f"_counts.{c}" for c in bleu_fields()[2:]])
 
 
 BLEU_COLUMNS = ["hyp_len", "ref_len"] + [
@@ -97,22 +103,29 @@ def corpus_bleu(stats: DataFrame, group: list[str], smooth: bool = False) -> Dat
     )
 
 
+def chrf_counts(hyp: Column, ref: Column, word_order: int = 0) -> list[Column]:
+    """Structs of the character n-gram counts and, if asked for, the word n-gram counts of a segment."""
+    sides = [F.coalesce(c, F.lit("")) for c in (hyp, ref)]
+    found = [char_counts(sides, CHRF_CHARS)]
+    return found + ([word_counts(sides, word_order, CHRF_CHARS + 1, edges=True)] if word_order else [])
+
+
+def chrf_fields(word_order: int, structs: list[str]) -> list[Column]:
+    """The columns of ``chrf_counts``. A segment whose reference has no n-gram of an order adds no hypothesis count there."""
+    found = []
+    for k in range(1, CHRF_CHARS + word_order + 1):
+        own = structs[0] if k <= CHRF_CHARS else structs[1]
+        hyp, ref, match = (F.col(f"{own}.{n}_{k}") for n in ("hyp", "ref", "match"))
+        found += [F.when(ref > 0, hyp).otherwise(0).alias(f"hyp_{k}"), ref.alias(f"ref_{k}"), match.alias(f"match_{k}")]
+    return found
+
+
 def chrf_stats(segments: DataFrame, keys: list[str], ref: str, word_order: int = 0) -> DataFrame:
     """Character 1-6-gram and word n-gram counts per segment, one reference."""
-
-    sides = [F.coalesce(F.col(c), F.lit("")) for c in ("hyp", ref)]
-    chars = char_counts([F.regexp_replace(t, r"(?U)\s+", "") for t in sides], CHRF_CHARS)
-    counted = spread(segments).select(*keys, *[edge_split_words(t).alias(f"_{i}") for i, t in enumerate(sides)], chars.alias("_chars"))
-    found = [F.col("_chars.*")]
-    if word_order:
-        counted = counted.withColumn("_words", word_counts([F.col("_0"), F.col("_1")], word_order, CHRF_CHARS + 1))
-        found.append(F.col("_words.*"))
-    stats = counted.select(*keys, *found)
-    # A segment whose reference has no n-gram of an order adds no hypothesis count there.
-    orders = range(1, CHRF_CHARS + word_order + 1)
-    return stats.withColumns(
-        {f"hyp_{k}": F.when(F.col(f"ref_{k}") > 0, F.col(f"hyp_{k}")).otherwise(0) for k in orders}
-    )
+    counts = chrf_counts(F.col("hyp"), F.col(ref), word_order)
+    names = [f"_counts_{i}" for i in range(len(counts))]
+    counted = segments.select(*keys, *[c.alias(n) for c, n in zip(counts, names)])
+    return counted.select(*keys, *chrf_fields(word_order, names))
 
 
 def chrf_columns(word_order: int) -> list[str]:
@@ -143,16 +156,14 @@ def corpus_chrf(stats: DataFrame, group: list[str], word_order: int = 0) -> Data
     return sums.select(*group, chrf_score(word_order).alias("chrf"))
 
 
-def edit_stats(segments: DataFrame, keys: list[str], ref: str) -> DataFrame:
-    """Word edits (insert, delete, replace; no block shifts) and reference words.
+def edit_counts(hyp: Column, ref: Column) -> Column:
+    """Struct ``edits, ref_words`` of a segment."""
+    return word_edits(F.coalesce(hyp, F.lit("")), F.coalesce(ref, F.lit("")))
 
-    Words become single characters, so the built-in edit distance counts words.
-    """
-    tokenised = spread(segments).select(
-        *keys, *[plain_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("hyp", ref)]
-    )
-    coded = tokenised.select(*keys, F.size(ref).cast("long").alias("ref_words"), word_symbols(F.col("hyp"), F.col(ref)).alias("_s"))
-    return coded.select(*keys, F.levenshtein("_s.left", "_s.right").cast("long").alias("edits"), "ref_words")
+
+def edit_stats(segments: DataFrame, keys: list[str], ref: str) -> DataFrame:
+    """Word edits (insert, delete, replace; no block shifts) and reference words."""
+    return segments.select(*keys, edit_counts(F.col("hyp"), F.col(ref)).alias("_s")).select(*keys, "_s.edits", "_s.ref_words")
 
 
 def edit_rate() -> Column:
