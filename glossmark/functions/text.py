@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_PIECES = 1023
 MIN_CHARS = 2
+# Text, and rows of tokens, of a batch that are objects at a time.
+PIECE_BYTES = 1 << 20
+PIECE_ROWS = 512
 
 # Everything Python's str.strip() removes, for the JVM regex engine.
 _BLANK = r"[\s\x1c-\x1f]"
@@ -57,20 +60,36 @@ def _clean(text: str) -> str:
     return unicodedata.normalize("NFD", text.lower()).translate(_keep_table)
 
 
-@F.pandas_udf(T.StringType())
-def normalise(texts: pd.Series) -> pd.Series:
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch as strings, ``PIECE_BYTES`` at a time, one text at least; so few are held besides the batch."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.binary_length(texts).fill_null(0).to_numpy().tolist()):
+        if held and held + size > PIECE_BYTES:
+            yield texts.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += size
+    yield texts.slice(start).to_pylist()
+
+
+def _mapped(function: Callable[[str], str], texts: pa.Array) -> pa.Array:
+    """``function`` of each text; null stays null."""
+    return pa.concat_arrays([pa.array([None if t is None else function(t) for t in piece], pa.string()) for piece in _pieces(texts)])
+
+
+@F.arrow_udf(T.StringType())
+def normalise(texts: pa.Array) -> pa.Array:
     """Lower case, decompose, then keep letters, numbers and white space."""
-    return texts.map(_clean, na_action="ignore")
+    return _mapped(_clean, texts)
 
 
-@F.pandas_udf(T.StringType())
-def _packed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "".join(_clean(t).split()), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _packed(texts: pa.Array) -> pa.Array:
+    return _mapped(lambda t: "".join(_clean(t).split()), texts)
 
 
-@F.pandas_udf(T.StringType())
-def _spaced(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join(_clean(t).split()), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _spaced(texts: pa.Array) -> pa.Array:
+    return _mapped(lambda t: " ".join(_clean(t).split()), texts)
 
 
 def _cut(text: Column, separator: str) -> Column:
@@ -91,12 +110,23 @@ def tokenise(lines: DataFrame, tokeniser: str | Callable[[Column], Column] = "ch
 
 
 _BAG = "array<struct<token:string,n:int>>"
-_BAG_ARROW = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())]))
 
 
-def _bagged(rows) -> pa.Array:
-    """Token counts per row; null stays null."""
-    return pa.array([None if r is None else [{"token": t, "n": n} for t, n in Counter(r).items()] for r in rows], _BAG_ARROW)
+def _bagged(pieces: Iterator[Iterable]) -> pa.Array:
+    """Token counts per row, from rows a piece at a time; null stays null. Counts leave as flat arrays, not as objects."""
+    parts = []
+    for rows in pieces:
+        tokens, numbers, ends, empty = [], [], [0], []
+        for r in rows:
+            empty.append(r is None)
+            if r is not None:
+                counted = Counter(r)
+                tokens += counted
+                numbers += counted.values()
+            ends.append(len(tokens))
+        held = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(numbers, pa.int32())], ["token", "n"])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, mask=pa.array(empty, pa.bool_())))
+    return pa.concat_arrays(parts)
 
 
 def bags(lines: DataFrame, tokeniser: str | Callable[[Column], Column] = "char") -> DataFrame:
@@ -109,11 +139,11 @@ def bags(lines: DataFrame, tokeniser: str | Callable[[Column], Column] = "char")
 
     @F.arrow_udf(_BAG)
     def chars(texts: pa.Array) -> pa.Array:
-        return _bagged(None if t is None else "".join(_clean(t).split()) for t in texts.to_pylist())
+        return _bagged((None if t is None else "".join(_clean(t).split()) for t in piece) for piece in _pieces(texts))
 
     @F.arrow_udf(_BAG)
     def words(texts: pa.Array) -> pa.Array:
-        return _bagged(None if t is None else _clean(t).split() for t in texts.to_pylist())
+        return _bagged((None if t is None else _clean(t).split() for t in piece) for piece in _pieces(texts))
 
     own = {"char": chars, "word": words}
     if tokeniser in own:
@@ -128,7 +158,7 @@ def bagged(tokenised: DataFrame) -> DataFrame:
 
     @F.arrow_udf(_BAG)
     def counted(tokens: pa.Array) -> pa.Array:
-        return _bagged(tokens.to_pylist())
+        return _bagged(tokens.slice(a, PIECE_ROWS).to_pylist() for a in range(0, max(len(tokens), 1), PIECE_ROWS))
 
     keys = [c for c in tokenised.columns if c != "tokens"]
     return tokenised.select(*keys, counted("tokens").alias("bag"))
@@ -180,6 +210,16 @@ def mteval_text(text: Column) -> Column:
     return text
 
 
+def mteval_texts(texts: pa.Array) -> pa.Array:
+    """``mteval_text`` of the texts of a batch."""
+    for literal, replacement in MTEVAL_CLEANUP:
+        texts = pc.replace_substring(texts, literal.replace(r"\n", "\n"), replacement)
+    texts = pc.binary_join_element_wise(" ", texts, " ", "")
+    for pattern, replacement in MTEVAL_RULES:
+        texts = pc.replace_substring_regex(texts, pattern.replace(" -&", "!-&"), replacement.replace("$", "\\"))
+    return texts
+
+
 def mteval_tokens(text: Column) -> Column:
     """Tokens of the mteval-13a scheme."""
     return plain_tokens(mteval_text(text))

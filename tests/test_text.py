@@ -96,3 +96,20 @@ def test_generator_log_and_records(spark):
     assert [(r.seg_id, r.hyp) for r in hypotheses(df).orderBy("seg_id").collect()] == [(2, "two"), (10, "ten\ttabs")]
     record = spark.createDataFrame([('{"translation": {"ind": "satu", "eng": "one"}}',)], "text string")
     assert tuple(parse_translations(record, "ind").first()) == ("satu", "one")
+
+
+def test_batches_become_strings_a_piece_at_a_time(monkeypatch):
+    """Strings and counts of a whole batch are never held at once; pieces give what the batch gives, nulls too."""
+    import pyarrow as pa
+
+    from glossmark.functions import text as tx
+
+    monkeypatch.setattr(tx, "PIECE_BYTES", 40)
+    texts = pa.array([None, "", "Éa b" * 9, None] + [f"w{i} w w" for i in range(60)])
+    pieces = list(tx._pieces(texts))
+    assert [t for p in pieces for t in p] == texts.to_pylist()
+    assert max(sum(len(t or "") for t in p) for p in pieces if len(p) > 1) <= 40 and len(pieces) > 5
+    assert tx._mapped(tx._clean, texts).to_pylist() == [None if t is None else tx._clean(t) for t in texts.to_pylist()]
+    bags = tx._bagged((None if t is None else t.split() for t in p) for p in tx._pieces(texts)).to_pylist()
+    assert bags[0] is None and bags[1] == [] and bags[5] == [{"token": "w1", "n": 1}, {"token": "w", "n": 2}]
+    assert tx._mapped(tx._clean, pa.array([], pa.string())).to_pylist() == []
