@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmark.functions.keys import ratio
-from glossmark.functions.text import mteval_text, mteval_tokens, plain_tokens
+from glossmark.functions.text import mteval_texts, mteval_tokens, plain_tokens
 from glossmark.operators.segments import char_counts, exact_resample_sums, resample_sums, word_counts, word_edits
 
 BLEU_ORDER = 4
@@ -23,8 +23,8 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-# Tokenisers that cut a rewritten text at white space: the batch that counts does the cutting, so only texts are handed to it.
-_REWRITES = {mteval_tokens: mteval_text, plain_tokens: lambda text: text}
+# Tokenisers that cut a rewritten text at white space: the batch that counts does both, so only texts are handed to it.
+_REWRITES = {mteval_tokens: mteval_texts, plain_tokens: lambda texts: texts}
 
 
 def bleu_counts(
@@ -32,8 +32,10 @@ def bleu_counts(
 ) -> Column:
     """Struct ``hyp_len``, closest ``ref_len`` (tie: shorter) and n-gram counts of a segment."""
     prepare = ascii_lower if lowercase else (lambda c: c)
-    cut = _REWRITES.get(tokenise, tokenise)
-    return word_counts([cut(prepare(F.coalesce(c, F.lit("")))) for c in (hyp, *refs)], BLEU_ORDER)
+    sides = [prepare(F.coalesce(c, F.lit(""))) for c in (hyp, *refs)]
+    if tokenise in _REWRITES:
+        return word_counts(sides, BLEU_ORDER, rewrite=_REWRITES[tokenise])
+    return word_counts([tokenise(s) for s in sides], BLEU_ORDER)
 
 
 def bleu_fields() -> list[str]:

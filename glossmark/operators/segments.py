@@ -7,7 +7,7 @@ arithmetic over all segments of a slice at once; only numbers leave the batch.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -154,12 +154,15 @@ def _struct(parts: list[np.ndarray], names: list[str]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in counts.T], names)
 
 
-def word_counts(sides: list[Column], orders: int, first: int = 1, edges: bool = False) -> Column:
+def word_counts(
+    sides: list[Column], orders: int, first: int = 1, edges: bool = False, rewrite: Callable[[pa.Array], pa.Array] | None = None
+) -> Column:
     """Struct ``hyp_k, ref_k, match_k`` over arrays of words, or texts cut at white space; orders are numbered from ``first``.
 
     The first side is the hypothesis, the others are references; matches are clipped by the largest
     count over the references. ``hyp_len`` are the hypothesis's words and ``ref_len`` those of the reference closest to it
-    in length (tie: shorter). With ``edges`` a punctuation mark at a word's edge is a word of its own.
+    in length (tie: shorter). With ``edges`` a punctuation mark at a word's edge is a word of its own. ``rewrite`` changes
+    texts before they are cut.
     """
     names = _names(orders, first) + ["hyp_len", "ref_len"]
 
@@ -167,7 +170,9 @@ def word_counts(sides: list[Column], orders: int, first: int = 1, edges: bool =
     def count(*columns: pa.Array) -> pa.Array:
         parts = []
         for piece in _parts(columns):
-            words = [_edge_split(*_words(c)) if edges else _words(c) for c in piece]
+            words = [_words(rewrite(c) if rewrite else c) for c in piece]
+            if edges:
+                words = [_edge_split(*w) for w in words]
             n = len(piece[0])
             lengths = np.stack([np.bincount(owner, minlength=n) for _, owner in words])
             gap = np.abs(lengths[1:] - lengths[0])
@@ -197,23 +202,47 @@ def char_counts(sides: list[Column], orders: int) -> Column:
     return count(*sides)
 
 
-def distance(hyp: list, bits: dict, n: int) -> int:
-    """Insertions, deletions and replacements between words and a reference of ``n`` words, whose places are ``bits``.
+def steps(hyp: list, bits: dict, n: int) -> list[tuple[int, int, int, int, int]]:
+    """The states of ``distance`` before the first word and after each.
 
-    Vertical differences are held in two bit vectors, so a word of the hypothesis is one step.
+    A state is where one more word of the reference makes the distance larger, where smaller, the distance to the whole
+    reference, and where the last word of the hypothesis made it larger and smaller.
     """
-    if not n:
-        return len(hyp)
-    mask, last = (1 << n) - 1, 1 << (n - 1)
+    mask, last = (1 << n) - 1, 1 << n >> 1
     plus, minus, score = mask, 0, n
+    found = [(plus, minus, score, 0, 0)]
+    for word in hyp:
+        same = bits.get(word, 0)
+        either = same | minus
+        across = (((same & plus) + plus) ^ plus) | either
+        more, less = minus | (~(across | plus) & mask), plus & across
+        if more & last or not n:
+            score += 1
+        elif less & last:
+            score -= 1
+        up = more << 1 | 1
+        plus, minus = (less << 1 | ~(either | up)) & mask, up & either & mask
+        found.append((plus, minus, score, more, less))
+    return found
+
+
+def distance(hyp: list, bits: dict, n: int, state: tuple[int, int, int] | None = None) -> int:
+    """Insertions, deletions and replacements between words and a reference, one step per word; only the last state is kept."""
+    mask, last = (1 << n) - 1, 1 << n >> 1
+    plus, minus, score = state or (mask, 0, n)
+    if not n:
+        return score + len(hyp)
     for word in hyp:
         same = bits.get(word, 0)
         either = same | minus
-        across = (((same & plus) + plus) ^ plus) | same | minus
+        across = (((same & plus) + plus) ^ plus) | either
         up, down = minus | (~(across | plus) & mask), plus & across
-        score += bool(up & last) - bool(down & last)
-        up, down = up << 1 | 1, down << 1
-        plus, minus = (down | ~(either | up)) & mask, up & either & mask
+        if up & last:
+            score += 1
+        elif down & last:
+            score -= 1
+        up = up << 1 | 1
+        plus, minus = (down << 1 | ~(either | up)) & mask, up & either & mask
     return score
 
 

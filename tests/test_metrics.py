@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,94 @@ def test_exact_resamples_draw_every_group_whole(spark):
         assert means.std() == pytest.approx(np.std(values) / math.sqrt(n), rel=0.2)
     report = jobs.metric_report(rows.selectExpr("k AS seg_id", "lang", "'a b c d e' AS hyp", "'a b c d x' AS ref"), ["lang"], resamples=40, exact=True)
     assert report.where("metric = 'edit_rate' AND mean = 20 AND se = 0").count() == 2
+
+
+def test_batches_cut_texts_as_the_columns_do(spark):
+    """Words, marks at word edges, mteval tokens and characters of a batch are those of the column functions, whatever the text."""
+    from glossmark.functions import text as tx
+
+    rng = random.Random(5)
+    signs = list("ab9 .,-&<>;'\"\t\n\x0b\x1c\x85\xa0 　é日😀") + ["&quot;", "-\n", "<skipped>", "...", " , "]
+    texts = ["", " ", ".", "..", "a."] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1).sortWithinPartitions("i")
+    want = rows.select(
+        tx.plain_tokens(F.col("t")), tx.edge_split_words(F.col("t")), tx.mteval_tokens(F.col("t")), F.regexp_replace("t", r"(?U)\s+", "")
+    ).collect()
+    column = pa.array(texts)
+
+    def lists(words, owner):
+        out = [[] for _ in texts]
+        for w, i in zip(words.to_pylist(), owner.tolist()):
+            out[i].append(w)
+        return out
+
+    assert lists(*sg._words(column)) == [r[0] for r in want]
+    assert lists(*sg._edge_split(*sg._words(column))) == [r[1] for r in want]
+    assert lists(*sg._words(tx.mteval_texts(column))) == [r[2] for r in want]
+    codes, owner = sg._characters(column)
+    assert ["".join(map(chr, codes[owner == i])) for i in range(len(texts))] == [r[3] for r in want]
+
+
+def test_mteval_tokens_are_those_of_the_published_rules(spark):
+    from glossmark.functions import text as tx
+
+    texts = ["a,b, ,c ,. ..5 5-6-x", "{x} & y -\nz &lt;p&gt; 1,000. 2.", ". . , ,1 ..", "..5 ...6 ,.7 8.,"]
+    text = F.col("t")
+    for literal, replacement in tx.MTEVAL_CLEANUP:
+        text = F.regexp_replace(text, literal, replacement)
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, replacement in tx.MTEVAL_RULES:
+        text = F.regexp_replace(text, pattern, replacement)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select(tx.mteval_tokens(F.col("t")).alias("got"), F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("want")).collect():
+        assert r.got == r.want
+
+
+def test_counts_number_runs_anew_when_they_would_not_fit():
+    """Large token numbers: the runs of higher orders do not fit 64 bits; counts stay those of brute force."""
+    rng = random.Random(3)
+    rows = [[[rng.choice([0, 5, 1 << 20, (1 << 22) + 1]) for _ in range(rng.randint(0, 12))] for _ in range(2)] for _ in range(40)]
+    sides = [(np.array([t for r in rows for t in r[k]], np.int64), np.repeat(np.arange(40), [len(r[k]) for r in rows])) for k in range(2)]
+    assert sg._count(sides, 40, 6).tolist() == [direct_counts(r, 6) for r in rows]
+
+
+def test_draws_are_the_digests():
+    import hashlib
+
+    heads = [f"12345|{b}|".encode() for b in range(12)]
+    keys = ["", "7-1", "12-3", "é" * 9, "x" * 44, "x" * 70, "99"]
+    got = sg.md5_words(heads, [k.encode() for k in keys])
+    for i, k in enumerate(keys):
+        for j, h in enumerate(heads):
+            assert got[i, j].tolist() == np.frombuffer(hashlib.md5(h + k.encode()).digest(), ">u4").tolist()
+
+
+def test_report_counts_in_one_pass_of_one_worker(spark):
+    """All counts of a report are one Python step, and no count runs a shuffle of its own."""
+    rows = spark.createDataFrame([(i, "a b c d", "a b x d") for i in range(8)], "seg_id long, hyp string, ref string")
+    counts, numbers, _ = jobs._metrics(None, False, True)
+    table = rows.select("seg_id", *[c.alias(n) for n, c in counts.items()]).select("seg_id", *[n for part in numbers.values() for n in part])
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_edit_counts_of_long_texts_stay_quick(spark):
+    """Edits are counted on bit vectors: two texts of 20,000 words are 20,000 steps, not 400 million cells."""
+    import time
+
+    a = " ".join(str(i % 977) for i in range(20_000))
+    b = " ".join(str(i % 971) for i in range(20_000))
+    start = time.process_time()
+    found = sg._edits(a.split(), b.split())
+    assert 0 < found <= 20_000 and time.process_time() - start < 10
+    assert sg._edits(list("kitten"), list("sitting")) == 3 and sg._edits([], list("ab")) == 2 and sg._edits(list("ab"), list("ab")) == 0
+
+
+def test_hopeless_shifts_are_not_measured(monkeypatch):
+    """A hypothesis that only lacks words cannot gain by a shift, so none is looked for; one that uses up the tries makes none."""
+    monkeypatch.setattr(shifts_module, "shifts", lambda *_: pytest.fail("looked for shifts"))
+    ref = [f"w{i % 40}" for i in range(200)]
+    assert shifts_module.edits(ref[:50] + ref[60:], ref) == 10
+    monkeypatch.undo()
+    monkeypatch.setattr(shifts_module, "distance", lambda hyp, bits, n, state=None: pytest.fail("measured a shift") if state else 7)
+    assert shifts_module.edits(["a", "b"] * 60, ["b", "a", "a", "b"] * 30) == 7
