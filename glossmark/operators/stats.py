@@ -185,38 +185,42 @@ def tfidf_pairs(tokenised: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     both = ["corpus1", "corpus2"]
     tokenised = bagged(tokenised)
-    live = stage(pairs.filter("len1 > 0 AND len2 > 0"), "pairs")
-    # Chunk counts depend on the walked corpus and the chunk length only, so pairs share them.
-    walks = live.selectExpr("corpus1 AS corpus", "len1", "len2").distinct()
+    live = stage(pairs.filter("len1 > 0 AND len2 > 0").withColumn("_pair", F.monotonically_increasing_id()), "pairs")
+    # Chunk counts depend on the walked corpus and the chunk length only, so pairs share them. Walks and pairs go by number
+    # wherever there is a row per token.
+    walked = live.selectExpr("corpus1 AS corpus", "len1", "len2").distinct()
+    walks = stage(walked.withColumn("_walk", F.monotonically_increasing_id()), "walks")
     chunked = (
-        join_bounded(tokenised, walks, ["corpus"])
-        .selectExpr("corpus AS corpus1", "len1", "len2", "line_no div len2 AS chunk", "len1 div len2 AS last", "inline(bag) AS (token, n)")
-        .groupBy("corpus1", "len1", "len2", "chunk", "last", "token")
+        join_bounded(tokenised, walks, ["corpus"], staged=True)
+        .selectExpr("_walk", "line_no div len2 AS chunk", "inline(bag) AS (token, n)")
+        .groupBy("_walk", "chunk", "token")
         .agg(F.sum("n").cast("double").alias("c1"))
     )
-    doc1 = join_bounded(chunked, live, ["corpus1", "len1", "len2"], staged=True).drop("len1", "len2")
-    compared = join_bounded(tokenised, live.withColumn("corpus", F.col("corpus2")), ["corpus"])
+    of_walk = live.join(walks.withColumnRenamed("corpus", "corpus1"), ["corpus1", "len1", "len2"])
+    doc1 = join_bounded(chunked, of_walk.selectExpr("_walk", "_pair", "len1 div len2 AS last"), ["_walk"]).drop("_walk")
+    compared = join_bounded(tokenised, live.selectExpr("corpus2 AS corpus", "_pair", "len1 % len2 AS tail"), ["corpus"])
     doc2 = stage(
-        compared.selectExpr(*both, "if(line_no < len1 % len2, 1, 0) AS in_tail", "inline(bag) AS (token, n)")
-        .groupBy(*both, "token")
+        compared.selectExpr("_pair", "if(line_no < tail, 1, 0) AS in_tail", "inline(bag) AS (token, n)")
+        .groupBy("_pair", "token")
         .agg(F.sum("n").cast("double").alias("full"), F.sum(F.col("n") * F.col("in_tail")).cast("double").alias("part")),
         "doc2-counts",
     )
-    norms = doc2.groupBy(*both).agg(F.expr("sum(full * full)").alias("full_sq"), F.expr("sum(part * part)").alias("part_sq"))
+    norms = doc2.groupBy("_pair").agg(F.expr("sum(full * full)").alias("full_sq"), F.expr("sum(part * part)").alias("part_sq"))
     k2 = RARE_IDF**2
     chunks = (
-        doc1.join(doc2, [*both, "token"], "left")
+        doc1.join(doc2, ["_pair", "token"], "left")
         .withColumn("c2", F.expr("coalesce(if(chunk = last, part, full), 0)"))
-        .groupBy(*both, "chunk", "last")
+        .groupBy("_pair", "chunk", "last")
         .agg(
             F.expr("sum(c1 * c2)").alias("dot"),
             F.expr(f"sum(c1 * c1 * if(c2 > 0, 1, {k2}D))").alias("sq1"),
             F.expr("sum(c2 * c2)").alias("shared_sq"),
         )
     )
-    scored = join_bounded(chunks, norms, both).withColumn(
+    scored = join_bounded(chunks, norms, ["_pair"]).withColumn(
         "sq2", F.expr(f"if(chunk = last, part_sq, full_sq) * {k2}D - shared_sq * {k2 - 1}D")
     )
+    scored = join_bounded(scored, live.select("_pair", *both), ["_pair"], staged=True)
     distance = 1 - ratio(F.col("dot"), F.sqrt("sq1") * F.sqrt("sq2"))
     return scored.groupBy(*both).agg(F.avg(distance).alias("distance"))
 
@@ -305,26 +309,28 @@ def vocabulary_pairs(counts: DataFrame, profiles: DataFrame, pairs: DataFrame) -
     Only counted vocabularies are repeated per pair, never text.
     """
     both = ["corpus1", "corpus2"]
-    pairs = stage(pairs.select(*both).distinct(), "pairs")
+    # pairs go by number wherever there is a row per token
+    pairs = stage(pairs.select(*both).distinct().withColumn("_pair", F.monotonically_increasing_id()), "pairs")
 
     def side(own: str, a: str, b: str) -> DataFrame:
-        named = join_bounded(counts, pairs.withColumn("corpus", F.col(own)), ["corpus"])
-        return named.selectExpr(*both, "token", f"{a} AS a", f"{b} AS b")
+        named = join_bounded(counts, pairs.selectExpr(f"{own} AS corpus", "_pair"), ["corpus"])
+        return named.selectExpr("_pair", "token", f"{a} AS a", f"{b} AS b")
 
     merged = (
         side("corpus1", "n", "0").unionByName(side("corpus2", "0", "n"))
-        .groupBy(*both, "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        .groupBy("_pair", "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
     totals = pairs.join(profiles.selectExpr("corpus AS corpus1", "tokens AS total1"), "corpus1").join(
         profiles.selectExpr("corpus AS corpus2", "tokens AS total2"), "corpus2"
     )
-    shared = join_bounded(merged, totals, both)
+    shared = join_bounded(merged, totals.select("_pair", "total1", "total2"), ["_pair"])
     p, q = ratio(F.col("a"), F.col("total1")), ratio(F.col("b"), F.col("total2"))
-    sums = shared.groupBy(*both).agg(
+    sums = shared.groupBy("_pair").agg(
         F.count(F.when((F.col("a") > 0) & (F.col("b") > 0), 1)).alias("shared"),
         F.sum(_divergence(p, q)).alias("_d"),
         F.min(F.least("total1", "total2")).alias("_least"),
     )
+    sums = join_bounded(sums, pairs, ["_pair"], staged=True)
     return sums.selectExpr(*both, "shared", "if(_least > 0, sqrt(greatest(_d, 0) / 2), NULL) AS jsd")
 
 

@@ -119,3 +119,17 @@ def test_sketched_vocabularies(spark, size, error):
         for r in stats.sketched_vocabulary_stats(lines.repartition(parts), ["lang"], size).collect():
             for c, v in want[r.lang].asDict().items():
                 assert c == "lang" or abs(r[c] - v) <= error * max(v, 1000 if error else 0), (c, r[c], v)
+
+
+def test_rows_per_token_carry_numbers_of_pairs_only(spark):
+    """Rows per token are shuffled by the number of a walk or pair, not by corpus names and lengths."""
+    lines = spark.createDataFrame(
+        [("a", 0, "x y x"), ("a", 1, "y z"), ("a", 2, "x"), ("b", 0, "x w"), ("c", 0, "z z")], "corpus string, line_no long, text string"
+    )
+    tokenised = stats.bags(lines, "word")
+    pairs = spark.createDataFrame([("a", "b", 3, 1), ("a", "c", 3, 1)], "corpus1 string, corpus2 string, len1 long, len2 long")
+    counts = stats.token_counts(tokenised, ["corpus"])
+    for found in (stats.tfidf_pairs(tokenised, pairs), stats.vocabulary_pairs(counts, stats.corpus_profiles(tokenised, counts), pairs)):
+        by_token = [p for p in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in p and "token" in p.split("]")[0]]
+        assert by_token and not any("corpus1" in p.split("]")[0] for p in by_token)
+        assert found.count() == 2
