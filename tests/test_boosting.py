@@ -125,6 +125,43 @@ def test_boosting_equals_a_plain_booster(name, digits):
     assert shares.sum() == pytest.approx(1) and gains.importances(True).sum() == uses.sum()
 
 
+@pytest.mark.parametrize("name", CASES)
+def test_columns_of_few_values_only(name):
+    """All columns by sums per bin, one of them constant."""
+    x, y = data(400, 5)
+    x = np.c_[np.round(x), np.ones(400)]
+    codes, layout = coded(x)
+    train, test = np.arange(300), np.arange(300, 400)
+    assert max(np.diff(layout.start)) * boosting.FEW <= 300
+    errors, gains = boosting.fit_local(codes, y, np.arange(400), layout, train, {"t": test}, CASES[name], [1, 6], 3)
+    want, uses, total = plain_boost(x, y, train, test, CASES[name], [1, 6], 3)
+    assert errors["t"] == pytest.approx(want, rel=1e-9)
+    assert gains.uses.tolist() == uses.tolist() and gains.gain == pytest.approx(total, rel=1e-7)
+
+
+def test_rows_are_put_in_order_once_a_fit(monkeypatch):
+    """The order of a column's values is dealt on from node to node, whatever the number of trees."""
+    x, y = data()
+    codes, layout = coded(x)
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    boosting.fit_local(codes, y, np.arange(160), layout, np.arange(160), {}, CASES["leaves"], [12], 11)
+    assert 0 < len(sorts) <= x.shape[1]
+
+
+def test_sums_take_in_no_more_than_a_tree_may_use(monkeypatch):
+    """A tree's sums see the rows of its bag and its own columns: all of them for the root, at most half of them for each level below."""
+    x, y = data(400, 5)
+    x = np.round(x)
+    codes, layout = coded(x)
+    seen, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda key, *a, **k: seen.append(len(key)) or plain(key, *a, **k))
+    p = policy(rows=0.5, columns=0.5, depth=4)
+    boosting.fit_local(codes, y, np.arange(400), layout, np.arange(400), {}, p, [1], 11)
+    drawn = int(boosting.sampled(np.arange(400), 11, 1, 0.5).sum())
+    assert 2 * drawn * 2 <= sum(seen) <= 2 * drawn * 2 * (1 + 3 / 2)
+
+
 def test_leafwise_growth_goes_where_depth_cannot():
     """A chain: every split frees one group, so seven leaves need six levels, and the gain is on one side only."""
     x = np.repeat(np.arange(7.0), 10)[:, None]
