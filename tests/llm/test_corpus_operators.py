@@ -1,9 +1,12 @@
 """Operators that compare rows or learn from the corpus, against brute force and held-out rows."""
 
 import collections
+import contextlib
 import itertools
 import math
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from glossmark.llm import crf, kneser_ney, prob_minhash, vectors
 from glossmark.llm.common import held_out
 from glossmark.llm.components import components
+from glossmark.session import stage, staging_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -238,6 +242,61 @@ def test_vectors_of_two_sizes_in_one_label(spark):
     assert missed <= 4
 
 
+def disk_used(spark):
+    """Bytes of shuffle files and staged tables."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tops = [f.getPath() for f in manager.localDirs()] + [staging_dir(spark).removeprefix("file:")]
+    found = 0
+    for path in (os.path.join(d, name) for top in tops for d, _, names in os.walk(top) for name in names):
+        with contextlib.suppress(OSError):  # a file may go meanwhile
+            found += os.path.getsize(path)
+    return found
+
+
+def test_vector_passes_keep_within_four_times_the_input(spark, monkeypatch):
+    """Passes and block pairs in many rounds and stretches give the rows of one round, and no round leaves its vectors on disk."""
+    v = crowded_pairs(12_000, 500, 0.3, 0.9301, 17).astype(np.float32)
+    v[2000:2100] = v[2000] + np.random.default_rng(18).standard_normal((100, 64)).astype(np.float32) * 0.01
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    df = stage(df, "vectors")
+    want = sorted(tuple(r) for r in vectors.near_vectors(df).collect())
+    monkeypatch.setattr(vectors, "ROUND_BYTES", 1 << 20, raising=False)
+    monkeypatch.setattr(vectors, "STRETCH", 2, raising=False)
+    before, real, peak = disk_used(spark), vectors.stage, [0]
+
+    def watched(*args, **more):
+        out = real(*args, **more)
+        least = disk_used(spark) - before
+        for _ in range(30):  # files go a moment after their query
+            if least <= 4 * v.nbytes:
+                break
+            time.sleep(0.1)
+            least = min(least, disk_used(spark) - before)
+        peak[0] = max(peak[0], least)
+        return out
+
+    monkeypatch.setattr(vectors, "stage", watched)
+    got = sorted(tuple(r) for r in vectors.near_vectors(df, block=16).collect())
+    assert got == want and sum(r[1] for r in got) > 9000
+    assert peak[0] <= 4 * v.nbytes
+
+
+def test_rank_among_cuts():
+    rng = np.random.default_rng(19)
+    cuts = sorted({(int(c), int(n)) for c, n in zip(rng.integers(0, 5, 40), rng.integers(0, 30, 40))})
+    code, node = rng.integers(0, 6, 500), rng.integers(0, 31, 500)
+    want = [sum(cut <= (c, n) for cut in cuts) for c, n in zip(code.tolist(), node.tolist())]
+    assert vectors._rank(tuple(np.array(cuts).T), code, node).tolist() == want
+
+
+def test_close_cosines_are_decided_in_double_precision():
+    rng = np.random.default_rng(20)
+    rows = rng.standard_normal((300, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    threshold = (rows[3] * rows[7]).sum()
+    assert (vectors._above(rows, rows, threshold) == ((rows[:, None] * rows[None]).sum(2) >= threshold)).all()
+
+
 # ---- language model
 
 
