@@ -341,6 +341,20 @@ def test_edit_counts_of_long_texts_stay_quick(spark):
     assert sg._edits(list("kitten"), list("sitting")) == 3 and sg._edits([], list("ab")) == 2 and sg._edits(list("ab"), list("ab")) == 0
 
 
+def test_shifts_are_measured_side_by_side(monkeypatch):
+    rng = random.Random(11)
+    for n in (1, 2, 7, 64, 90):
+        ref = shifts_module.Reference([rng.choice("abcdef") for _ in range(n)])
+        hyp = [rng.choice("abcdef") for _ in range(rng.choice([8, 40, 300]))]
+        start, stop = sorted(rng.sample(range(len(hyp) + 1), 2))
+        orders = [hyp[:start] + rng.sample(hyp[start:stop], stop - start) + hyp[stop:] for _ in range(20)]
+        assert ref.distances(orders, start, stop, ref.states(hyp)) == [ref.distance(words) for words in orders]
+    # none is measured alone
+    real = shifts_module.distance
+    monkeypatch.setattr(shifts_module, "distance", lambda hyp, bits, n, state=None: pytest.fail("one by one") if state else real(hyp, bits, n))
+    assert shifts_module.edits("c d e f g a b".split(), "a b c d e f g".split()) == 1
+
+
 def test_hopeless_shifts_are_not_measured(monkeypatch):
     """A hypothesis that only lacks words cannot gain by a shift, so none is looked for; one that uses up the tries makes none."""
     monkeypatch.setattr(shifts_module, "shifts", lambda *_: pytest.fail("looked for shifts"))
